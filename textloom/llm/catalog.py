@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 ORACLES: dict[str, str] = {

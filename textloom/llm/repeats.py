@@ -32,7 +32,7 @@ LAST = (1 << 63) - 1
 #: Anchors that a task holds before it compares them and passes them on.
 HOLD = 1 << 19
 _ANCHORS = "kind tinyint, key bigint, seg bigint, doc bigint, place bigint"
-_SPANS = "kind tinyint, doc bigint, place bigint"
+_SPANS = "kind tinyint, key bigint, doc bigint, place bigint"
 
 #: From (bytes, offsets) of a slab: unit values, row of each unit, first unit of each row (one more at the end), width.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -88,7 +88,7 @@ def segments(values: np.ndarray, row: np.ndarray, width: int, elect: Elect) -> t
     return span_hash(c, inv, a, b), content, start, count
 
 
-def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -131,16 +131,16 @@ def _anchor_rows(units: Units, elect: Elect, width: int) -> Callable[[Iterator[p
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of segments in the order of (key, seg, doc): repeated ones (kind 0), and firsts whose key has another segment (kind 1)."""
     state = None  # key, seg, doc of the segment's first, segments of the key so far, place of the first if it is the only one
-    names = ["kind", "doc", "place"]
+    names = ["kind", "key", "doc", "place"]
     for batch in batches:
         kind, key, seg, doc, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        out_kind, out_doc, out_place = [], [], []
+        out: list[list[np.ndarray]] = []
 
-        def put(k: int, d: np.ndarray, p: np.ndarray) -> None:
-            out_kind.append(np.full(len(d), k, np.int8)), out_doc.append(d), out_place.append(p)
+        def put(k: int, *columns: np.ndarray) -> None:
+            out.append([np.full(len(columns[0]), k, np.int8), *columns])
 
         local = kind == 0
-        put(0, doc[local], place[local])
+        put(0, key[local], doc[local], place[local])
         key, seg, doc, place = key[~local], seg[~local], doc[~local], place[~local]
         n = len(key)
         if n:
@@ -155,21 +155,20 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = np.maximum.accumulate(np.where(new_seg, np.arange(n), -1))
             first_doc = np.where(head >= 0, doc[head], state[2] if same else 0)
             again = ~new_seg & (doc > first_doc)
-            put(0, doc[again], place[again])
+            put(0, key[again], doc[again], place[again])
             group = np.cumsum(new_key) - 1
             kinds = np.bincount(group, new_seg, minlength=group[-1] + 1).astype(np.int64)
             if goes_on:
                 if kinds[0] and state[3] == 1:
-                    put(1, np.array([state[2]]), np.array([state[4]]))
+                    put(1, *(np.array([state[i]]) for i in (0, 2, 4)))
                 kinds[0] += state[3]
             look = ~again & (kinds[group] > 1)
-            put(1, doc[look], place[look])
+            put(1, key[look], doc[look], place[look])
             if head[-1] >= 0:
                 state = (key[-1], seg[-1], doc[head[-1]], kinds[-1], place[head[-1]])
             else:
                 state = (*state[:3], kinds[-1], state[4])
-        if out_kind:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_kind, out_doc, out_place)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
 
 def _window_rows(units: Units, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -198,16 +197,26 @@ def _window_rows(units: Units, width: int) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def repeated_spans(docs: DataFrame, units: Units, elect: Elect, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, place): windows that occur earlier, as place = first unit * 256 + number of windows."""
-    texts = _columns(docs, id_col, text_col)
+def found_segments(texts: DataFrame, units: Units, elect: Elect, width: int) -> DataFrame:
+    """(kind, key, doc, place): repeated segments (kind 0), and those whose windows need a look (kind 1)."""
     anchors = texts.mapInArrow(_anchor_rows(units, elect, width), _ANCHORS)
-    found = staged(anchors.repartition("key").sortWithinPartitions("key", "seg", "doc").mapInArrow(_resolve, _SPANS), "segments")
-    look = found.filter("kind = 1").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    windows = staged(texts.join(look, "doc").select("doc", "text", "places").mapInArrow(_window_rows(units, width), "kind tinyint, h0 bigint, h1 bigint, doc bigint, place bigint"), "windows")
-    firsts = windows.filter("kind = 1").groupBy("h0", "h1").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return staged(anchors.repartition("key").sortWithinPartitions("key", "seg", "doc").mapInArrow(_resolve, _SPANS), "segments")
+
+
+def repeated_windows(texts: DataFrame, look: DataFrame, units: Units, width: int) -> DataFrame:
+    """Of the windows in the segments ``look`` (doc, place) those that occur earlier in one of them."""
+    by_doc = look.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    windows = staged(texts.join(by_doc, "doc").select("doc", "text", "places").mapInArrow(_window_rows(units, width), "kind tinyint, h0 bigint, h1 bigint, doc bigint, place bigint"), "windows")
+    firsts = staged(windows.filter("kind = 1").groupBy("h0", "h1").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "firsts")  # written, so that the join can split a hot window
     later = windows.filter("kind = 1").join(firsts, ["h0", "h1"]).filter("doc > first")
-    return found.filter("kind = 0").select("doc", "place").union(windows.filter("kind = 0").select("doc", "place")).union(later.select("doc", "place"))
+    return windows.filter("kind = 0").select("doc", "place").union(later.select("doc", "place"))
+
+
+def repeated_spans(docs: DataFrame, units: Units, elect: Elect, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, place): windows that occur earlier, as place = first unit * 256 + number of windows."""
+    texts = columns(docs, id_col, text_col)
+    found = found_segments(texts, units, elect, width)
+    return found.filter("kind = 0").select("doc", "place").union(repeated_windows(texts, found.filter("kind = 1"), units, width))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
