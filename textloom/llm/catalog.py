@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import jaccard_join, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op10_ngram_jaccard_join": jaccard_join.ORACLE,
 }
