@@ -31,6 +31,9 @@ from .vectext import mix, signed, slabs, span_hash, sums, utf8
 LAST = (1 << 63) - 1
 #: Anchors that a task holds before it compares them and passes them on.
 HOLD = 1 << 19
+#: A place is first unit << SHIFT | number of windows.
+SHIFT = 24
+COUNT = (1 << SHIFT) - 1
 _ANCHORS = "kind tinyint, key bigint, seg bigint, doc bigint, place bigint"
 _SPANS = "kind tinyint, key bigint, doc bigint, place bigint"
 
@@ -101,7 +104,18 @@ def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     new[1:] = (seg[1:] != seg[:-1]) | (key[1:] != key[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
     again = ~new & ((doc > doc[head]) | (row == row[head]))
-    return pa.RecordBatch.from_arrays([pa.array((~again).astype(np.int8)), pa.array(signed(key)), pa.array(signed(seg)), pa.array(doc), pa.array(place)], names=["kind", "key", "seg", "doc", "place"])
+    # what is repeated needs no partner: neighbours become one row, and any partition will do for it
+    order = np.lexsort((place[again], row[again]))
+    d, r, p = (x[again][order] for x in (doc, row, place))
+    first = np.ones(len(p), bool)
+    first[1:] = (r[1:] != r[:-1]) | (p[1:] >> SHIFT != (p[:-1] >> SHIFT) + (p[:-1] & COUNT))
+    if len(p):
+        p = (p[first] >> SHIFT << SHIFT) + np.add.reduceat(p & COUNT, np.flatnonzero(first))
+        d = d[first]
+    kind = np.concatenate([np.zeros(len(p), np.int8), np.ones(int((~again).sum()), np.int8)])
+    spread = mix(d.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64))
+    columns = (np.concatenate([spread, key[~again]]), np.concatenate([np.zeros(len(p), np.uint64), seg[~again]]), np.concatenate([d, doc[~again]]), np.concatenate([p, place[~again]]))
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(signed(columns[0])), pa.array(signed(columns[1])), pa.array(columns[2]), pa.array(columns[3])], names=["kind", "key", "seg", "doc", "place"])
 
 
 def _anchor_rows(units: Units, elect: Elect, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -116,7 +130,7 @@ def _anchor_rows(units: Units, elect: Elect, width: int) -> Callable[[Iterator[p
                 if not len(key):
                     continue
                 r = row[start]
-                parts.append((key, seg, ids[i + r], r + base, ((start - first[r]) << 8) | count))
+                parts.append((key, seg, ids[i + r], r + base, ((start - first[r]) << SHIFT) | count))
                 base += j - i
                 held += len(key)
                 if held >= HOLD:
@@ -183,7 +197,7 @@ def _window_rows(units: Units, width: int) -> Callable[[Iterator[pa.RecordBatch]
                 own = places.slice(i, j - i)
                 packed = own.flatten().to_numpy(zero_copy_only=False)
                 r = np.repeat(np.arange(j - i), own.value_lengths().to_numpy(zero_copy_only=False))
-                start, count = (packed >> 8) + first[r], packed & 255
+                start, count = (packed >> SHIFT) + first[r], packed & COUNT
                 at = np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 r = np.repeat(r, count)
                 hashes = [span_hash(*sums(values, k), at, at + width) for k in (0, 1)]
@@ -192,7 +206,7 @@ def _window_rows(units: Units, width: int) -> Callable[[Iterator[pa.RecordBatch]
                 again = np.zeros(len(at), bool)
                 o, p = order[1:], order[:-1]
                 again[o] = (r[o] == r[p]) & (hashes[0][o] == hashes[0][p]) & (hashes[1][o] == hashes[1][p])
-                yield pa.RecordBatch.from_arrays([pa.array((~again).astype(np.int8)), pa.array(signed(hashes[0])), pa.array(signed(hashes[1])), pa.array(ids[i + r]), pa.array((pos << 8) | 1)], names=["kind", "h0", "h1", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array((~again).astype(np.int8)), pa.array(signed(hashes[0])), pa.array(signed(hashes[1])), pa.array(ids[i + r]), pa.array((pos << SHIFT) | 1)], names=["kind", "h0", "h1", "doc", "place"])
 
     return run
 
@@ -213,7 +227,7 @@ def repeated_windows(texts: DataFrame, look: DataFrame, units: Units, width: int
 
 
 def repeated_spans(docs: DataFrame, units: Units, elect: Elect, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, place): windows that occur earlier, as place = first unit * 256 + number of windows."""
+    """(doc, place): windows that occur earlier, as place = first unit << SHIFT | number of windows."""
     texts = columns(docs, id_col, text_col)
     found = found_segments(texts, units, elect, width)
     return found.filter("kind = 0").select("doc", "place").union(repeated_windows(texts, found.filter("kind = 1"), units, width))
@@ -229,7 +243,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_c
 def covered(n: int, places: np.ndarray, width: int) -> np.ndarray:
     """Which of n units lie in a window of ``places``."""
     step = np.zeros(n + 1, np.int64)
-    start = places >> 8
+    start = places >> SHIFT
     np.add.at(step, start, 1)
-    np.add.at(step, start + (places & 255) + width - 1, -1)
+    np.add.at(step, start + (places & COUNT) + width - 1, -1)
     return np.cumsum(step[:-1]) > 0

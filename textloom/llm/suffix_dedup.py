@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import columns, covered, found_segments, repeated_windows, with_spans
+from .repeats import COUNT, SHIFT, columns, covered, found_segments, repeated_windows, with_spans
 from .session import read_table
 from .vectext import _bytes, mix, sums, utf8
 
@@ -151,7 +151,7 @@ def _contents(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         out: list[tuple] = []
         for doc, at, look in zip(batch.column(0).to_pylist(), offs[:-1].tolist(), batch.column(2).to_pylist(), strict=True):
             for x in look:
-                start, count = at + (x["place"] >> 8), x["place"] & 255
+                start, count = at + (x["place"] >> SHIFT), x["place"] & COUNT
                 out.append((x["key"], doc, x["place"], data[start : start + count + width - 1].tobytes()))
         key, doc, place, content = zip(*out, strict=True) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(content, pa.binary())], names=["key", "doc", "place", "content"])
@@ -162,13 +162,13 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
     def settle(docs: list[int], places: list[int], strings: list[bytes]) -> pa.RecordBatch:
         string, offset, interval = repeated_intervals(strings, width)
-        doc, pos = np.array(docs, np.int64)[string], (np.array(places, np.int64)[string] >> 8) + offset
+        doc, pos = np.array(docs, np.int64)[string], (np.array(places, np.int64)[string] >> SHIFT) + offset
         order = np.lexsort((pos, doc, interval))
         doc, pos, interval = doc[order], pos[order], interval[order]
         new = np.append(True, interval[1:] != interval[:-1])[: len(doc)]
         head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
         again = ~new & ((doc > doc[head]) | (pos > pos[head]))
-        return pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array((pos[again] << 8) | 1)], names=["doc", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array((pos[again] << SHIFT) | 1)], names=["doc", "place"])
 
     docs, places, strings, size, last = [], [], [], 0, None
     for batch in batches:
