@@ -9,7 +9,6 @@ beyond the base rules, which the contract fixes.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 from .session import read_table, staged
 from .vectext import utf8
 
+#: Below so many words, shares of words say little, and the rules on them abstain.
+SHORT = 20
 SYMBOLS = b"#*$%&|<>"
 #: Words that hold sentences together (fixed values; en, fr, de, es).
 FUNCTION_WORDS = frozenset(
@@ -31,7 +32,7 @@ FUNCTION_WORDS = frozenset(
         "al como con de del el ella en es esta este la las lo los más no para pero por que se si sin sobre su sus un una y"
     ).split()
 )
-#: Name, measure, bad from, bad up to, good from, good up to: a vote is good inside the good range, else bad outside the bad range's complement.
+#: Name, measure, bounds beyond which a text is bad, bounds within which it is good; between them a rule abstains.
 RULES = (
     ("symbols", "symbols", (None, 0.1), (None, 0.02)),
     ("repeats", "repeats", (None, 0.15), (None, 0.05)),
@@ -87,7 +88,7 @@ def measures(text: bytes) -> tuple[list[int], dict[str, float]]:
     if not n:
         return [0, chars, symbols, dup, repeats], {}
     lower = text.lower().split()
-    return [n, chars, symbols, dup, repeats], {
+    shares = {
         "symbols": symbols / max(1, chars),
         "repeats": repeats / n,
         "dup_lines": dup / len(lines),
@@ -95,11 +96,15 @@ def measures(text: bytes) -> tuple[list[int], dict[str, float]]:
         "word_length": chars / n,
         "function_words": sum(w.strip(_PUNCTUATION) in FUNCTION_WORDS for w in lower) / n,
         "line_ends": sum(x.rstrip().endswith((b".", b"!", b"?", b":", b'"', "。".encode(), "…".encode(), "”".encode(), "»".encode())) for x in lines) / len(lines),
-        "bare": sum(not w.strip(_PUNCTUATION) for w in set(words) if words.count(w)) / n if n < 8 else sum(not w.strip(_PUNCTUATION) for w in words) / n,
+        "bare": sum(not w.strip(_PUNCTUATION) for w in words) / n,
         "digits": sum(map(text.count, (b"0", b"1", b"2", b"3", b"4", b"5", b"6", b"7", b"8", b"9"))) / max(1, chars),
         "variety": len(set(lower)) / min(n, 400),
         "exclaims": (text.count(b"!") + text.count(b"?")) / n,
     }
+    if n < SHORT:
+        for name in ("word_length", "function_words", "digits"):
+            del shares[name]
+    return [n, chars, symbols, dup, repeats], shares
 
 
 def votes(shares: dict[str, float]) -> int:
@@ -130,7 +135,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def posteriors(counts: dict[int, int], rounds: int = 200, settle: float = 1e-9) -> dict[int, float]:
     """P(good) of each vote pattern, after expectation-maximisation over ``counts`` documents of each.
 
-    The start is the share of good votes among those cast. Each rule's votes on good and on bad
+    The start takes 0.95 for a pattern without bad votes and 0.4 times less for each of them. Each rule's votes on good and on bad
     documents have estimated shares (its accuracies; one document is added to each for
     smoothing). A pattern without votes keeps the prior.
     """
@@ -139,9 +144,8 @@ def posteriors(counts: dict[int, int], rounds: int = 200, settle: float = 1e-9)
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
     vote = np.array([[p // 3 ** (len(RULES) - 1 - k) % 3 for k in range(len(RULES))] for p in patterns])
-    cast = (vote > 0).sum(axis=1)
-    good = np.where(cast > 0, ((vote == 2).sum(axis=1) + 0.5) / (cast + 1), 0.5)
-    good = np.where(good > 0.5, 0.9, 0.1) if len(patterns) == 1 else good**3 / (good**3 + (1 - good) ** 3)
+    bad = (vote == 1).sum(axis=1)
+    good = np.where((vote > 0).any(axis=1), 0.95 * 0.4**bad, 0.5)
     for _ in range(rounds):
         weight = np.stack([n * (1 - good), n * good])
         prior = (weight.sum(axis=1) + 1) / (n.sum() + 2)
@@ -158,30 +162,46 @@ def posteriors(counts: dict[int, int], rounds: int = 200, settle: float = 1e-9)
     return dict(zip(patterns, good.tolist(), strict=True))
 
 
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Base counts and vote pattern of each document, written."""
+    kind = dict(docs.dtypes)[id_col]
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return staged(texts.mapInArrow(_measured, f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, pattern bigint"), "measures")
+
+
+def model(made: DataFrame) -> dict[int, float]:
+    """The posterior of each vote pattern; at most 3^11 counts reach the driver, whatever the number of documents."""
+    return posteriors({r["pattern"]: r["count"] for r in made.groupBy("pattern").count().collect()})
+
+
 def quality(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: the base counts, base_failed, p_good, and kept (p_good >= ``least`` and not base_failed).
 
     Null texts have no words and fail the base rules, as texts under ten words do. Null ids
-    and repeated rows are judged row by row. The counts of at most 3^11 vote patterns reach
-    the driver, whatever the number of documents. Other columns are ignored.
+    and repeated rows are judged row by row. Other columns are ignored.
     """
-    kind = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = staged(texts.mapInArrow(_measured, f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, pattern bigint"), "measures")
+    made = measured(docs, id_col, text_col)
+    good = docs.sparkSession.createDataFrame(list(model(made).items()) or [(-1, 0.0)], "pattern bigint, p_good double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    counts = {r["pattern"]: r["count"] for r in made.groupBy("pattern").count().collect()}
-    spark = docs.sparkSession
-    good = spark.createDataFrame(list(posteriors(counts).items()) or [(-1, 0.0)], "pattern bigint, p_good double")
-    out = made.join(F.broadcast(good), "pattern", "left")  # at most 3^11 rows
-    return out.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~failed & (F.col("p_good") >= least)).alias("kept"), "p_good")
+    out = made.join(F.broadcast(good), "pattern", "left").withColumn("base_failed", failed)  # at most 3^11 rows
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~failed & (F.col("p_good") >= least)).alias("kept"), "p_good")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents")).drop("p_good")
 
 
-def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without those that are rejected."""
-    key = F.struct("doc_id", F.xxhash64("text"))
-    judged = quality(docs.select(F.struct(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")) if False else None
-    raise NotImplementedError(math.nan, key, judged)
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
+    """The documents that are kept, all columns as they were; rows are judged where they lie, without a join."""
+    good = {p for p, x in model(measured(docs)).items() if x >= least}
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = utf8(batch.column(batch.schema.get_field_index("text")))
+            mask = []
+            for i in range(batch.num_rows):
+                counts, shares = measures(data[offs[i] : offs[i + 1]].tobytes())
+                mask.append(counts[0] >= 10 and 100 * counts[4] <= 20 * counts[0] and votes(shares) in good)
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
