@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, quality_rules, substring_dedup, suffix_dedup
+from . import decontamination, jaccard_join, quality_rules, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": decontamination.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE,
 }
