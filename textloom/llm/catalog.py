@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup
+from . import chat_format, decontamination, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_mixing_sources": mixing.op4_mixing_sources,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op7_chat_formatting": chat_format.op7_chat_formatting,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": decontamination.ORACLE,
+    "op7_chat_formatting": chat_format.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE,
 }
