@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup
+from . import chat_format, decontamination, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op7_chat_formatting": chat_format.op7_chat_formatting,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_warc": warc.op9_warc,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
