@@ -1,11 +1,10 @@
 """Suffix-array dedup: repeated byte strings by merging Burrows-Wheeler transforms (operator 5).
 
 A first pass (``repeats``) settles text that repeats as a whole and leaves the segments around
-the ends of repeats, grouped by the 16 bytes that stand for their windows. Only segments of one
+the ends of repeats, grouped by the 28 bytes that stand for their windows. Only segments of one
 group can share a 100-byte string. Each task cuts its groups into shards, builds a shard's
-suffix array and transform by itself, and merges the transforms: one array says which shard
-each merged row comes from, and a stable pass by character refines it, a depth a pass, without
-sorting suffixes anew. Where a pass first parts two neighbours gives their common prefix; rows
+suffix array and transform by itself, and merges the transforms: the interleave of their rows
+is refined by a stable pass by character, a depth a pass, without sorting suffixes anew. Where a pass first parts two neighbours gives their common prefix; rows
 not parted after 100 passes are the repeated intervals.
 """
 
@@ -24,7 +23,7 @@ from .session import read_table
 from .vectext import _bytes, mix, sums, utf8
 
 WIDTH = 100
-GRAM = 16
+GRAM = 28
 #: Bytes of a shard, and of the shards that are merged at a time (a group of segments is never cut).
 SHARD, MERGE = 1 << 17, 1 << 19
 #: Segments of a group that one task may hold; the windows of larger groups are compared in a shuffle of their own.
@@ -84,40 +83,47 @@ class Shard:
         symbols[ends] = np.arange(len(strings))
         self.order = suffix_array(symbols)
         before = np.where(at, symbols - len(strings) + 1, 0)
-        self.transform = before[self.order - 1].astype(np.uint16)
+        # UTF-8 has no byte above 0xF7, so codes fit a byte, which numpy sorts by counting
+        self.transform = before[self.order - 1].astype(np.uint8)
         self.string = np.repeat(np.arange(len(strings)), lengths + 1)
         self.begin = ends - lengths
         self.count = len(strings)
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard of each merged row, and the rows' common prefix with the row before (``depth`` where it is that or more).
+    """The rows of all shards (numbered through) in merged order, and each row's common prefix with the one before (``depth`` where it is that or more).
 
     Pass h orders the rows by their first h characters: stably by the character before each
-    row, rows that begin with a string's end keep their places.
+    row, which leads from a row to the one that starts there. Rows that begin with a string's
+    end keep their places.
     """
-    source = np.concatenate([np.full(len(s.order), i, np.int32) for i, s in enumerate(shards)])
-    ends = np.concatenate([np.full(s.count, i, np.int32) for i, s in enumerate(shards)])
-    n, m = len(source), len(ends)
-    prefix = np.full(n, depth, np.int64)
-    prefix[: m + 1] = 0
-    block = np.zeros(n, np.int64)
+    base = np.cumsum([0, *(len(s.order) for s in shards)])
+    transform = np.concatenate([s.transform for s in shards])
+    leads = np.empty(len(transform), np.int32)
+    for s, b in zip(shards, base, strict=False):
+        by_code = np.argsort(s.transform, kind="stable")[s.count :]
+        leads[b + by_code] = b + s.count + np.arange(len(by_code))
+    ends = np.concatenate([b + np.arange(s.count) for s, b in zip(shards, base, strict=False)]).astype(np.int32)
+    rows, m = np.arange(len(transform), dtype=np.int32), len(ends)
+    prefix = np.full(len(rows), depth, np.int16)
+    prefix[:m] = 0
+    block = np.zeros(len(rows), np.int32)
+    number = np.arange(m, dtype=np.int32)
     for h in range(depth):
-        code = np.empty(n, np.uint16)
-        for i, s in enumerate(shards):
-            code[source == i] = s.transform
-        order = np.argsort(code, kind="stable")[m:]  # rows before which a string begins lead to ends, which have places of their own
-        next_code, next_block = code[order], block[order]
-        parted = np.append(True, (next_code[1:] != next_code[:-1]) | (next_block[1:] != next_block[:-1]))
-        found = m + np.flatnonzero(parted)
-        found = found[prefix[found] == depth]
-        prefix[found] = h
-        refined = np.concatenate([ends, source[order]])
-        block = np.concatenate([np.arange(m), m + np.cumsum(parted)])
-        if not len(found) and h and np.array_equal(refined, source):
-            break
-        source = refined
-    return source, prefix
+        code = transform[rows]
+        order = np.argsort(code, kind="stable")[m:]  # where a string begins, the row before is an end, which has its place
+        code, was = code[order], block[order]
+        parted = np.empty(len(order), bool)
+        parted[:1] = True
+        np.not_equal(was[1:], was[:-1], out=parted[1:])
+        parted[1:] |= code[1:] != code[:-1]
+        here = prefix[m:]
+        here[parted & (here == depth)] = h
+        rows = np.concatenate([ends, leads[rows[order]]])
+        block = np.concatenate([number, m + np.cumsum(parted, dtype=np.int32)])
+        if int(block[-1]) == len(rows):
+            break  # every row stands alone
+    return rows, prefix
 
 
 def repeated_intervals(strings: list[bytes], depth: int, shard_bytes: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,12 +138,9 @@ def repeated_intervals(strings: list[bytes], depth: int, shard_bytes: int = SHAR
             base.append(starts[-1])
             starts.append(i + 1)
             held, size = [], 0
-    source, prefix = merge(shards, depth)
-    string, offset = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-    for i, s in enumerate(shards):
-        own = source == i
-        string[own] = s.string[s.order] + base[i]
-        offset[own] = s.order - s.begin[s.string[s.order]]
+    rows, prefix = merge(shards, depth)
+    string = np.concatenate([s.string[s.order] + b for s, b in zip(shards, base, strict=True)])[rows]
+    offset = np.concatenate([s.order - s.begin[s.string[s.order]] for s in shards])[rows]
     long = offset + depth <= np.array([len(x) for x in strings])[string]
     interval = np.cumsum(prefix < depth)
     twice = np.bincount(interval[long], minlength=interval[-1] + 1)[interval] > 1
