@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup, warc
+from . import chat_format, decontamination, jaccard_join, mixing, quality_rules, site_style, substring_dedup, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": site_style.op1_html_extraction,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_mixing_sources": mixing.op4_mixing_sources,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op1_html_extraction": site_style.ORACLE,
     "op3_benchmark_decontamination": decontamination.ORACLE,
     "op7_chat_formatting": chat_format.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
