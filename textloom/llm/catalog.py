@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, jaccard_join, mixing, quality_rules, site_style, substring_dedup, suffix_dedup, warc
+from . import chat_format, decontamination, jaccard_join, licenses, mixing, quality_rules, site_style, substring_dedup, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": site_style.op1_html_extraction,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_mixing_sources": mixing.op4_mixing_sources,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_chat_formatting": chat_format.op7_chat_formatting,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_warc": warc.op9_warc,
