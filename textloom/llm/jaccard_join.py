@@ -6,8 +6,8 @@ values are candidates; a bucket of candidates is cut into blocks, and a task get
 blocks with the nodes' signatures. It compares pairs 16 values at a time and drops a pair as
 soon as the posterior probability that its similarity reaches the threshold (uniform prior,
 binomial agreement) falls below the tolerance. Survivors are verified on their shingle sets.
-Only counts and a spanning forest leave a task, never all pairs of a group; components of the
-forest are the classes.
+A node's surviving partners in a task are one row, and only counts and a spanning forest leave
+verification, never all pairs of a group; components of the forests are the classes.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def _pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _pruned(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.RecordBatch]:
-    """Of tasks' members (in the order of tasks) the pairs that the posterior does not rule out."""
+    """Of tasks' members (in the order of tasks) those in pairs that the posterior does not rule out, with their later partners."""
     rest: pa.Table | None = None
 
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -133,8 +133,12 @@ def _pruned(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.
                 out.append((a[keep], b[keep]))
         if out:
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            task = signed(mix(mix(bucket[a].view(np.uint64)) + (i[a].astype(np.uint64) << np.uint64(32)) + j[a].astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (task, doc[a], doc[b], mult[a], mult[b])], names=["task", "a", "b", "mult_a", "mult_b"])
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            own = np.unique(np.concatenate([a, b]))
+            partners = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(a, own), len(a)).astype(np.int32)), pa.array(doc[b]))
+            task = signed(mix(mix(bucket[own].view(np.uint64)) + (i[own].astype(np.uint64) << np.uint64(32)) + j[own].astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(doc[own]), pa.array(mult[own]), partners], names=["task", "doc", "mult", "partners"])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -161,23 +165,44 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["doc", "shingles"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Per task (its nodes with their shingles first, then its pairs): links of nodes (kind 0) and a forest (kind 1)."""
-    sets: dict[int, np.ndarray] = {}
-    links: dict[int, int] = {}
-    root: dict[int, int] = {}
-    task, out = None, []
+def _settled(rows: list[tuple[int, int, list[int], bytes]], threshold: float) -> list[tuple[int, int, int, int]]:
+    """Links of a task's nodes (0, node, node, documents) and a spanning forest (1, node, root, 0), for (doc, mult, partners, shingles)."""
+    at = {doc: k for k, (doc, *_) in enumerate(rows)}
+    sets = [np.frombuffer(x[3], np.uint64) for x in rows]
+    size = np.array([len(x) for x in sets])
+    known, local = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.append(0, np.cumsum(size))
+    ids = [local[first[k] : first[k + 1]] for k in range(len(rows))]
+    mult, links, root = np.array([x[1] for x in rows]), np.zeros(len(rows), np.int64), list(range(len(rows)))
 
     def top(x: int) -> int:
-        while root.setdefault(x, x) != x:
+        while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    def flush() -> None:
-        out.extend((0, x, x, n) for x, n in links.items())
-        out.extend((1, x, top(x), 0) for x in root if top(x) != x)
-        sets.clear(), links.clear(), root.clear()
+    mine = np.zeros(len(known), bool)
+    for k, (_, _, partners, _) in enumerate(rows):
+        if not partners:
+            continue
+        other = np.array([at[p] for p in partners])
+        mine[ids[k]] = True
+        begin = np.append(0, np.cumsum(size[other]))[:-1]
+        shared = np.add.reduceat(mine[np.concatenate([ids[x] for x in other])].astype(np.int64), begin)
+        mine[ids[k]] = False
+        near = other[shared >= threshold * (size[k] + size[other] - shared) * (1 - 1e-12)]
+        links[k] += mult[near].sum()
+        np.add.at(links, near, mult[k])
+        for x in near.tolist():
+            x, y = top(x), top(k)
+            root[max(x, y)] = min(x, y)
+    docs = [x[0] for x in rows]
+    return [(0, docs[k], docs[k], int(n)) for k, n in enumerate(links) if n] + [(1, docs[k], docs[top(k)], 0) for k in range(len(rows)) if top(k) != k]
+
+
+def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The links and forests of all tasks, whose rows come together."""
+    task, held, out = None, [], []
 
     def made() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
@@ -185,24 +210,15 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int8()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["kind", "a", "b", "n"])
 
     for batch in batches:
-        for t, a, b, mult_a, mult_b, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if t != task:
-                flush()
-                task = t
-            if shingles is not None:
-                sets[a] = np.frombuffer(shingles, np.uint64)
-                continue
-            x, y = sets[a], sets[b]
-            if min(len(x), len(y)) < threshold * max(len(x), len(y)) * (1 - 1e-12):
-                continue
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            if shared >= threshold * (len(x) + len(y) - shared) * (1 - 1e-12):
-                links[a] = links.get(a, 0) + mult_b
-                links[b] = links.get(b, 0) + mult_a
-                x, y = top(a), top(b)
-                root[max(x, y)] = min(x, y)
+        for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if t != task and held:
+                out.extend(_settled(held, threshold))
+                held = []
+            task = t
+            held.append(tuple(row))
         yield made()
-    flush()
+    if held:
+        out.extend(_settled(held, threshold))
     yield made()
 
 
@@ -230,12 +246,10 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     tasks = members.select("bucket", "band", "doc", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", "band", "doc", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     least = least_agreement(threshold, tolerance)
     held = tasks.join(firsts, "doc").select("bucket", "i", "j", "block", "band", "doc", "mult", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
-    pairs = staged(held.mapInArrow(lambda b: _pruned(b, least), "task bigint, a bigint, b bigint, mult_a bigint, mult_b bigint"), "pairs")
-    wanted = pairs.select("task", F.col("a").alias("doc")).union(pairs.select("task", F.col("b").alias("doc"))).distinct()
-    sets = texts.join(wanted.select("doc"), "doc", "left_semi").mapInArrow(_shingle_rows, "doc bigint, shingles binary")
-    rows = wanted.join(sets, "doc").select("task", F.col("doc").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("mult_a"), F.lit(0).cast("bigint").alias("mult_b"), "shingles")
-    rows = rows.union(pairs.select("task", "a", "b", "mult_a", "mult_b", F.lit(None).cast("binary").alias("shingles")))
-    rows = rows.repartition("task").sortWithinPartitions("task", F.col("b").asc_nulls_first())
+    asked = staged(held.mapInArrow(lambda b: _pruned(b, least), "task bigint, doc bigint, mult bigint, partners array<bigint>"), "asked")
+    # merge joins at every size: texts move once, whatever the number of nodes that are asked for
+    sets = texts.join(asked.select("doc").hint("merge"), "doc", "left_semi").mapInArrow(_shingle_rows, "doc bigint, shingles binary")
+    rows = asked.join(sets.hint("merge"), "doc").select("task", "doc", "mult", "partners", "shingles").repartition("task").sortWithinPartitions("task", "doc")
     verified = staged(rows.mapInArrow(lambda b: _verified(b, threshold), "kind tinyint, a bigint, b bigint, n bigint"), "verified")
     classes = components(verified.filter("kind = 1").select("a", "b"))
     links = verified.filter("kind = 0").groupBy("a").agg(F.sum("n").alias("links"))
