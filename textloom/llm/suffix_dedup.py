@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .repeats import COUNT, SHIFT, columns, covered, found_segments, repeated_windows, with_spans
-from .session import read_table
+from .session import read_table, staged
 from .vectext import _bytes, mix, sums, utf8
 
 WIDTH = 100
 GRAM = 28
 #: Bytes of a shard, and of the shards that are merged at a time (a group of segments is never cut).
-SHARD, MERGE = 1 << 17, 1 << 19
+SHARD, MERGE = 1 << 14, 1 << 15  # small enough for a core's cache
 #: Segments of a group that one task may hold; the windows of larger groups are compared in a shuffle of their own.
 GROUP = 2048
 
@@ -191,7 +191,7 @@ def repeated_strings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     texts = columns(docs, id_col, text_col)
     found = found_segments(texts, units, elect(width), width)
     look = found.filter("kind = 1")
-    large = look.groupBy("key").count().filter(F.col("count") > GROUP).select("key", F.lit(True).alias("large"))
+    large = staged(look.groupBy("key").count().filter(F.col("count") > GROUP).select("key", F.lit(True).alias("large")), "large")
     look = look.join(large, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     by_doc = look.filter("NOT large").groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("look"))
     contents = texts.join(by_doc, "doc").select("doc", "text", "look").mapInArrow(lambda b: _contents(b, width), "key bigint, doc bigint, place bigint, content binary")
