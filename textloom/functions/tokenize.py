@@ -112,6 +112,13 @@ def load(model: str) -> Callable[[str, bool, bool], list[Span]]:
     return made
 
 
+def _load_here(model: str, dictionary: Callable | None) -> Callable[[str, bool, bool], list[Span]]:
+    """``load`` in a task, where the driver's dictionaries aren't registered yet."""
+    if dictionary is not None:
+        _dictionaries.setdefault(model, dictionary)
+    return load(model)
+
+
 def prefetch_model(model_id: str) -> None:
     """Load a tokenizer in this process; errors show here and not in a task."""
     require_feature("tokenization", "prefetch_model")
@@ -137,9 +144,7 @@ def tokenize(c: Column | str, *, model: str, lowercase: bool = True, remove_punc
 
     @arrow_udf(TOKENS)
     def tokens(texts: pa.Array) -> pa.Array:
-        if custom is not None:
-            _dictionaries.setdefault(model, custom)
-        spans = load(model)
+        spans = _load_here(model, custom)
         offsets, token, start, end = [0], [], [], []
         for text in texts.to_pylist():
             for t, a, b in spans(text, lowercase, remove_punct) if text else ():
