@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import read_table
+from .session import read_table, without_ids
 from .vectext import Words, signed, slabs, utf8
 
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -123,9 +123,8 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without those that hold a benchmark item; rows are judged where they lie where the benchmark fits one pass."""
-    leaks = contained_items(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The documents without those that hold a benchmark item."""
+    return without_ids(docs, contained_items(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 ORACLE = r"""

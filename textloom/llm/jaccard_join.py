@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import read_table, staged
+from .session import read_table, staged, without_ids
 from .vectext import Words, mix, signed, slabs, utf8
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-4
@@ -266,8 +266,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without those that have an earlier one in their class."""
-    out = jaccard_classes(docs.select("doc_id", "text")).filter("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("_id"), "left_anti")
+    return without_ids(docs, jaccard_classes(docs.select("doc_id", "text")).filter("doc_id <> class_id").select("doc_id"))
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .repeats import COUNT, SHIFT, columns, covered, found_segments, repeated_windows, with_spans
-from .session import read_table, staged
+from .session import fresh, read_table, staged
 from .vectext import _bytes, mix, sums, utf8
 
 WIDTH = 100
@@ -246,8 +246,9 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their repeated strings cut out; a document of which nothing is left goes."""
-    cut = dedup_suffixes(docs.select("doc_id", "text")).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text")
-    joined = docs.join(cut, F.col("doc_id") == F.col("_id"), "left").withColumn("text", F.when(F.col("_id").isNotNull(), F.col("kept_text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_id").isNotNull(), F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.filter("_id IS NULL OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns)
+    own, kept = fresh("id"), fresh("text")
+    cut = dedup_suffixes(docs.select("doc_id", "text")).filter("n_removed > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(own), F.col("kept_text").alias(kept)).dropDuplicates([own])
+    joined = docs.join(cut, docs["doc_id"] == F.col(own), "left")
+    changed = F.col(own).isNotNull()
+    columns = [docs[c] if c not in ("text", "n_chars") else F.when(changed, F.col(kept) if c == "text" else F.char_length(kept).cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) for c in docs.columns]
+    return joined.filter(~changed | F.col(kept).rlike(r"[^\x20\x09-\x0D]")).select(*columns)
