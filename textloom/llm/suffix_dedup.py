@@ -4,8 +4,9 @@ A first pass (``repeats``) settles text that repeats as a whole and leaves the s
 the ends of repeats, grouped by the 28 bytes that stand for their windows. Only segments of one
 group can share a 100-byte string. Each task cuts its groups into shards, builds a shard's
 suffix array and transform by itself, and merges the transforms: the interleave of their rows
-is refined by a stable pass by character, a depth a pass, without sorting suffixes anew. Where a pass first parts two neighbours gives their common prefix; rows
-not parted after 100 passes are the repeated intervals.
+is refined by a stable pass by character, a depth a pass, without sorting suffixes anew. The
+last pass in which a row has company gives its common prefix; rows with company after 100
+passes are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -90,12 +91,13 @@ class Shard:
         self.count = len(strings)
 
 
-def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of all shards (numbered through) in merged order, and each row's common prefix with the one before (``depth`` where it is that or more).
+def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (numbered through all shards) that share their first ``depth`` characters with another, in merged order; their interval; and for every row its longest common prefix with another, up to ``depth``.
 
     Pass h orders the rows by their first h characters: stably by the character before each
-    row, which leads from a row to the one that starts there. Rows that begin with a string's
-    end keep their places.
+    row, which leads from a row to the one that starts there. Intervals part where character or
+    interval before differ. A row alone in its interval is settled, and so is whatever leads
+    on from it, so passes only touch rows whose order among equals still matters.
     """
     base = np.cumsum([0, *(len(s.order) for s in shards)])
     transform = np.concatenate([s.transform for s in shards])
@@ -103,49 +105,37 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     for s, b in zip(shards, base, strict=False):
         by_code = np.argsort(s.transform, kind="stable")[s.count :]
         leads[b + by_code] = b + s.count + np.arange(len(by_code))
-    ends = np.concatenate([b + np.arange(s.count) for s, b in zip(shards, base, strict=False)]).astype(np.int32)
-    rows, m = np.arange(len(transform), dtype=np.int32), len(ends)
-    prefix = np.full(len(rows), depth, np.int16)
-    prefix[:m] = 0
-    block = np.zeros(len(rows), np.int32)
-    number = np.arange(m, dtype=np.int32)
-    for h in range(depth):
+    rows, block = np.arange(len(transform), dtype=np.int32), np.zeros(len(transform), np.int32)
+    shared = np.zeros(len(transform), np.int16)
+    for h in range(1, depth + 1):
         code = transform[rows]
-        order = np.argsort(code, kind="stable")[m:]  # where a string begins, the row before is an end, which has its place
-        code, was = code[order], block[order]
-        parted = np.empty(len(order), bool)
-        parted[:1] = True
-        np.not_equal(was[1:], was[:-1], out=parted[1:])
-        parted[1:] |= code[1:] != code[:-1]
-        here = prefix[m:]
-        here[parted & (here == depth)] = h
-        rows = np.concatenate([ends, leads[rows[order]]])
-        block = np.concatenate([number, m + np.cumsum(parted, dtype=np.int32)])
-        if int(block[-1]) == len(rows):
-            break  # every row stands alone
-    return rows, prefix
+        order = np.argsort(code, kind="stable")
+        order = order[np.searchsorted(code[order], 1) :]  # where a string begins, nothing leads on
+        code, was, rows = code[order], block[order], leads[rows[order]]
+        parted = np.ones(len(rows) + 1, bool)
+        parted[1:-1] = (code[1:] != code[:-1]) | (was[1:] != was[:-1])
+        keep = ~(parted[:-1] & parted[1:])
+        rows, block = rows[keep], np.cumsum(parted[:-1], dtype=np.int32)[keep]
+        shared[rows] = h
+        if not len(rows):
+            break
+    return rows, block, shared
 
 
 def repeated_intervals(strings: list[bytes], depth: int, shard_bytes: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String, offset and interval of every ``depth``-byte string that occurs at least twice."""
     shards, base, held, size = [], [], [], 0
-    starts = [0]
     for i, x in enumerate(strings):
         held.append(x)
         size += len(x)
         if size >= shard_bytes or i == len(strings) - 1:
             shards.append(Shard(held))
-            base.append(starts[-1])
-            starts.append(i + 1)
+            base.append(i + 1 - len(held))
             held, size = [], 0
-    rows, prefix = merge(shards, depth)
+    rows, interval, _ = merge(shards, depth)
     string = np.concatenate([s.string[s.order] + b for s, b in zip(shards, base, strict=True)])[rows]
     offset = np.concatenate([s.order - s.begin[s.string[s.order]] for s in shards])[rows]
-    long = offset + depth <= np.array([len(x) for x in strings])[string]
-    interval = np.cumsum(prefix < depth)
-    twice = np.bincount(interval[long], minlength=interval[-1] + 1)[interval] > 1
-    keep = long & twice
-    return string[keep], offset[keep], interval[keep]
+    return string, offset, interval
 
 
 def _contents(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
