@@ -23,7 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_html_extraction": site_style.ORACLE,
     "op3_benchmark_decontamination": decontamination.ORACLE,
+    "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op7_chat_formatting": chat_format.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op9_warc": warc.ORACLE,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE,
 }

@@ -242,3 +242,18 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     changed = F.col(own).isNotNull()
     columns = [docs[c] if c not in ("text", "n_chars") else F.when(changed, F.col(kept) if c == "text" else F.char_length(kept).cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) for c in docs.columns]
     return joined.filter(~changed | F.col(kept).rlike(r"[^\x20\x09-\x0D]")).select(*columns)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS s FROM (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 99)) AS i FROM d)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w),
+a AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS opens FROM f WHERE k > 1),
+b AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM a),
+s AS (SELECT doc_id, min(i) AS b, max(i) + 99 AS e FROM b GROUP BY doc_id, span),
+g AS (SELECT s.doc_id, b, e, substr(h, 2 * lag(e, 1, 0) OVER o + 1, 2 * (b - 1 - lag(e, 1, 0) OVER o)) AS gap FROM s JOIN d USING (doc_id) WINDOW o AS (PARTITION BY s.doc_id ORDER BY b)),
+t AS (SELECT doc_id, count(*) AS n, sum(e - b + 1) AS gone, max(e) AS e, string_agg(gap, '' ORDER BY b) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * e + 1), h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
