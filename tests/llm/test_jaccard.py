@@ -82,3 +82,24 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + rng.randrange(50)) for _ in range(60)] + [(7, 7)]
     got = {r["node"]: r["class"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert all(got[k] == 0 for k in range(41)) and all(v == 100 for k, v in got.items() if k >= 100)
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(10_000), 800)
+    edges = [*zip(ids[:400], ids[1:400]), *zip(ids[400:], ids[401:]), *((20_000 + k, 20_001 + k) for k in range(300))]
+    got = {r["node"]: r["class"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {**{i: min(ids[:400]) for i in ids[:400]}, **{i: min(ids[400:]) for i in ids[400:]}, **{20_000 + k: 20_000 for k in range(301)}}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    want = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in range(300):
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert {r["node"]: r["class"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == want
