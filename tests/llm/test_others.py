@@ -144,6 +144,19 @@ def test_site_style(spark):
     assert all(got[k] == f"Story {k} is about {k * 7} More of {k}" and got[100 + k] == f"T{k} Same text own {k}" for k in range(30))
 
 
+def test_names_are_evidence(spark):
+    cases = {
+        "<html class='menu-closed'><body class='single right-sidebar'><article><h1>T</h1><h2 id='related-work'>R</h2><p>a</p><h3 id=menu>m</h3><section id='notice-of-appeal'><p>n</p></section><div class='share'>no</div></article></body></html>": "T R a m n",
+        "<body><div class=overlay><main><p>x</p></main></div><div class=sidebar>no</div></body>": "x",
+        "<body><div class='with-sidebar'><article><p>x</p><pre><b class=comment># c</b></pre></article></div></body>": "x # c",
+        "<body><div class=comments><article>no</article></div><div hidden><main>no</main></div><p>y</p></body>": "y",
+    }
+    rows = [(k, f"http://h{k}.example/p", h) for k, h in enumerate(cases)]
+    rows += [(100 + k, f"http://a.example/{k}", f"<body><div class='related-work'><p>Story {k} is about {k * 7}</p></div><div class='site-footer'><p>all rights</p><p>seen {k % 5}</p></div></body>") for k in range(30)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == dict(enumerate(cases.values())) | {100 + k: f"Story {k} is about {k * 7}" for k in range(30)}
+
+
 def test_broken_markup_is_quick():
     assert Page("<a b='" * 3000).text() is not None and Page("<" * 5000).text() == "<" * 5000
 

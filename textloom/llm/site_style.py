@@ -9,10 +9,12 @@ over few pages each, is important; one that looks and reads the same on every pa
     content:       1 - mean over features of - sum over pages of q log_m q
     composite:     (1 - g^k) * own + g^k * mean of the k children's
 
-Branches of low composite importance go, and so do those that their tag, role or class declares
-to be no article (menus, headers, footers, sidebars, notices, adverts, forms, comments). Where a
-page marks its article or main part, the rest goes, and of that part only containers, not its
-paragraphs and headings, can fall to their importance.
+Branches of low composite importance go, and so do those that their tag, role or whole class or
+id declares to be no article (menus, headers, footers, sidebars, notices, adverts, forms,
+comments). A word of a longer name (``right-sidebar``, ``related-work``) only raises the importance
+that a branch needs; names say nothing of pages, headings, code and what holds the main part.
+Where a page marks its article or main part, the rest goes, and of that part only containers, not
+its paragraphs and headings, can fall to their importance.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ from pyspark.sql import functions as F
 from .session import read_table, staged
 
 DAMPING, LEAST = 0.9, 0.5
+#: Importance that branches need which a part of their name, or a place outside the marked part, speaks against.
+DOUBTED = 0.8
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_WORDS = re.compile(r"[a-z0-9]+")
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 # HTML's element classes, and names that declare what is no article.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,15 +53,22 @@ _NO_CLASS = frozenset(
 )
 _KEPT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre code figure figcaption b i em strong span a br".split())
 _LANDMARK = frozenset(("article", "main"))
+_UNNAMED = _LANDMARK | frozenset("html head body h1 h2 h3 h4 h5 h6 hgroup pre code".split())
 
 
 class Page:
-    """Elements in page order (``tag``, ``parent``, ``sign``, ``noise``, ``part``: landmark or inside one) and text runs (element, text)."""
+    """Elements in page order (``tag``, ``parent``, ``sign``, ``noise``, ``part``: landmark or inside one) and text runs (element, text).
 
-    __slots__ = ("tag", "parent", "sign", "noise", "part", "runs", "features", "kids")
+    Elements that are noise themselves are ``declared`` (by tag, role, hiding) or ``named``; ``doubted`` are those that a word of their name speaks against.
+    """
+
+    __slots__ = ("tag", "parent", "sign", "noise", "part", "declared", "named", "doubted", "runs", "features", "kids")
 
     def __init__(self, html: str):
         self.tag, self.parent, self.sign, self.noise, self.part = ["#page"], [-1], ["#page"], [False], [False]
+        self.declared: set[int] = set()
+        self.named: set[int] = set()
+        self.doubted: set[int] = set()
         self.kids: list[list[int]] = [[]]
         self.runs: list[tuple[int, str]] = []
         self.features: list[tuple[int, str]] = []
@@ -91,6 +103,38 @@ class Page:
                     stack.append(i)
                 elif name not in _VOID:
                     stack.append(i)
+        if self.named:
+            self._lift()
+        if self.doubted:
+            self.doubted -= self.above()
+
+    def _lift(self) -> None:
+        """Names of what holds the page's main part say nothing."""
+        lifted = set()
+        for i, tag in enumerate(self.tag):
+            if tag == "main":
+                above = []
+                while i > 0:
+                    above.append(i)
+                    i = self.parent[i]
+                if self.declared.isdisjoint(above):
+                    lifted |= self.named.intersection(above)
+        self.named -= lifted
+        if lifted:
+            for i in range(1, len(self.tag)):
+                self.noise[i] = i in self.declared or i in self.named or self.noise[self.parent[i]]
+                self.part[i] = self.part[self.parent[i]] or (self.tag[i] in _LANDMARK and not self.noise[i])
+
+    def above(self) -> set[int]:
+        """Elements that hold a landmark and are in none."""
+        out = set()
+        for i, part in enumerate(self.part):
+            if part and not self.part[self.parent[i]]:
+                j = self.parent[i]
+                while j >= 0:
+                    out.add(j)
+                    j = self.parent[j]
+        return out
 
     def _imply(self, stack: list[int], name: str) -> None:
         closes = {"p"} if name in _CLOSES_P else _SIBLING[name]
@@ -111,7 +155,9 @@ class Page:
             kind = (values.get("class", "") + " " + values.get("id", "")).lower()
             if kind != " ":
                 sign = f"{name}.{' '.join(kind.split())}"
-                noise = noise or (name not in _LANDMARK and not _NO_CLASS.isdisjoint(re.split(r"[^a-z0-9]+", kind)))
+                if name not in _UNNAMED and self.tag[parent] not in ("pre", "code") and not _NO_CLASS.isdisjoint(_WORDS.findall(kind)):
+                    whole = any(_NO_CLASS.issuperset(_WORDS.findall(x)) for x in kind.split() if _WORDS.search(x))
+                    (self.named if whole else self.doubted).add(i)
             noise = noise or values.get("role", "").lower() in _NO_ROLE or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
             link = values.get("href") or values.get("src")
             if link:
@@ -121,7 +167,9 @@ class Page:
         self.tag.append(name)
         self.parent.append(parent)
         self.sign.append(sign)
-        self.noise.append(noise or self.noise[parent])
+        if noise:
+            self.declared.add(i)
+        self.noise.append(noise or i in self.named or self.noise[parent])
         self.part.append(self.part[parent] or (name in _LANDMARK and not self.noise[-1]))
         self.kids.append([])
         self.kids[parent].append(i)
@@ -140,15 +188,25 @@ class Page:
 
     def undecided(self) -> list[int]:
         """Elements that only their importance can judge."""
-        marked = any(self.part)
-        ancestors = set()
-        for i, part in enumerate(self.part):
-            if part and not self.part[self.parent[i]]:
-                j = self.parent[i]
-                while j >= 0:
-                    ancestors.add(j)
-                    j = self.parent[j]
-        return [i for i in range(1, len(self.tag)) if not self.noise[i] and i not in ancestors and self.tag[i] not in ("html", "body") and (not marked or (self.part[i] and self.tag[i] not in _KEPT and self.tag[i] not in _LANDMARK))]
+        marked, above = any(self.part), self.above()
+        return [
+            i
+            for i in range(1, len(self.tag))
+            if not self.noise[i] and i not in above and self.tag[i] not in ("html", "body") and (not marked or (self.part[i] and (i in self.doubted or (self.tag[i] not in _KEPT and self.tag[i] not in _LANDMARK))))
+        ]
+
+    def gone(self, own: dict[int, tuple[float, float]], least: float) -> set[int]:
+        """Elements that fall, from (own importance, times seen on the host) of those that can be judged."""
+        whole, marked, out = composite(self, {i: x for i, (x, _) in own.items()}), any(self.part), set()
+        above = self.above()
+        for i in self.undecided():
+            outside = marked and not self.part[i]
+            if i in self.doubted or (outside and (self.tag[i] not in _INLINE or self.parent[i] in above)):
+                if whole.get(i, 1.0) < max(least, DOUBTED) or (outside and own.get(i, (1.0, 1.0))[1] <= 1):
+                    out.add(i)
+            elif whole.get(i, 1.0) < least and self.tag[i] not in _INLINE:
+                out.add(i)
+        return out
 
     def below(self, nodes: list[int]) -> list[int]:
         """``nodes`` and what lies under them, noise aside."""
@@ -159,10 +217,11 @@ class Page:
             inside[i] = not self.noise[i] and (inside[i] or inside[self.parent[i]])
         return [i for i, x in enumerate(inside) if x]
 
-    def text(self, gone: set[int] = frozenset()) -> str:
+    def text(self, gone: set[int] | None = None) -> str:
+        """The text without ``gone``; None: of the marked part, or of all if there is none."""
         marked, out, lost = any(self.part), [], list(self.noise)
         for i in range(1, len(lost)):
-            lost[i] = lost[i] or i in gone or lost[self.parent[i]]
+            lost[i] = lost[i] or (gone is not None and i in gone) or lost[self.parent[i]]
         for i, run in self.runs:
             if not lost[i] and (self.part[i] or not marked):
                 out.append(run)
@@ -216,7 +275,7 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(key, own): own importance of every element of the style trees of all hosts."""
+    """(key, own, m): own importance of every element of the style trees of all hosts, and how often it was seen."""
     rows = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(_observed, "key bigint, kind tinyint, item bigint, total double, logs double")
     items = rows.groupBy("key", "kind", "item").agg(F.sum("total").alias("total"), F.sum("logs").alias("logs"))
     style, content = F.col("kind") == 0, F.col("kind") == 1
@@ -229,7 +288,7 @@ def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
     m = F.log("m")
     own = F.when(F.col("m") <= 1, 1.0).when(F.col("features") > 0, 1 - F.col("spread") / F.col("features") / m).otherwise((m - F.col("styles") / F.col("m")) / m)
-    return by_key.select("key", F.least(F.lit(1.0), F.greatest(F.lit(0.0), own)).alias("own"))
+    return by_key.select("key", F.least(F.lit(1.0), F.greatest(F.lit(0.0), own)).alias("own"), "m")
 
 
 _DECIDED = "text string, page bigint, url string, html string, look array<struct<node: int, key: bigint>>"
@@ -272,8 +331,7 @@ def _judged(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         text = []
         for html, own in zip(batch.column("html").to_pylist(), batch.column("own").to_pylist(), strict=True):
             page = Page(html or "")
-            whole = composite(page, {x["node"]: x["own"] for x in own or ()})
-            gone = {i for i in page.undecided() if whole.get(i, 1.0) < least and page.tag[i] not in _INLINE}
+            gone = page.gone({x["node"]: (x["own"], x["m"]) for x in own or ()}, least)
             text.append(page.text(gone) or page.text())
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
@@ -291,7 +349,7 @@ def main_text(pages: DataFrame, least: float = LEAST, id_col: str = "page_id", u
     decided = rows.mapInArrow(lambda b: _parsed(b, True), schema)
     others = rows.mapInArrow(lambda b: _parsed(b, False), f"page_id {kind}, url string, html string, look array<struct<node: int, key: bigint>>").withColumn("row", F.xxhash64("page_id", "url", "html"))
     asked = others.select("row", F.explode("look").alias("x")).select("row", "x.node", "x.key").distinct()
-    found = asked.join(staged(importance(rows, "url", "html"), "importance"), "key").groupBy("row").agg(F.collect_list(F.struct("node", "own")).alias("own"))
+    found = asked.join(staged(importance(rows, "url", "html"), "importance"), "key").groupBy("row").agg(F.collect_list(F.struct("node", "own", "m")).alias("own"))
     judged = others.join(found, "row", "left").select("page_id", "url", "html", "own").mapInArrow(lambda b: _judged(b, least), schema)
     return decided.union(judged)
 
