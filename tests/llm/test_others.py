@@ -157,6 +157,13 @@ def test_names_are_evidence(spark):
     assert got == dict(enumerate(cases.values())) | {100 + k: f"Story {k} is about {k * 7}" for k in range(30)}
 
 
+def test_outside_of_landmarks_is_judged(spark):
+    rows = [(k, f"http://a.example/{k}", f"<body><a href=#x>skip</a><article><p>Lead</p></article><div><p>Story {k} is about {k * 7}</p><p>More of {k}</p></div><div>site words</div></body>") for k in range(30)]
+    rows.append((99, "http://lone.example/", "<body><article><p>Lead</p></article><div>no other page tells</div></body>"))
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: f"Lead Story {k} is about {k * 7} More of {k}" for k in range(30)} | {99: "Lead"}
+
+
 def test_broken_markup_is_quick():
     assert Page("<a b='" * 3000).text() is not None and Page("<" * 5000).text() == "<" * 5000
 

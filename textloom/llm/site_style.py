@@ -13,8 +13,9 @@ Branches of low composite importance go, and so do those that their tag, role or
 id declares to be no article (menus, headers, footers, sidebars, notices, adverts, forms,
 comments). A word of a longer name (``right-sidebar``, ``related-work``) only raises the importance
 that a branch needs; names say nothing of pages, headings, code and what holds the main part.
-Where a page marks its article or main part, the rest goes, and of that part only containers, not
-its paragraphs and headings, can fall to their importance.
+Where a page marks its article or main part, branches outside need the higher importance too,
+seen on more than one page, and of that part only containers, not its paragraphs and headings,
+can fall to their importance.
 """
 
 from __future__ import annotations
@@ -192,7 +193,7 @@ class Page:
         return [
             i
             for i in range(1, len(self.tag))
-            if not self.noise[i] and i not in above and self.tag[i] not in ("html", "body") and (not marked or (self.part[i] and (i in self.doubted or (self.tag[i] not in _KEPT and self.tag[i] not in _LANDMARK))))
+            if not self.noise[i] and i not in above and self.tag[i] not in ("html", "body") and (not marked or not self.part[i] or i in self.doubted or (self.tag[i] not in _KEPT and self.tag[i] not in _LANDMARK))
         ]
 
     def gone(self, own: dict[int, tuple[float, float]], least: float) -> set[int]:
@@ -220,10 +221,11 @@ class Page:
     def text(self, gone: set[int] | None = None) -> str:
         """The text without ``gone``; None: of the marked part, or of all if there is none."""
         marked, out, lost = any(self.part), [], list(self.noise)
+        above = self.above()
         for i in range(1, len(lost)):
             lost[i] = lost[i] or (gone is not None and i in gone) or lost[self.parent[i]]
         for i, run in self.runs:
-            if not lost[i] and (self.part[i] or not marked):
+            if not lost[i] and (self.part[i] or not marked or (gone is not None and i not in above)):
                 out.append(run)
             elif run == " " and out and out[-1] != " ":
                 out.append(run)
