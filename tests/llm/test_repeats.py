@@ -111,3 +111,14 @@ def test_merged_transforms(seed):
 def test_suffix_array():
     text = np.array([3, 2, 3, 2, 3, 0, 2, 2, 1])
     assert suffix_array(text).tolist() == sorted(range(9), key=lambda k: text[k:].tolist())
+
+
+def test_long_repeats_fit_their_places():
+    n, each = 400_000, 50  # 20 million windows in a row, all but the first segment repeated
+    start = np.arange(n, dtype=np.int64) * each + 1000
+    same = np.zeros(n, np.uint64)
+    out = repeats._combined([(same, same, np.zeros(n, np.int64), np.zeros(n, np.int64), (start << repeats.SHIFT) | each)]).to_pydict()
+    places = np.array([p for k, p in zip(out["kind"], out["place"], strict=True) if k == 0])
+    total = 1000 + n * each
+    gone = repeats.covered(total, places, 1)
+    assert len(places) < 10 and not gone[: 1000 + each].any() and gone[1000 + each :].all()

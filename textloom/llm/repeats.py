@@ -34,6 +34,8 @@ HOLD = 1 << 19
 #: A place is first unit << SHIFT | number of windows.
 SHIFT = 24
 COUNT = (1 << SHIFT) - 1
+#: Neighbouring places are joined within cells of 1 << CELL units, so that their number of windows fits.
+CELL = SHIFT - 1
 _ANCHORS = "kind tinyint, key bigint, seg bigint, doc bigint, place bigint"
 _SPANS = "kind tinyint, key bigint, doc bigint, place bigint"
 
@@ -108,7 +110,8 @@ def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     order = np.lexsort((place[again], row[again]))
     d, r, p = (x[again][order] for x in (doc, row, place))
     first = np.ones(len(p), bool)
-    first[1:] = (r[1:] != r[:-1]) | (p[1:] >> SHIFT != (p[:-1] >> SHIFT) + (p[:-1] & COUNT))
+    start = p >> SHIFT
+    first[1:] = (r[1:] != r[:-1]) | (start[1:] != start[:-1] + (p[:-1] & COUNT)) | (start[1:] >> CELL != start[:-1] >> CELL)
     if len(p):
         p = (p[first] >> SHIFT << SHIFT) + np.add.reduceat(p & COUNT, np.flatnonzero(first))
         d = d[first]
