@@ -13,7 +13,8 @@ Units are the bytes or the words of a document. The work goes in four steps, eac
 
 A copied passage costs a row for a segment and task, not one for a window and document, so
 neither a hot passage nor a large group of copies makes a partition much larger than others.
-``doc_id`` orders documents, null last; rows with one doc_id are not earlier than each other.
+A document is a row's id and a hash of its text, in this order, null ids last; rows equal in both
+are one document, and what is cut out of a row is never cut out of another text.
 """
 
 from __future__ import annotations
@@ -22,27 +23,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import staged
+from .session import fresh, staged
 from .vectext import mix, signed, slabs, span_hash, sums, utf8
 
 LAST = (1 << 63) - 1
 #: Anchors that a task holds before it compares them and passes them on.
 HOLD = 1 << 19
-#: A place is first unit << SHIFT | number of windows.
-SHIFT = 24
-COUNT = (1 << SHIFT) - 1
-#: Neighbouring places are joined within cells of 1 << CELL units, so that their number of windows fits.
-CELL = SHIFT - 1
-_ANCHORS = "kind tinyint, key bigint, seg bigint, doc bigint, place bigint"
-_SPANS = "kind tinyint, key bigint, doc bigint, place bigint"
+_ANCHORS = "kind tinyint, key bigint, seg bigint, doc bigint, row bigint, start bigint, count bigint"
+_SPANS = "kind tinyint, doc bigint, row bigint, start bigint, count bigint"
+_WINDOWS = "kind tinyint, h0 bigint, h1 bigint, doc bigint, row bigint, start bigint, count bigint"
 
 #: From (bytes, offsets) of a slab: unit values, row of each unit, first unit of each row (one more at the end), width.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 #: From (values, rows, window starts): for each window the block it elects (-1: none) and each block's span (lo, hi).
 Elect = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: From (values, first units, ends) of segments: a name of each one's content.
+Name = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def range_argmin(names: np.ndarray, f: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -69,13 +68,11 @@ def range_argmin(names: np.ndarray, f: np.ndarray, g: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(values: np.ndarray, row: np.ndarray, width: int, elect: Elect) -> tuple[np.ndarray, ...]:
-    """Key, content hash, first unit and number of windows of each segment of a slab."""
+def segments(values: np.ndarray, row: np.ndarray, width: int, elect: Elect, name: Name | None) -> tuple[np.ndarray, ...]:
+    """Key, name of the content (0 without ``name``), first unit and number of windows of each segment of a slab."""
     n = len(values) - width + 1
     none = np.zeros(0, np.int64)
-    if n <= 0:
-        return none.view(np.uint64), none.view(np.uint64), none, none
-    at = np.flatnonzero(row[:n] == row[width - 1 :])
+    at = np.flatnonzero(row[:n] == row[width - 1 :]) if n > 0 else none
     if not len(at):
         return none.view(np.uint64), none.view(np.uint64), none, none
     chosen, lo, hi = elect(values, row, at)
@@ -84,8 +81,7 @@ def segments(values: np.ndarray, row: np.ndarray, width: int, elect: Elect) -> t
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(at)))
     start, block = at[head], chosen[head]
-    c, inv = sums(values, 0)
-    content = span_hash(c, inv, start, start + count + width - 1)
+    content = name(values, start, start + count + width - 1) if name else np.zeros(len(start), np.uint64)
     a, b = start.copy(), start + width
     some = block >= 0
     a[some], b[some] = lo[block[some]], hi[block[some]]
@@ -93,48 +89,53 @@ def segments(values: np.ndarray, row: np.ndarray, width: int, elect: Elect) -> t
     return span_hash(c, inv, a, b), content, start, count
 
 
+def document(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What tells the documents of a table apart, and their order: the id, null last, and a hash of the text."""
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)), F.xxhash64(F.col(text_col).cast("string"))
+
+
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    doc, row = document(id_col, text_col)
+    return docs.select(doc.alias("doc"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
 
 
 def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Of a task's segments those that it hasn't in an earlier place (kind 1), and the others as repeated (kind 0)."""
-    key, seg, doc, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((place, row, doc, key, seg))
-    key, seg, doc, row, place = key[order], seg[order], doc[order], row[order], place[order]
+    key, seg, doc, row, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((start, row, doc, key, seg))
+    key, seg, doc, row, start, count = (x[order] for x in (key, seg, doc, row, start, count))
     new = np.ones(len(key), bool)
     new[1:] = (seg[1:] != seg[:-1]) | (key[1:] != key[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    again = ~new & ((doc > doc[head]) | (row == row[head]))
+    again = (doc != doc[head]) | (row != row[head]) | (start != start[head])
     # what is repeated needs no partner: neighbours become one row, and any partition will do for it
-    order = np.lexsort((place[again], row[again]))
-    d, r, p = (x[again][order] for x in (doc, row, place))
-    first = np.ones(len(p), bool)
-    start = p >> SHIFT
-    first[1:] = (r[1:] != r[:-1]) | (start[1:] != start[:-1] + (p[:-1] & COUNT)) | (start[1:] >> CELL != start[:-1] >> CELL)
-    if len(p):
-        p = (p[first] >> SHIFT << SHIFT) + np.add.reduceat(p & COUNT, np.flatnonzero(first))
-        d = d[first]
-    kind = np.concatenate([np.zeros(len(p), np.int8), np.ones(int((~again).sum()), np.int8)])
-    spread = mix(d.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64))
-    columns = (np.concatenate([spread, key[~again]]), np.concatenate([np.zeros(len(p), np.uint64), seg[~again]]), np.concatenate([d, doc[~again]]), np.concatenate([p, place[~again]]))
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(signed(columns[0])), pa.array(signed(columns[1])), pa.array(columns[2]), pa.array(columns[3])], names=["kind", "key", "seg", "doc", "place"])
-
-
-def _anchor_rows(units: Units, elect: Elect, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    order = np.lexsort((start[again], row[again], doc[again]))
+    d, r, s, c = (x[again][order] for x in (doc, row, start, count))
+    first = np.ones(len(s), bool)
+    first[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1] + c[:-1])
+    if len(s):
+        c = np.add.reduceat(c, np.flatnonzero(first))
+        d, r, s = d[first], r[first], s[first]
+    kind = np.concatenate([np.zeros(len(s), np.int8), np.ones(int(new.sum()), np.int8)])
+    spread = mix(d.view(np.uint64) * np.uint64(31) + s.view(np.uint64))
+    columns = [np.concatenate([spread, key[new]]), np.concatenate([np.zeros(len(s), np.uint64), seg[new]])]
+    rest = [np.concatenate([x, y[new]]) for x, y in zip((d, r, s, c), (doc, row, start, count), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(signed(x)) for x in columns), *map(pa.array, rest)], names=["kind", "key", "seg", "doc", "row", "start", "count"])
+
+
+def _anchor_rows(units: Units, elect: Elect, name: Name, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, base = [], 0, 0
+        parts, held = [], 0
         for batch in batches:
-            data, offs = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offs = utf8(batch.column(2))
+            doc, row = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, j in slabs(offs):
-                values, row, first = units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                key, seg, start, count = segments(values, row, width, elect)
+                values, of, first = units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                key, seg, start, count = segments(values, of, width, elect, name)
                 if not len(key):
                     continue
-                r = row[start]
-                parts.append((key, seg, ids[i + r], r + base, ((start - first[r]) << SHIFT) | count))
-                base += j - i
+                r = of[start]
+                parts.append((key, seg, doc[i + r], row[i + r], start - first[r], count))
                 held += len(key)
                 if held >= HOLD:
                     yield _combined(parts)
@@ -146,19 +147,19 @@ def _anchor_rows(units: Units, elect: Elect, width: int) -> Callable[[Iterator[p
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of segments in the order of (key, seg, doc): repeated ones (kind 0), and firsts whose key has another segment (kind 1)."""
-    state = None  # key, seg, doc of the segment's first, segments of the key so far, place of the first if it is the only one
-    names = ["kind", "key", "doc", "place"]
+    """Of segments in the order of (key, seg, doc, row, start): repeated ones (kind 0), and firsts whose key has another segment (kind 1)."""
+    state = None  # key and seg, place of the segment's first (doc, row, start, count), segments of the key so far
+    names = ["kind", "doc", "row", "start", "count"]
     for batch in batches:
-        kind, key, seg, doc, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        kind, key, seg, *place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         out: list[list[np.ndarray]] = []
 
         def put(k: int, *columns: np.ndarray) -> None:
             out.append([np.full(len(columns[0]), k, np.int8), *columns])
 
         local = kind == 0
-        put(0, key[local], doc[local], place[local])
-        key, seg, doc, place = key[~local], seg[~local], doc[~local], place[~local]
+        put(0, *(x[local] for x in place))
+        key, seg, *place = (x[~local] for x in (key, seg, *place))
         n = len(key)
         if n:
             new_key = np.ones(n, bool)
@@ -166,41 +167,46 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new_seg = new_key.copy()
             new_seg[1:] |= seg[1:] != seg[:-1]
             goes_on = state is not None and state[0] == key[0]
-            same = goes_on and state[1] == seg[0]
-            if same:
+            if goes_on and state[1] == seg[0]:
                 new_seg[0] = False
             head = np.maximum.accumulate(np.where(new_seg, np.arange(n), -1))
-            first_doc = np.where(head >= 0, doc[head], state[2] if same else 0)
-            again = ~new_seg & (doc > first_doc)
-            put(0, key[again], doc[again], place[again])
+            again = np.zeros(n, bool)
+            for k in range(3):
+                again |= place[k] != np.where(head >= 0, place[k][head], state[2][k] if state is not None else 0)
+            put(0, *(x[again] for x in place))
             group = np.cumsum(new_key) - 1
             kinds = np.bincount(group, new_seg, minlength=group[-1] + 1).astype(np.int64)
             if goes_on:
                 if kinds[0] and state[3] == 1:
-                    put(1, *(np.array([state[i]]) for i in (0, 2, 4)))
+                    put(1, *(np.array([x]) for x in state[2]))
                 kinds[0] += state[3]
             look = ~again & (kinds[group] > 1)
-            put(1, key[look], doc[look], place[look])
-            if head[-1] >= 0:
-                state = (key[-1], seg[-1], doc[head[-1]], kinds[-1], place[head[-1]])
-            else:
-                state = (*state[:3], kinds[-1], state[4])
+            put(1, *(x[look] for x in place))
+            first = tuple(int(x[head[-1]]) for x in place) if head[-1] >= 0 else state[2]
+            state = (key[-1], seg[-1], first, kinds[-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
 
 def _window_rows(units: Units, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each document with segments to look at: its windows (kind 1), those that it has in an earlier place itself as kind 0."""
+    """For each document with segments to look at (doc, row, text, places): its windows (kind 1), those that it has in an earlier place itself as kind 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            ids, places = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            data, offs = utf8(batch.column(1))
+            doc, row = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            places = batch.column(3)
+            data, offs = utf8(batch.column(2))
+            equal = np.zeros(len(doc), bool)  # equal rows are one document
+            for k, own in enumerate(zip(doc.tolist(), row.tolist(), strict=True)):
+                equal[k], last = own == last, own
             for i, j in slabs(offs):
-                values, row, first = units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                values, _, first = units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 own = places.slice(i, j - i)
-                packed = own.flatten().to_numpy(zero_copy_only=False)
+                flat = own.flatten()
                 r = np.repeat(np.arange(j - i), own.value_lengths().to_numpy(zero_copy_only=False))
-                start, count = (packed >> SHIFT) + first[r], packed & COUNT
+                start, count = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("start", "count"))
+                r, start, count = (x[~equal[i + r]] for x in (r, start, count))
+                start = start + first[r]
                 at = np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 r = np.repeat(r, count)
                 hashes = [span_hash(*sums(values, k), at, at + width) for k in (0, 1)]
@@ -208,45 +214,49 @@ def _window_rows(units: Units, width: int) -> Callable[[Iterator[pa.RecordBatch]
                 order = np.lexsort((pos, hashes[1], hashes[0], r))
                 again = np.zeros(len(at), bool)
                 o, p = order[1:], order[:-1]
-                again[o] = (r[o] == r[p]) & (hashes[0][o] == hashes[0][p]) & (hashes[1][o] == hashes[1][p])
-                yield pa.RecordBatch.from_arrays([pa.array((~again).astype(np.int8)), pa.array(signed(hashes[0])), pa.array(signed(hashes[1])), pa.array(ids[i + r]), pa.array((pos << SHIFT) | 1)], names=["kind", "h0", "h1", "doc", "place"])
+                same = (r[o] == r[p]) & (hashes[0][o] == hashes[0][p]) & (hashes[1][o] == hashes[1][p])
+                head = order[np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(at)), 0))] if len(at) else order
+                again[order] = pos[order] != pos[head]
+                yield pa.RecordBatch.from_arrays([pa.array((~again).astype(np.int8)), pa.array(signed(hashes[0])), pa.array(signed(hashes[1])), pa.array(doc[i + r]), pa.array(row[i + r]), pa.array(pos), pa.array(np.ones(len(pos), np.int64))], names=["kind", "h0", "h1", "doc", "row", "start", "count"])
 
     return run
 
 
-def found_segments(texts: DataFrame, units: Units, elect: Elect, width: int) -> DataFrame:
-    """(kind, key, doc, place): repeated segments (kind 0), and those whose windows need a look (kind 1)."""
-    anchors = texts.mapInArrow(_anchor_rows(units, elect, width), _ANCHORS)
-    return staged(anchors.repartition("key").sortWithinPartitions("key", "seg", "doc").mapInArrow(_resolve, _SPANS), "segments")
+def found_segments(texts: DataFrame, units: Units, elect: Elect, name: Name, width: int) -> DataFrame:
+    """(kind, doc, row, start, count): repeated segments (kind 0), and those whose windows need a look (kind 1)."""
+    anchors = texts.mapInArrow(_anchor_rows(units, elect, name, width), _ANCHORS)
+    return staged(anchors.repartition("key").sortWithinPartitions("key", "seg", "doc", "row", "start").mapInArrow(_resolve, _SPANS), "segments")
 
 
 def repeated_windows(texts: DataFrame, look: DataFrame, units: Units, width: int) -> DataFrame:
-    """Of the windows in the segments ``look`` (doc, place) those that occur earlier in one of them."""
-    by_doc = look.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    windows = staged(texts.join(by_doc, "doc").select("doc", "text", "places").mapInArrow(_window_rows(units, width), "kind tinyint, h0 bigint, h1 bigint, doc bigint, place bigint"), "windows")
-    firsts = staged(windows.filter("kind = 1").groupBy("h0", "h1").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "firsts")  # written, so that the join can split a hot window
-    later = windows.filter("kind = 1").join(firsts, ["h0", "h1"]).filter("doc > first")
-    return windows.filter("kind = 0").select("doc", "place").union(later.select("doc", "place"))
+    """Of the windows in the segments ``look`` (doc, row, start, count) those that occur earlier in one of them."""
+    by_row = look.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "count")).alias("places"))
+    windows = staged(texts.join(by_row, ["doc", "row"]).select("doc", "row", "text", "places").mapInArrow(_window_rows(units, width), _WINDOWS), "windows")
+    place, found = F.struct("doc", "row", "start"), ["doc", "row", "start", "count"]
+    firsts = staged(windows.filter("kind = 1").groupBy("h0", "h1").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h0", "h1", "first"), "firsts")  # written, so that the join can split a hot window
+    later = windows.filter("kind = 1").join(firsts, ["h0", "h1"]).filter(place > F.col("first"))
+    return windows.filter("kind = 0").select(*found).union(later.select(*found))
 
 
-def repeated_spans(docs: DataFrame, units: Units, elect: Elect, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, place): windows that occur earlier, as place = first unit << SHIFT | number of windows."""
+def repeated_spans(docs: DataFrame, units: Units, elect: Elect, name: Name, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, row, start, count): stretches of ``count`` windows each of which occurs earlier."""
     texts = columns(docs, id_col, text_col)
-    found = found_segments(texts, units, elect, width)
-    return found.filter("kind = 0").select("doc", "place").union(repeated_windows(texts, found.filter("kind = 1"), units, width))
+    found = found_segments(texts, units, elect, name, width)
+    rest = repeated_windows(texts, found.filter("kind = 1"), units, width)
+    return found.filter("kind = 0").select("doc", "row", "start", "count").union(rest)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, text, places) of all documents; places is null where there is none."""
-    by_doc = spans.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"))
-    return texts.join(by_doc, "doc", "left").select("doc_id", "text", "places")
+def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, out_col: str) -> DataFrame:
+    """``docs`` with the stretches (start, count) of each row in ``out_col``; null where there is none."""
+    d, r = fresh("doc"), fresh("row")
+    doc, row = document(id_col, text_col)
+    by_row = spans.groupBy(F.col("doc").alias(d), F.col("row").alias(r)).agg(F.collect_set(F.struct("start", "count")).alias(out_col))
+    return docs.withColumn(d, doc).withColumn(r, row).join(by_row, [d, r], "left").select(*docs.columns, out_col)
 
 
-def covered(n: int, places: np.ndarray, width: int) -> np.ndarray:
-    """Which of n units lie in a window of ``places``."""
+def covered(n: int, start: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+    """Which of n units lie in a window of the stretches."""
     step = np.zeros(n + 1, np.int64)
-    start = places >> SHIFT
     np.add.at(step, start, 1)
-    np.add.at(step, start + (places & COUNT) + width - 1, -1)
+    np.add.at(step, start + count + width - 1, -1)
     return np.cumsum(step[:-1]) > 0

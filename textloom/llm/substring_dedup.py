@@ -5,8 +5,10 @@ of one word, two more rounds name pairs: a name's bit, drawn anew each round, ma
 or a right half, and each left half merges with a right half after it. Whether two neighbours
 merge depends on them alone, so the symbols inside equal passages are equal; ``lo`` and ``hi``
 keep how much text decided a symbol. Of the symbols that a 20-word window decides by itself,
-the one of least name stands for it; shared symbols, met in one shuffle, reveal the repeats,
-which are then verified window by window (see ``repeats``).
+the one of least name stands for it. Neighbouring windows of one symbol form a segment, which
+is recompressed by itself, round after round, until one symbol names it: shared symbols, met in
+one shuffle, reveal the repeats, and equal top symbols verify them as a whole. Only where
+segments of one symbol differ are their windows compared one by one (see ``repeats``).
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .repeats import covered, range_argmin, repeated_spans, with_spans
 from .session import read_table
-from .vectext import Words, mix, utf8
+from .vectext import Words, mix, span_hash, sums, utf8
 
 WIDTH = 20
 _FAR = 1 << 60
@@ -64,6 +67,38 @@ def elect(width: int) -> Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]
     return run
 
 
+def roots(names: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The symbol that each names[start : end] becomes when it is recompressed by itself, round by round, to one symbol.
+
+    Rounds go on with what is not one symbol yet; what is left after many of them is named as it is.
+    """
+    length = end - start
+    row = np.repeat(np.arange(len(start)), length)
+    name = names[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+    out = np.zeros(len(start), np.uint64)
+    for r in range(1, 32):
+        # runs become symbols, then pairs
+        new = np.append(True, (name[1:] != name[:-1]) | (row[1:] != row[:-1]))[: len(name)]
+        first = np.flatnonzero(new)
+        run = np.diff(np.append(first, len(name))).astype(np.uint64)
+        name, row = np.where(run > 1, mix(name[first] ^ (run * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(r)), name[first]), row[first]
+        right = mix(name + np.uint64(r * 0xA0761D6478BD642F % (1 << 64))) >> np.uint64(63) == 1
+        joins = np.append(~right[:-1] & right[1:] & (row[1:] == row[:-1]), False)[: len(name)]
+        first = np.flatnonzero(np.append(True, ~joins[:-1])[: len(name)])
+        last = first + joins[first]
+        name, row = np.where(joins[first], mix(name[first] * np.uint64(0xE7037ED1A0B428DB) + name[last] + np.uint64(r)), name[first]), row[first]
+        opens = np.append(True, row[1:] != row[:-1])[: len(row)]
+        one = opens & np.append(opens[1:], True)[: len(row)]
+        out[row[one]] = mix(name[one] + np.uint64(r))
+        name, row = name[~one], row[~one]
+        if not len(name):
+            return mix(out + length.astype(np.uint64))
+    c, inv = sums(name, 1)
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    out[row[first]] = span_hash(c, inv, first, np.append(first[1:], len(name)))
+    return mix(out + length.astype(np.uint64))
+
+
 def _rows(width: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +108,8 @@ def _rows(width: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 words = raw[offs[i] : offs[i + 1]].split()
                 n, gone = len(words), 0
                 if places[i].is_valid and n:
-                    mask = covered(n, places[i].values.to_numpy(zero_copy_only=False), width)
+                    spans = places[i].values
+                    mask = covered(n, spans.field("start").to_numpy(zero_copy_only=False), spans.field("count").to_numpy(zero_copy_only=False), width)
                     gone = int(mask.sum())
                     words = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
                 kept = b" ".join(words)
@@ -92,15 +128,18 @@ def _rows(width: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, texts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each word in a window of ``width`` words (20 to 200) that occurs earlier.
 
-    Per document: doc_id, n_words, n_removed, kept_sha256 and (``texts``) kept_text, the kept
-    words joined by one space. Null and empty texts have no words; null ids come last; rows
-    with one doc_id are compared with themselves and with smaller ids; other columns are ignored.
+    Per row: doc_id, n_words, n_removed, kept_sha256 and (``texts``) kept_text, the kept words
+    joined by one space. Null and empty texts have no words. Null ids come last; rows that share
+    an id (null ones too) come in the order of their texts' hashes and are compared with each
+    other, and rows equal in id and text are one document, each keeping what the others keep.
+    Texts may have any length; an empty table gives an empty one; other columns are ignored.
     """
     if not 20 <= width <= 200:
         raise ValueError("width must be from 20 to 200 words")
     kind = dict(docs.dtypes)[id_col]
-    spans = repeated_spans(docs, units, elect(width), width, id_col, text_col)
-    return with_spans(docs, spans, id_col, text_col).mapInArrow(_rows(width, texts), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
+    spans = repeated_spans(docs, units, elect(width), roots, width, id_col, text_col)
+    rows = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), spans, "doc_id", "text", "places")
+    return rows.mapInArrow(_rows(width, texts), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
