@@ -75,7 +75,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     key, inside = np.zeros(n, np.uint64), np.ones(n, bool)
     for k in range(8):
         here = np.zeros(n, np.uint64)
-        here[: n - k] = symbols[k:]
+        here[: max(0, n - k)] = symbols[k:]
         here[~inside] = 0
         inside &= here != 0
         key = (key << np.uint64(8)) | here
