@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.llm.chat_format import escape, fold, format_chats, parse, render, unescape
 from textloom.llm.decontamination import contained_items, without_benchmark
 from textloom.llm.licenses import _MIT, scan_licenses
-from textloom.llm.mixing import fit, mix_sources, targets
+from textloom.llm.mixing import fit, knapsack, mix_sources, source_targets, targets
 from textloom.llm.site_style import Page, main_text
 from textloom.llm.warc import read_warc, record, write_warc
 
@@ -43,6 +43,14 @@ def test_targets():
     assert sum(targets([10, 1000, 5], [5, 2, 1], 1500)) == 1500 and targets([0, 0], [5, 2], 0) == [0, 0]
 
 
+def best_sum(lengths, counts, budget):
+    """The greatest sum up to ``budget``, by all sums that can be made."""
+    sums = {0}
+    for n, c in zip(lengths, counts, strict=True):
+        sums = {x + k * n for x in sums for k in range(c + 1) if x + k * n <= budget}
+    return max(sums)
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_fit(seed):
     rng = np.random.default_rng(seed)
@@ -52,7 +60,46 @@ def test_fit(seed):
     take = fit(lengths, counts, budget)
     total = int((take * lengths).sum())
     assert (take >= 0).all() and (take <= counts).all() and total <= budget
-    assert budget - total <= 1 or (take == counts).all()
+    assert budget - total == 0 or (take == counts).all()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fit_of_long_documents_is_exact(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.unique(rng.integers(1, 10 ** int(rng.integers(2, 7)), 6))
+    counts = rng.integers(1, 3, len(lengths))
+    budget = int(rng.integers(1, (lengths * counts).sum()))
+    take = fit(lengths, counts, budget)
+    assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == best_sum(lengths.tolist(), counts.tolist(), budget)
+
+
+def test_fit_beyond_the_programme():
+    assert fit(np.array([200_000, 1_000_000]), np.array([1, 1]), 210_000).tolist() == [1, 0]
+    assert fit(np.array([180_000, 300_000]), np.array([1, 1]), 200_000).tolist() == [1, 0]
+    big = 1 << 25
+    assert fit(np.array([3, big]), np.array([10, 4]), 2 * big + 31).tolist() == [10, 2]
+    assert fit(np.array([5, 90_000_000]), np.array([2, 1]), 90_000_004).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_knapsack(seed):
+    rng = random.Random(seed)
+    items = [rng.randrange(1, 90) for _ in range(rng.choice([3, 40, 300]))]
+    target = rng.randrange(1, max(2, sum(items) // 2))
+    chosen = knapsack(items, target)
+    assert len(set(chosen)) == len(chosen) and sum(items[k] for k in chosen) == best_sum(items, [1] * len(items), target)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_over_sums(spark, seed):
+    rng = random.Random(seed)
+    names = [None, "é", "z", "a", "Z", "🙂", *(f"s{k}" for k in range(12))]
+    sizes = {n: rng.choice([0, 1, 7, 100, 5000]) for n in names}
+    rows = [(n, k) for n, total in sizes.items() for k in ([total] if total < 3 else [total - 2, 2])]
+    got = {r["source"]: (r["source_size"], r["target"]) for r in source_targets(spark.createDataFrame(rows, "source string, size bigint").repartition(3), (5, 2, 1), 1.5, 2).collect()}
+    order = sorted(names, key=lambda n: (n is None, (n or "").encode()))
+    want = targets([sizes[n] for n in order], [(5, 2, 1)[k % 3] for k in range(len(order))], 1.5 * sum(sizes.values()))
+    assert {n: x[0] for n, x in got.items()} == sizes and all(abs(got[n][1] - w) < 1e-6 for n, w in zip(order, want, strict=True))
 
 
 def test_mixing(spark):

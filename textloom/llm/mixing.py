@@ -4,7 +4,8 @@ Documents are counted by source and exact length in words. A source whose target
 size is taken whole, once or twice; the rest of its budget is filled from that table of counts:
 each length first gives its proportional share of documents, then the largest lengths that
 still fit, and what remains goes to a bounded-knapsack dynamic programme over the remaining
-counts. Within a length, documents are chosen by a seeded hash.
+counts, which covers more words if it can't fill the budget to the word. Within a length,
+documents are chosen by a seeded hash.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from .session import read_table, staged
 
 WEIGHTS, BUDGET, MOST, SEED = (5, 2, 1), 1.5, 2, 20240601
-#: Words that the dynamic programme covers at most, and documents of a hash bucket.
-COVER, BUCKET, BUCKETS = 1 << 16, 256, 1 << 14
+#: Words that the dynamic programme covers, one after another until the budget is met; documents of a hash bucket.
+COVERS, BUCKET, BUCKETS = (1 << 17, 1 << 20, 1 << 24), 256, 1 << 14
 
 
 def targets(sizes: list[int], weights: list[float], budget: float, most: float = MOST) -> list[float]:
@@ -38,46 +39,98 @@ def targets(sizes: list[int], weights: list[float], budget: float, most: float =
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length (ascending, above 0) to take, at most ``counts``, to come as near below ``budget`` as found."""
-    total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
-    take = (counts.astype(object) * budget // total).astype(np.int64)
-    left = budget - int((lengths * take).sum())
+def knapsack(items: list[int], target: int) -> list[int]:
+    """Indices of items whose sum comes nearest to ``target`` from below, exactly.
+
+    The set of sums that can be made is one integer, a bit for each sum, which an item shifts;
+    the choice is read back from sets at every 32nd item, and between them in the same way.
+    """
+    mask = (1 << (target + 1)) - 1
+
+    def forward(bits: int, first: int, last: int, every: int) -> list[int]:
+        """The sets before items first, first + every, ..., and after the last."""
+        out = []
+        for k in range(first, last):
+            if (k - first) % every == 0:
+                out.append(bits)
+            bits |= (bits << items[k]) & mask
+        return [*out, bits]
+
+    def back(bits: int, first: int, last: int, at: int, chosen: list[int]) -> int:
+        """Read back items from last to first for the sum ``at``; the sum that is left."""
+        every = 1
+        while (last - first) / every > 32:
+            every *= 32
+        sets = forward(bits, first, last, every)[:-1]
+        for n in range(len(sets) - 1, -1, -1):
+            a = first + n * every
+            if every > 1:
+                at = back(sets[n], a, min(last, a + every), at, chosen)
+            elif not sets[n] >> at & 1:
+                chosen.append(a)
+                at -= items[a]
+        return at
+
+    # no further than needed: blocks of items until the target itself can be made
+    bits, end = 1, 0
+    while end < len(items) and not bits >> target & 1:
+        last = min(len(items), end + 256)
+        bits, end = forward(bits, end, last, 256)[-1], last
+    chosen: list[int] = []
+    back(1, 0, end, bits.bit_length() - 1, chosen)
+    return chosen
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, cover: int, shares: bool) -> tuple[np.ndarray, int]:
+    """Documents to take of each length, and the words that are left; ``shares`` begins with proportional shares."""
+    take, left = np.zeros(len(lengths), np.int64), budget
+    if budget > cover and shares:
+        total = int((lengths * counts).sum())
+        take = (counts.astype(object) * budget // total).astype(np.int64)
+        left = budget - int((lengths * take).sum())
     for k in range(len(lengths) - 1, -1, -1):
-        if left <= COVER:
+        if left <= cover:
             break
-        more = min(int(counts[k] - take[k]), max(0, (left - COVER // 2) // int(lengths[k])))
+        room = left if lengths[k] > cover // 2 else left - cover // 2  # the programme keeps half of its cover to choose from
+        more = min(int(counts[k] - take[k]), max(0, room // int(lengths[k])))
         take[k] += more
         left -= more * int(lengths[k])
-    # dynamic programme: which sums up to left can be made, and by which item each was made first
-    cover = min(left, 2 * COVER)
-    made = np.zeros(cover + 1, bool)
-    made[0] = True
-    by = np.full(cover + 1, -1, np.int64)
-    items: list[tuple[int, int]] = []
-    for k in range(len(lengths)):
-        spare, size = int(counts[k] - take[k]), int(lengths[k])
-        if size > cover:
-            break
-        spare, part = min(spare, cover // size), 1
-        while spare > 0 and not made[cover]:
+    if left > cover:  # everything that fits is taken
+        return take, left
+    items, of = [], []
+    for k in np.flatnonzero((counts > take) & (lengths <= left))[::-1].tolist():
+        spare, part = min(int(counts[k] - take[k]), left // int(lengths[k])), 1
+        while spare > 0:
             n = min(part, spare)
-            new = np.zeros(cover + 1, bool)
-            new[n * size :] = made[: cover + 1 - n * size]
-            new &= ~made
-            by[new] = len(items)
-            made |= new
-            items.append((k, n))
+            items.append(n * int(lengths[k]))
+            of.append((k, n))
             spare -= n
             part *= 2
-    at = int(np.flatnonzero(made)[-1])
-    while at:
-        k, n = items[by[at]]
+    for i in knapsack(items, left):
+        k, n = of[i]
         take[k] += n
-        at -= n * int(lengths[k])
-    return take
+        left -= items[i]
+    return take, left
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length (ascending, above 0) to take, at most ``counts``, to come as near below ``budget`` as found.
+
+    The result is exact for budgets up to the last of COVERS. Above, the proportional shares and
+    the largest lengths (or the largest lengths alone, if that comes nearer) are fixed first, and
+    only what they leave, half a cover or more where documents are shorter than that, is filled
+    exactly.
+    """
+    if budget >= int((lengths * counts).sum()):
+        return counts.copy()
+    best, least = np.zeros(len(lengths), np.int64), budget + 1
+    for cover, shares in [*((c, True) for c in COVERS), (COVERS[-1], False)]:
+        take, left = _fit(lengths, counts, budget, cover, shares)
+        if left < least:
+            best, least = take, left
+        if not least or budget <= cover:
+            break
+    return best
 
 
 def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,31 +138,59 @@ def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slot": pdf["slot"], "size": pdf["size"], "n": pdf["n"], "chosen": fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), int(pdf["rest"].iloc[0]))})
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, taken.
+def source_targets(made: DataFrame, weights: tuple[float, ...], budget: float, most: int) -> DataFrame:
+    """(slot, source, source_size, target, whole, rest), a row a source, from (source, size).
 
-    Size is the number of words (null: 0). Sources by code point, null last, get ``weights`` in
-    turn, of ``budget`` times all words. taken = size * copies, copies at most ``most``.
-    Choices depend on ids and texts, not on the order of rows; equal rows share a place in the
-    order and ties among them are broken anyhow, with the same number taken. The driver sees
-    one row a source. Documents without words are taken as often as the whole source is.
+    Nothing of a source reaches the driver: a source's place among all is counted by sorted
+    partitions, and ``targets`` goes round by round over sums.
+    """
+    spark = made.sparkSession
+    by_source = made.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("source_size"))
+    ordered = staged(by_source.sort(F.asc_nulls_last("source")).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("at", 33).cast("bigint")
+    sizes = sorted((r["part"], r["n"]) for r in ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    before = np.append(0, np.cumsum([n for _, n in sizes])).tolist()
+    offsets = spark.createDataFrame([(p, int(before[k])) for k, (p, _) in enumerate(sizes)], "part bigint, before bigint")
+    slots = ordered.withColumn("part", part).join(offsets, "part").withColumn("slot", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1))
+    weight = F.get(F.array(*map(F.lit, map(float, weights))), (F.col("slot") % len(weights)).cast("int"))
+    slots = staged(slots.select("slot", "source", "source_size", weight.alias("weight")), "slots")
+    left = budget * (slots.agg(F.sum("source_size")).first()[0] or 0)
+    # a source that is full at one level stays full as the others' level rises
+    level, done = None, False
+    while not done:
+        aim = F.lit(True) if level is None else F.lit(level[0]) * F.col("weight") / F.lit(level[1]) < most * F.col("source_size")
+        open_ = slots.filter(aim)
+        total, held = open_.agg(F.sum("weight"), F.sum("source_size")).first()
+        full_size = (slots.agg(F.sum("source_size")).first()[0] or 0) - (held or 0)
+        new = (left - most * full_size, total) if total else None
+        done, level = new is None or new == level, new or level
+    share = F.lit(level[0]) * F.col("weight") / F.lit(level[1]) if level else F.lit(0.0)
+    target = F.least(share, (most * F.col("source_size")).cast("double"))
+    whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(target / F.col("source_size")))).otherwise(0).cast("int")
+    plan = slots.select("slot", "source", "source_size", target.alias("target"), whole.alias("whole"))
+    rest = F.when(F.col("whole") < most, F.round("target").cast("bigint") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0)).cast("bigint")
+    return plan.withColumn("rest", rest)
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, copies, taken.
+
+    Size is the number of words (null and empty texts: 0; texts may have any length). Sources by
+    code point, null last, get ``weights`` in turn, of ``budget`` times all words. taken = size *
+    copies, copies at most ``most``. Choices depend on ids and texts, not on the order of rows;
+    null ids are told apart by their texts; rows equal in both are ties, broken anyhow with the
+    same number taken. Documents without words are taken as often as the whole source is. An
+    empty table gives an empty one; other columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint"), F.lit(0))
-    lot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1) / F.lit(float(1 << 63))
-    made = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), lot.alias("lot"), F.xxhash64(F.lit(seed), F.col(text_col).cast("string")).alias("tie")), "sizes")
-    spark = docs.sparkSession
-    totals = sorted(((r["source"], int(r["total"] or 0)) for r in made.groupBy("source").agg(F.sum("size").alias("total")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = [n for _, n in totals]
-    aims = targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], budget * sum(sizes), most)
-    rows = []
-    for slot, ((source, n), aim) in enumerate(zip(totals, aims, strict=True)):
-        whole = min(most, int(aim // n)) if n else 0
-        rows.append((slot, source, n, aim, whole, round(aim) - whole * n if whole < most else 0))
-    plan = F.broadcast(spark.createDataFrame(rows, "slot int, source string, source_size bigint, target double, whole int, rest bigint"))  # a row a source
+    text = F.col(text_col).cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint"), F.lit(0))
+    lot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 1) / F.lit(float(1 << 63))
+    made = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), lot.alias("lot"), F.xxhash64(F.lit(seed), text).alias("tie")), "sizes")
+    plan = staged(source_targets(made, weights, budget, most), "targets")
     slots = made.join(plan, made["source"].eqNullSafe(plan["source"])).select("doc_id", made["source"], "size", "lot", "tie", "slot", "source_size", "target", "whole", "rest")
     counts = slots.filter("size > 0 AND rest > 0").groupBy("slot", "size", "rest").agg(F.count(F.lit(1)).alias("n"))
-    chosen = staged(counts.groupBy("slot").applyInPandas(_fitted, "slot int, size bigint, n bigint, chosen bigint"), "chosen")
+    chosen = staged(counts.groupBy("slot").applyInPandas(_fitted, "slot bigint, size bigint, n bigint, chosen bigint"), "chosen")
     # the lots of a length fall in buckets of about BUCKET documents; whole buckets are taken up to the one that the count ends in
     buckets = F.least(F.lit(BUCKETS), F.ceil(F.col("n") / BUCKET)).cast("bigint")
     marked = slots.filter("size > 0 AND rest > 0").join(chosen.filter("chosen > 0"), ["slot", "size"]).withColumn("bucket", F.floor(F.col("lot") * buckets))
@@ -130,7 +211,5 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document that it takes, with its size, its source's target and its number of copies."""
+    """The mix: each row that it takes, with its size, its source's target and its number of copies (see ``mix_sources`` for nulls, ties and repeated rows)."""
     return mix_sources(docs).filter("copies > 0")
-
-
