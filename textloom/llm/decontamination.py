@@ -2,120 +2,143 @@
 
 Words are lower-cased runs of letters, digits and non-ASCII characters; an item's set holds its
 word 5-grams (all of its words where it has fewer). Items are partitioned by the size of their
-sets. A document that holds a share c of an item's n shingles holds one of any
-n - ceil(c * n) + 1 of them, so the sketch of an item is that many of its least hash values,
-a depth that each size partition sets, and a document is a candidate exactly if it contains a
-sketched shingle: no true container is missed, however long it is. (MinHash of whole documents,
-as in LSH ensembles, would need over 10,000 bands for a 10-shingle item in a 20,000-word
-document; so documents are streamed, not sketched.) Candidates are verified by exact containment.
+sets, which sets the depth of their sketch: a document that holds a share c of an item's n
+shingles holds one of any n - ceil(c * n) + 1 of them, so with that many least hash values no true
+container is missed, however long it is. (MinHash of whole documents, as in LSH ensembles, would
+need over 10,000 bands for a 10-shingle item in a 20,000-word document.)
+
+Two joins on shingles do the search, and neither side passes through the driver. Documents emit
+the shingles that a bit map of sketched shingles lets pass; joined with the sketches they give
+candidates. Only candidate documents then emit the shingles that a map of
+all the items' shingles lets pass; joined with the items of their candidates, they are counted,
+which is the exact containment. The maps have a fixed size; a larger benchmark fills them more,
+and then more shingles go to the joins, but no other results come of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import read_table, without_ids
-from .vectext import Words, signed, slabs, utf8
+from .repeats import document
+from .session import fresh, read_table, staged
+from .vectext import Words, mix, signed, slabs, utf8
 
 SHINGLE, CONTAINMENT = 5, 0.8
-#: Bytes of item text that one pass over the documents holds in every task; more items take more passes.
-PASS_BYTES = 8 << 20
+#: Bits of a map, as a power of two: 2 MB.
+MAP = 24
 
 
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return utf8(pa.array([None if x is None else x.lower() for x in column.to_pylist()], pa.string()))
 
 
-def _grams(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    at, found = words.windows(hashes, size)
-    return words.row[at], found
-
-
-class Items:
-    """Sets and sketches of benchmark items, by the width of their shingles."""
-
-    def __init__(self, ids: list, texts: list[str | None], containment: float):
-        data, offs = lowered(pa.array(texts, pa.string()))
-        words = Words(data, offs, loose=True)
-        hashes, count = words.hashes(), np.diff(words.first)
-        self.ids, self.need, self.size = ids, np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        self.sets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for width in range(1, SHINGLE + 1):
-            row, found = _grams(words, hashes, width)
-            own = (count[row] == width) if width < SHINGLE else (count[row] >= width)
-            sets, sketches = [], []
-            for r in np.unique(row[own]):
-                s = np.unique(found[own & (row == r)]) if width < SHINGLE else np.unique(found[row == r])
-                self.size[r] = len(s)
-                self.need[r] = int(np.ceil(containment * len(s) - 1e-9))
-                depth = len(s) - self.need[r] + 1
-                sets.append((s, np.full(len(s), r)))
-                sketches.append(s[:depth])
-            if sets:
-                shingle, owner = (np.concatenate(x) for x in zip(*sets, strict=True))
-                order = np.argsort(shingle, kind="stable")
-                self.sets[width] = shingle[order], owner[order], np.unique(np.concatenate(sketches))
-
-
-def _search(items: Items) -> "callable":
+def shingles(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every run of ``width`` words; the width is part of the hash."""
+    at, found = words.windows(hashes, width)
+    return words.row[at], mix(found + np.uint64(width))
+
+
+def _item_rows(containment: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(item, size, need, hash, sketched) of the distinct shingles of items (item, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offs = lowered(batch.column(1))
-            out = []
             for i, j in slabs(offs):
                 words = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], loose=True)
-                hashes = words.hashes()
-                for width, (shingle, owner, sketch) in items.sets.items():
-                    row, found = _grams(words, hashes, width)
-                    at = np.minimum(np.searchsorted(sketch, found), len(sketch) - 1)
-                    candidates = np.unique(row[sketch[at] == found])
-                    if not len(candidates):
-                        continue
-                    mine = np.isin(row, candidates)
-                    row, found = row[mine], found[mine]
-                    first = np.searchsorted(row, candidates)
-                    for r, a, b in zip(candidates, first, np.append(first[1:], len(row)), strict=True):
-                        own = np.unique(found[a:b])
-                        lo, hi = np.searchsorted(shingle, own), np.searchsorted(shingle, own, side="right")
-                        hits = np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True) if y > x] or [np.zeros(0, np.int64)])
-                        item, shared = np.unique(hits, return_counts=True)
-                        out.extend((i + r, k, n) for k, n in zip(item, shared, strict=True) if n >= items.need[k])
-            row, item, shared = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([items.ids[k] for k in item], pa.int64()), pa.array(items.size[item]), pa.array(shared)], names=["doc_id", "item_id", "n_shingles", "n_shared"])
+                hashes, count = words.hashes(), np.diff(words.first)
+                parts = []
+                for width in range(1, SHINGLE + 1):
+                    row, found = shingles(words, hashes, width)
+                    own = np.minimum(count[row], SHINGLE) == width
+                    parts.append((row[own], found[own]))
+                row, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((found, row))
+                row, found = row[order], found[order]
+                new = np.append(True, (row[1:] != row[:-1]) | (found[1:] != found[:-1]))[: len(row)]
+                row, found = row[new], found[new]
+                size = np.bincount(row, minlength=j - i)
+                need = np.ceil(containment * size - 1e-9).astype(np.int64)
+                rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(size[row]), pa.array(need[row]), pa.array(signed(found)), pa.array(rank <= (size - need)[row])], names=["item", "size", "need", "hash", "sketched"])
+
+    return run
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """The map of a column ``hash``: at most 2^18 words of 64 bits reach the driver, whatever the number of hashes."""
+    at = F.shiftrightunsigned("hash", 64 - MAP)
+    words = hashes.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _passing(bits: np.ndarray, widths: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc, row, hash) of the distinct shingles of documents (doc, row, text) that the map has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, offs = lowered(batch.column(2))
+            rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for i, j in slabs(offs):
+                words = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], loose=True)
+                one = words.hashes()
+                for width in widths:
+                    row, found = shingles(words, one, width)
+                    at = found >> np.uint64(64 - MAP)
+                    has = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                    row, found = row[has], found[has]
+                    order = np.lexsort((found, row))
+                    new = np.append(True, (row[order][1:] != row[order][:-1]) | (found[order][1:] != found[order][:-1]))[: len(row)]
+                    rows.append(i + row[order][new])
+                    hashes.append(found[order][new])
+            row, found = np.concatenate(rows), np.concatenate(hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(own[row]), pa.array(signed(found))], names=["doc", "row", "hash"])
 
     return run
 
 
+def containments(docs: DataFrame, items: DataFrame, containment: float, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame:
+    """(doc, row, item_id, n_shingles, n_shared) for each row of ``items`` and each document (``repeats.document``) that holds enough of it."""
+    doc, row = document(id_col, text_col)
+    texts = docs.select(doc.alias("doc"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = staged(items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).withColumn("item", F.monotonically_increasing_id()), "items")
+    # partitioned by size: sets of like size lie together, and each partition's sketches have one depth or nearly so
+    made = rows.select("item", "text").mapInArrow(_item_rows(containment), "item bigint, size bigint, need bigint, hash bigint, sketched boolean")
+    sets = staged(made.withColumn("class", F.ceil(F.log2("size")).cast("int")).repartition("class", "hash"), "sets")
+    words = F.least(F.lit(SHINGLE), F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9\x{80}-\x{10FFFF}]+"), F.lit(0))))
+    widths = sorted(r[0] for r in rows.select(words).distinct().collect() if (r[0] or 0) > 0)  # five at most
+    emitted = "doc bigint, row bigint, hash bigint"
+    sketches = sets.filter("sketched").select("item", "hash")
+    asked = texts.mapInArrow(_passing(bit_map(sketches), widths), emitted)
+    candidates = staged(asked.join(sketches, "hash").select("doc", "row", "item").distinct(), "candidates")
+    held = texts.join(candidates.select("doc", "row").distinct(), ["doc", "row"], "left_semi").mapInArrow(_passing(bit_map(sets), widths), emitted).distinct()
+    pairs = held.join(sets.select("item", "size", "need", "hash"), "hash").join(candidates, ["doc", "row", "item"], "left_semi")
+    counted = pairs.groupBy("doc", "row", "item").agg(F.count(F.lit(1)).alias("n_shared"), F.first("size").alias("n_shingles"), F.first("need").alias("need")).filter("n_shared >= need")
+    return counted.join(rows.select("item", "item_id"), "item").select("doc", "row", "item_id", "n_shingles", "n_shared")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of documents that hold ``containment`` or more of an item.
 
-    Items go to the tasks in blocks of ``PASS_BYTES`` of text, each block one pass over all
-    documents, so no task ever holds more of the benchmark than that. Null and empty texts
-    and items hold and match nothing; rows that repeat give rows that repeat; null ids stay null.
+    Null and empty texts and items hold and match nothing, and so does an empty table; rows that
+    repeat, of either table, give rows that repeat; null ids stay null, and of rows that share an
+    id each is judged by its own text. Texts may have any length; other columns are ignored.
     """
-    kind = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found, ids, held, size = None, [], [], 0
-
-    def search() -> DataFrame:
-        passed = texts.mapInArrow(_search(Items(ids, held, containment)), f"doc_id {kind}, item_id bigint, n_shingles bigint, n_shared bigint")
-        return passed if found is None else found.union(passed)
-
-    ordered = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).sort(F.length("t"), "i")  # by size: a pass holds items of like size
-    for row in ordered.toLocalIterator():
-        ids.append(row["i"])
-        held.append(row["t"])
-        size += len(row["t"] or "") + 64
-        if size >= PASS_BYTES:
-            found, ids, held, size = search(), [], [], 0
-    if ids or found is None:
-        found = search()
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    d, r = fresh("doc"), fresh("row")
+    doc, row = document(id_col, text_col)
+    found = staged(containments(docs, items, containment, id_col, text_col, item_id, item_text), "contained").withColumnsRenamed({"doc": d, "row": r})
+    own = docs.select(F.col(id_col).alias("doc_id"), doc.alias(d), row.alias(r))
+    share: Column = (F.col("n_shared") / F.col("n_shingles")).alias("containment")
+    return own.join(found, [d, r]).select("doc_id", "item_id", "n_shingles", "n_shared", share)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +146,16 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without those that hold a benchmark item."""
-    return without_ids(docs, contained_items(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """The documents without those that hold a benchmark item, all columns as they were.
+
+    Rows are judged one by one by their own texts: those without an id as well, and of those that
+    share an id only the ones that hold an item go. Null and empty texts stay.
+    """
+    d, r = fresh("doc"), fresh("row")
+    doc, row = document("doc_id", "text")
+    found = containments(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"), CONTAINMENT, "doc_id", "text", "item_id", "text")
+    leaks = staged(found.select(F.col("doc").alias(d), F.col("row").alias(r)).distinct(), "leaks")
+    return docs.withColumn(d, doc).withColumn(r, row).join(leaks, [d, r], "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
