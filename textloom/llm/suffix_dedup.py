@@ -35,7 +35,7 @@ from .vectext import SLAB, _bytes, mix, signed, slabs, span_hash, sums, utf8
 WIDTH = 100
 GRAM = 28
 #: Bytes of a shard, of the shards that are merged at a time, and of a bucket beyond which it is merged in pieces.
-SHARD, MERGE, PIECE = 1 << 14, 1 << 16, 1 << 20
+SHARD, MERGE, PIECE = 1 << 14, 1 << 16, 1 << 22
 #: Segments that a task holds before it merges them and passes the first ones on.
 HOLD = 1 << 19
 #: Units of a document whose groups form one bucket.
@@ -79,8 +79,10 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         here[~inside] = 0
         inside &= here != 0
         key = (key << np.uint64(8)) | here
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
+    ended = np.flatnonzero(key & np.uint64(0xFF) == 0)  # of equal ones the earlier is less
+    order[ended] = order[ended][np.lexsort((order[ended], key[ended]))]
     new = np.append(True, (key[1:] != key[:-1]) | (key[1:] & np.uint64(0xFF) == 0))
     rank, step = np.empty(n, np.int64), 8
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -91,7 +93,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
             return order
         at = order[slots]
         after, own = rank[at + step], rank[at]
-        again = np.argsort((own << 32) | after, kind="stable")
+        again = np.argsort((own << 32) | after)
         at, after, own = at[again], after[again], own[again]
         order[slots] = at
         head = np.append(True, (own[1:] != own[:-1]) | (after[1:] != after[:-1]))
@@ -115,13 +117,14 @@ class Shard:
         self.count = len(lengths)
 
 
-def merge(shards: list[Shard], depth: int, step: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (numbered through all shards) that share their first ``depth`` characters with another, in merged order; their interval; and for every row its longest common prefix with another, up to ``depth`` and in units of ``step``.
+def merge(shards: list[Shard], depth: int, step: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (numbered through all shards) that share their first ``depth`` characters with another, in merged order; their interval; and for every row its longest common prefix with another, up to ``depth`` and as passes tell it (exact with a ``step`` of 1).
 
-    A pass that takes the interleave from the first h to h + 1 characters sorts by the character before each row and
-    follows it to the row that starts there. Several such steps are taken at once (as many as
-    fit 16 bits if ``step`` is None). A row alone in its interval is settled, and so is
-    whatever leads on from it, so passes only touch rows whose order among equals still matters.
+    A pass that takes the interleave from the first h to h + 1 characters sorts by the character
+    before each row and follows it to the row that starts there. Up to ``step`` of these (1, 2, 4
+    or 8, as long as their joint codes fit 16 bits) are taken at once. A row alone in its
+    interval is settled, and so is whatever leads on from it, so passes only touch rows whose
+    order among equals still matters.
     """
     base = np.cumsum([0, *(len(s.order) for s in shards)])
     transform = np.concatenate([s.transform for s in shards])
@@ -129,21 +132,25 @@ def merge(shards: list[Shard], depth: int, step: int | None = None) -> tuple[np.
     for s, b in zip(shards, base, strict=False):
         by_code = np.argsort(s.transform, kind="stable")[s.count :]
         leads[b + by_code] = b + s.count + np.arange(len(by_code), dtype=np.int32)
-    used = np.flatnonzero(np.bincount(transform, minlength=256)[1:]) + 1
-    small = np.zeros(256, np.uint16)
-    small[used] = np.arange(1, len(used) + 1)
-    code, radix = small[transform], len(used) + 1
-    steps = [(code, leads)]  # of 1, 2, ... characters: their joint code (0: a string begins before), and where they lead
-    while len(steps) < (step or 4) and radix ** (len(steps) + 1) <= 1 << 16:
-        joint, to = steps[-1]
-        one = code[to]
-        steps.append((np.where((joint > 0) & (one > 0), one * np.uint16(radix ** len(steps)) + joint, 0).astype(np.uint16), leads[to]))
+    # for 1, 2, 4, 8 characters: their joint code (0: a string begins before), and where they lead
+    joint, inside, to, steps = transform.astype(np.uint64), transform > 0, leads, [(1, transform, leads)]
+    while 2 * steps[-1][0] <= min(step, depth):
+        k = steps[-1][0]
+        joint, inside, to = (joint[to] << np.uint64(8 * k)) | joint, inside[to] & inside, to[to]
+        if k == 1:
+            code = np.where(inside, joint, 0).astype(np.uint16)
+        else:
+            known, rank = np.unique(joint[inside], return_inverse=True)
+            if len(known) >= 1 << 16:
+                break
+            code = np.zeros(len(joint), np.uint16)
+            code[inside] = rank + 1
+        steps.append((2 * k, code, to))
     rows, block = np.arange(len(transform), dtype=np.int32), np.zeros(len(transform), np.int32)
     shared = np.zeros(len(transform), np.int16)
     h = 0
     while h < depth and len(rows):
-        k = min(len(steps), depth - h)
-        of, to = steps[k - 1]
+        k, of, to = next(x for x in reversed(steps) if x[0] <= depth - h)
         h += k
         now = of[rows]
         order = np.argsort(now, kind="stable")
@@ -151,8 +158,10 @@ def merge(shards: list[Shard], depth: int, step: int | None = None) -> tuple[np.
         now, was, rows = now[order], block[order], to[rows[order]]
         parted = np.ones(len(rows) + 1, bool)
         parted[1:-1] = (now[1:] != now[:-1]) | (was[1:] != was[:-1])
+        block = np.cumsum(parted[:-1], dtype=np.int32)
         keep = ~(parted[:-1] & parted[1:])
-        rows, block = rows[keep], np.cumsum(parted[:-1], dtype=np.int32)[keep]
+        if not keep.all():
+            rows, block = rows[keep], block[keep]
         shared[rows] = h
     return rows, block, shared
 
