@@ -17,27 +17,27 @@ def shingles(text):
 
 
 def brute(rows, threshold):
-    sets = [shingles(t) if d is not None else set() for d, t in rows]
+    """Class id and links of every row."""
+    sets = [shingles(t) for _, t in rows]
     top = list(range(len(rows)))
     links = [0] * len(rows)
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
     for a, b in itertools.combinations(range(len(rows)), 2):
         both = len(sets[a] & sets[b])
         if both and both >= threshold * (len(sets[a] | sets[b])):
             links[a] += 1
             links[b] += 1
-            ra, rb = a, b
-            while top[ra] != ra:
-                ra = top[ra]
-            while top[rb] != rb:
-                rb = top[rb]
-            top[max(ra, rb)] = min(ra, rb)
-    out = {}
-    for a in range(len(rows)):
-        r = a
-        while top[r] != r:
-            r = top[r]
-        out[rows[a][0]] = (rows[r][0], links[a])
-    return out
+            top[max(root(a), root(b))] = min(root(a), root(b))
+    classes: dict = {}
+    for a, (d, _) in enumerate(rows):
+        classes.setdefault(root(a), []).append(d)
+    least = {k: min((d for d in v if d is not None), default=None) for k, v in classes.items()}
+    return sorted(((d, least[root(a)], links[a]) for a, (d, _) in enumerate(rows)), key=str)
 
 
 def near_copies(seed):
@@ -55,19 +55,34 @@ def near_copies(seed):
 @pytest.mark.parametrize("threshold", [0.8, 0.9])
 def test_classes(spark, threshold, monkeypatch):
     monkeypatch.setattr("textloom.llm.jaccard_join.BLOCK", 16)
-    rows = [*corpus(5), *near_copies(1), (900, LONG), (901, LONG + " tail")]
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_classes(frame(spark, rows), threshold).collect()}
-    assert got == brute(rows, threshold)
+    rows = [*corpus(5), *near_copies(1), (900, LONG), (901, LONG + " tail"), (None, None), (902, "")]
+    assert found(jaccard_classes(frame(spark, rows), threshold)) == brute(rows, threshold)
+
+
+def found(df):
+    return sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in df.collect()), key=str)
+
+
+def test_rows_that_repeat_or_share_an_id(spark):
+    text, other = " ".join(f"n{k}" for k in range(60)), " ".join(f"q{k}" for k in range(60))
+    rows = [(1, text), (1, text), (2, text + " tail")]
+    assert found(jaccard_classes(frame(spark, rows))) == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    rows = [(1, text), (1, other), (2, text + " tail"), (3, text), (3, text), (None, text), (None, text), (None, other + " end"), (None, "alone by itself"), *near_copies(7), *near_copies(7)[:9]]
+    df = frame(spark, rows)
+    assert found(jaccard_classes(df)) == brute(rows, 0.8)
+    left = one_of_each_class(spark, df, "")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect() if r["doc_id"] is None or r["doc_id"] < 500) == [("1", text), ("1", other), ("None", "alone by itself")]
+    assert left.columns == df.columns
 
 
 def test_stage_and_edges(spark):
-    rows = [*near_copies(2), (1, None), (2, ""), (None, "n1 n2"), (None, "n1 n2"), (3, "n1 n2"), (4, "n1 n2")]
+    rows = [*near_copies(2), (1, None), (2, ""), (2, ""), (None, "n1 n2"), (None, "n1 n2"), (3, "n1 n2"), (4, "n1 n2"), (None, "m1"), (None, "m1"), (None, None)]
     df = frame(spark, rows)
     kept = one_of_each_class(spark, df, "")
     ids = [r["doc_id"] for r in kept.collect()]
-    want = {d for d, (c, _) in brute([r for r in rows if r[0] is not None], 0.8).items() if c == d}
-    assert kept.columns == df.columns and ids.count(None) == 2 and {i for i in ids if i is not None} == want
-    assert jaccard_classes(frame(spark, [])).count() == 0
+    want = {d for d, c, _ in brute(rows, 0.8) if c == d and d is not None}
+    assert kept.columns == df.columns and ids.count(None) == 2 and {i for i in ids if i is not None} == want and ids.count(2) == 2 and ids.count(3) == 1
+    assert jaccard_classes(frame(spark, [])).count() == 0 and one_of_each_class(spark, frame(spark, []), "").count() == 0
     with pytest.raises(ValueError):
         jaccard_classes(df, 0.2)
 

@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning (operator 10).
 
 Texts are sets of word 5-grams (a text of one to four words is one shingle). Texts with one
-set form one node, so copies are never compared. Nodes that agree on a band of five MinHash
+set form one node, whatever their ids, so copies are never compared. Nodes that agree on a band of five MinHash
 values are candidates; a bucket of candidates is cut into blocks, and a task gets one pair of
 blocks with the nodes' signatures. It compares pairs 16 values at a time and drops a pair as
 soon as the posterior probability that its similarity reaches the threshold (uniform prior,
@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import read_table, staged, without_ids
+from .repeats import LAST, document
+from .session import fresh, read_table, staged
 from .vectext import Words, mix, signed, slabs, utf8
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-4
 BANDS, ROWS, STEP, VALUES = 25, 5, 16, 128
 #: Nodes of a block; a task holds the signatures, or the shingles of survivors, of two blocks.
-BLOCK = 1024
+BLOCK = 512
 _random = np.random.default_rng(11)
 _A = _random.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32)
@@ -71,7 +72,7 @@ def least_agreement(threshold: float, tolerance: float) -> list[int]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offs = utf8(batch.column(1))
+        data, offs = utf8(batch.column(2))
         for i, j in slabs(offs):
             found, first = shingle_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             f0, f1, n, sig = [], [], [], []
@@ -81,7 +82,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 f0.append(mix(own).sum(dtype=np.uint64))
                 f1.append(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 sig.append(minhash(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(signed(np.array(f0, np.uint64))), pa.array(signed(np.array(f1, np.uint64))), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "f0", "f1", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(signed(np.array(f0, np.uint64))), pa.array(signed(np.array(f1, np.uint64))), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "row", "f0", "f1", "n", "sig"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +94,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = salt[None, :].repeat(len(sig), 0)
         for r in range(ROWS):
             key = mix(key ^ sig[:, :, r])
-        doc = batch.column(0).to_numpy(zero_copy_only=False)
+        node = batch.column(0).to_numpy(zero_copy_only=False)
         band = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), pa.array(band), pa.array(np.repeat(doc, BANDS))], names=["bucket", "band", "doc"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), pa.array(band), pa.array(np.repeat(node, BANDS))], names=["bucket", "band", "node"])
 
 
 def _pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -109,17 +110,17 @@ def _pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield a[i : i + (1 << 15)], a[i : i + (1 << 15)] + d
 
 
-def _pruned(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.RecordBatch]:
-    """Of tasks' members (in the order of tasks) those in pairs that the posterior does not rule out, with their later partners."""
+def _pruned(batches: Iterator[pa.RecordBatch], least: list[int], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Of tasks' members (in the order of tasks) those in pairs that neither their sizes nor the posterior rules out, with their later partners."""
     rest: pa.Table | None = None
 
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, i, j, block, band, doc, mult = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "block", "band", "doc", "mult"))
+        bucket, i, j, block, band, node, mult, n = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "block", "band", "node", "mult", "n"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
         group = np.cumsum(np.append(True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         out = []
         for a, b in _pairs(group):
-            keep = (doc[a] != doc[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
+            keep = (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) * (1 - 1e-12)) & ((i[a] == j[a]) | (block[a] != block[b]))
             a, b = a[keep], b[keep]
             agree = np.zeros(len(a), np.int64)
             for k, need in enumerate(least):
@@ -136,9 +137,9 @@ def _pruned(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.
             order = np.argsort(a, kind="stable")
             a, b = a[order], b[order]
             own = np.unique(np.concatenate([a, b]))
-            partners = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(a, own), len(a)).astype(np.int32)), pa.array(doc[b]))
+            partners = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(a, own), len(a)).astype(np.int32)), pa.array(node[b]))
             task = signed(mix(mix(bucket[own].view(np.uint64)) + (i[own].astype(np.uint64) << np.uint64(32)) + j[own].astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(doc[own]), pa.array(mult[own]), partners], names=["task", "doc", "mult", "partners"])
+            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(node[own]), pa.array(mult[own]), partners], names=["task", "node", "mult", "partners"])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -157,17 +158,24 @@ def _pruned(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of rows (node, text); rows of a node that follow each other count once."""
+    last = None
     for batch in batches:
         data, offs = utf8(batch.column(1))
+        nodes, out = batch.column(0).to_pylist(), []
         for i, j in slabs(offs):
             found, first = shingle_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            sets = [np.unique(found[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["doc", "shingles"])
+            for k, a, b in zip(nodes[i:j], first[:-1], first[1:], strict=True):
+                if k != last:
+                    out.append((k, np.unique(found[a:b]).tobytes()))
+                last = k
+        node, sets = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
 def _settled(rows: list[tuple[int, int, list[int], bytes]], threshold: float) -> list[tuple[int, int, int, int]]:
-    """Links of a task's nodes (0, node, node, documents) and a spanning forest (1, node, root, 0), for (doc, mult, partners, shingles)."""
-    at = {doc: k for k, (doc, *_) in enumerate(rows)}
+    """Links of a task's nodes (0, node, node, documents) and a spanning forest (1, node, root, 0), for (node, mult, partners, shingles)."""
+    at = {node: k for k, (node, *_) in enumerate(rows)}
     sets = [np.frombuffer(x[3], np.uint64) for x in rows]
     size = np.array([len(x) for x in sets])
     known, local = np.unique(np.concatenate(sets), return_inverse=True)
@@ -196,8 +204,8 @@ def _settled(rows: list[tuple[int, int, list[int], bytes]], threshold: float) ->
         for x in near.tolist():
             x, y = top(x), top(k)
             root[max(x, y)] = min(x, y)
-    docs = [x[0] for x in rows]
-    return [(0, docs[k], docs[k], int(n)) for k, n in enumerate(links) if n] + [(1, docs[k], docs[top(k)], 0) for k in range(len(rows)) if top(k) != k]
+    nodes = [x[0] for x in rows]
+    return [(0, nodes[k], nodes[k], int(n)) for k, n in enumerate(links) if n] + [(1, nodes[k], nodes[top(k)], 0) for k in range(len(rows)) if top(k) != k]
 
 
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -222,42 +230,54 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
     yield made()
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, class_id (least id of its class), n_links, n_shingles.
-
-    n_links counts the other documents of similarity ``threshold`` or more, copies included.
-    Texts without words, null ones among them, link to nothing, and so do rows with a null id
-    (their class_id is null). Rows that share an id are one node in the classes; equal rows
-    are copies of each other. Other columns are ignored. Two texts at the threshold exactly
-    miss each other's bands with probability 5e-5, closer ones less often.
-    """
+def row_classes(docs: DataFrame, threshold: float, tolerance: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc, row, n, class_doc, class_row, links) of every row: what tells it apart (``repeats.document``), its shingles, the first document of its class and its links."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must be from 0.5 to 1")
-    kind = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    made = staged(texts.mapInArrow(_signatures, "doc bigint, f0 bigint, f1 bigint, n bigint, sig binary"), "signatures")
-    real = made.filter("n > 0 AND doc IS NOT NULL")
-    nodes = staged(real.groupBy("f0", "f1").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("mult")), "nodes")
-    firsts = real.join(nodes.select("doc", "f0", "f1", "mult"), ["doc", "f0", "f1"]).select("doc", "mult", "sig")
-    firsts = staged(firsts, "firsts")
-    bands = firsts.select("doc", "sig").mapInArrow(_bands, "bucket bigint, band int, doc bigint")
-    full = staged(bands.groupBy("bucket").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("bucket", "size"), "buckets")
-    members = bands.join(full, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    tasks = members.select("bucket", "band", "doc", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", "band", "doc", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    doc, row = document(id_col, text_col)
+    texts = docs.select(doc.alias("doc"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    made = staged(texts.mapInArrow(_signatures, "doc bigint, row bigint, f0 bigint, f1 bigint, n bigint, sig binary"), "signatures")
+    real = made.filter("n > 0")
+    # a node for each set of shingles, with its first document; numbered once, as it is written
+    grouped = real.groupBy("f0", "f1").agg(F.min(F.struct("doc", "row")).alias("first"), F.count(F.lit(1)).alias("mult"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bands = nodes.select("node", "sig").mapInArrow(_bands, "bucket bigint, band int, node bigint")
+    full = staged(bands.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("bucket", "size"), "buckets")
+    members = bands.join(full, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tasks = members.select("bucket", "band", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", "band", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     least = least_agreement(threshold, tolerance)
-    held = tasks.join(firsts, "doc").select("bucket", "i", "j", "block", "band", "doc", "mult", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
-    asked = staged(held.mapInArrow(lambda b: _pruned(b, least), "task bigint, doc bigint, mult bigint, partners array<bigint>"), "asked")
-    # merge joins at every size: texts move once, whatever the number of nodes that are asked for
-    sets = texts.join(asked.select("doc").hint("merge"), "doc", "left_semi").mapInArrow(_shingle_rows, "doc bigint, shingles binary")
-    rows = asked.join(sets.hint("merge"), "doc").select("task", "doc", "mult", "partners", "shingles").repartition("task").sortWithinPartitions("task", "doc")
+    held = tasks.join(nodes, "node").select("bucket", "i", "j", "block", "band", "node", "mult", "n", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    asked = staged(held.mapInArrow(lambda b: _pruned(b, least, threshold), "task bigint, node bigint, mult bigint, partners array<bigint>"), "asked")
+    # merge joins at every size: a text moves once for each node, whatever the number of nodes that are asked for
+    ids = asked.select("node").distinct().join(nodes.select("node", "first.doc", "first.row"), "node")
+    sets = texts.join(ids.hint("merge"), ["doc", "row"]).select("node", "text").mapInArrow(_shingle_rows, "node bigint, shingles binary")
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))  # rows that are equal
+    rows = asked.join(sets.hint("merge"), "node").select("task", "node", "mult", "partners", "shingles").repartition("task").sortWithinPartitions("task", "node")
     verified = staged(rows.mapInArrow(lambda b: _verified(b, threshold), "kind tinyint, a bigint, b bigint, n bigint"), "verified")
-    classes = components(verified.filter("kind = 1").select("a", "b"))
+    labels = components(verified.filter("kind = 1").select("a", "b"))
     links = verified.filter("kind = 0").groupBy("a").agg(F.sum("n").alias("links"))
-    nodes = nodes.join(classes, F.col("doc") == F.col("node"), "left").join(links, F.col("doc") == F.col("a"), "left")
-    nodes = staged(nodes.select("f0", "f1", F.coalesce("class", "doc").alias("class"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "classes")
-    rest = made.filter("n = 0 OR doc IS NULL").select("doc", F.col("doc").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("n").alias("n_shingles"))
-    out = real.select("doc", "f0", "f1", "n").join(nodes, ["f0", "f1"]).select("doc", F.col("class").alias("class_id"), F.col("links").alias("n_links"), F.col("n").alias("n_shingles")).union(rest)
-    return out.select(F.col("doc").cast(kind).alias("doc_id"), F.col("class_id").cast(kind).alias("class_id"), "n_links", "n_shingles")
+    known = nodes.select("node", "f0", "f1", "first", "mult").join(labels, "node", "left").join(links, F.col("node") == F.col("a"), "left")
+    known = staged(known.select("node", "f0", "f1", "first", F.coalesce("class", "node").alias("class"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "known")
+    heads = known.groupBy("class").agg(F.min("first").alias("head"))
+    known = staged(known.join(heads, "class").select("f0", "f1", F.col("head.doc").alias("class_doc"), F.col("head.row").alias("class_row"), "links"), "classes")  # written, so that the join can split a hot set
+    rest = made.filter("n = 0").select("doc", "row", "n", F.col("doc").alias("class_doc"), F.col("row").alias("class_row"), F.lit(0).cast("bigint").alias("links"))
+    return real.select("doc", "row", "f0", "f1", "n").join(known, ["f0", "f1"]).select("doc", "row", "n", "class_doc", "class_row", "links").union(rest)
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, class_id (least id of its class), n_links, n_shingles.
+
+    n_links counts the other rows of similarity ``threshold`` or more, copies included: rows that
+    are equal, or share an id, count one by one. Texts without words, null ones among them, link
+    to nothing. Null ids are greater than all others and stay null, also as the class_id of a
+    class without any id. Texts may have any length; an empty table gives an empty one; other
+    columns are ignored. Two texts at the threshold exactly miss each other's bands with
+    probability 5e-5, closer ones less often.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    rows = row_classes(docs, threshold, tolerance, id_col, text_col)
+    own, head = (F.when(F.col(c) != LAST, F.col(c)).cast(kind) for c in ("doc", "class_doc"))
+    return rows.select(own.alias("doc_id"), head.alias("class_id"), F.col("links").alias("n_links"), F.col("n").alias("n_shingles"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,8 +285,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without those that have an earlier one in their class."""
-    return without_ids(docs, jaccard_classes(docs.select("doc_id", "text")).filter("doc_id <> class_id").select("doc_id"))
+    """The first document of each class, all columns as they were.
+
+    First is the least id, null last, then the least hash of the text; of rows equal in both,
+    one stays, any of them. Texts without words are of no class and stay, repeated rows too.
+    """
+    doc, row = document("doc_id", "text")
+    d, r, many = fresh("doc"), fresh("row"), fresh("many")
+    rows = row_classes(docs.select("doc_id", "text"), THRESHOLD, TOLERANCE, "doc_id", "text").filter("n > 0")
+    first = (F.col("doc") == F.col("class_doc")) & (F.col("row") == F.col("class_row"))
+    marks = rows.groupBy(F.col("doc").alias(d), F.col("row").alias(r)).agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 OR NOT first")
+    marks = staged(marks.select(d, r, F.col("first").alias(many)), "marks")  # true: several rows of which one stays, false: none stays
+    own = docs.withColumn(d, doc).withColumn(r, row)
+    others = own.join(marks.select(d, r), [d, r], "left_anti")
+    several = own.join(marks.filter(F.col(many)).select(d, r), [d, r], "left_semi").dropDuplicates([d, r])
+    return others.select(*docs.columns).union(several.select(*docs.columns))
 
 
 ORACLE = r"""
