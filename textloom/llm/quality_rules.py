@@ -132,34 +132,53 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "pattern"])
 
 
-def posteriors(counts: dict[int, int], rounds: int = 200, settle: float = 1e-9) -> dict[int, float]:
+def vote_table(patterns: list[int]) -> np.ndarray:
+    """The votes (0 abstains, 1 bad, 2 good) of each pattern, a column a rule."""
+    return np.array([[p // 3 ** (len(RULES) - 1 - k) % 3 for k in range(len(RULES))] for p in patterns]).reshape(-1, len(RULES))
+
+
+def estimated(vote: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prior of (bad, good), and for each class and rule the share of its votes, abstentions aside, that say good; one document is added to each side."""
+    said = vote > 0
+    good = (weight @ (vote == 2) + 1) / (weight @ said + 2)
+    prior = (weight.sum(axis=1) + 1) / (weight.sum() + 2)
+    return prior, good
+
+
+def scores(vote: np.ndarray, prior: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """The log likelihood of each pattern's votes with each class; a rule that abstains says nothing, as in ``estimated``."""
+    return np.log(prior)[:, None] + np.log(good) @ (vote == 2).T + np.log1p(-good) @ (vote == 1).T
+
+
+def likelihood(n: np.ndarray, score: np.ndarray, prior: np.ndarray, good: np.ndarray) -> float:
+    """What expectation-maximisation raises: the log likelihood of all votes, and of the documents that are added."""
+    return float(n @ np.logaddexp(*score) + np.log(prior).sum() + np.log(good).sum() + np.log1p(-good).sum())
+
+
+def posteriors(counts: dict[int, int], rounds: int = 500, settle: float = 1e-9, trace: list[float] | None = None) -> dict[int, float]:
     """P(good) of each vote pattern, after expectation-maximisation over ``counts`` documents of each.
 
-    The start takes 0.95 for a pattern without bad votes and 0.4 times less for each of them. Each rule's votes on good and on bad
-    documents have estimated shares (its accuracies; one document is added to each for
-    smoothing). A pattern without votes keeps the prior.
+    The start takes 0.95 for a pattern without bad votes and 0.4 times less for each of them.
+    Each rule has an estimated accuracy on good and on bad documents: the share of its votes that
+    are right where it votes. A pattern without votes keeps the prior. ``trace`` gets the
+    likelihood of each round.
     """
     if not counts:
         return {}
     patterns = sorted(counts)
-    n = np.array([counts[p] for p in patterns], float)
-    vote = np.array([[p // 3 ** (len(RULES) - 1 - k) % 3 for k in range(len(RULES))] for p in patterns])
-    bad = (vote == 1).sum(axis=1)
-    good = np.where((vote > 0).any(axis=1), 0.95 * 0.4**bad, 0.5)
+    n, vote = np.array([counts[p] for p in patterns], float), vote_table(patterns)
+    posterior = np.where((vote > 0).any(axis=1), 0.95 * 0.4 ** (vote == 1).sum(axis=1), 0.5)
     for _ in range(rounds):
-        weight = np.stack([n * (1 - good), n * good])
-        prior = (weight.sum(axis=1) + 1) / (n.sum() + 2)
-        score = np.log(prior)[:, None] + np.zeros((2, len(patterns)))
-        for k in range(len(RULES)):
-            share = np.stack([(weight * (vote[:, k] == v)).sum(axis=1) + 1 for v in range(3)], axis=1)
-            share /= share.sum(axis=1, keepdims=True)
-            score += np.where(vote[:, k] > 0, np.log(share)[:, vote[:, k]], 0)
+        prior, good = estimated(vote, np.stack([n * (1 - posterior), n * posterior]))
+        score = scores(vote, prior, good)
+        if trace is not None:
+            trace.append(likelihood(n, score, prior, good))
         new = 1 / (1 + np.exp(np.clip(score[0] - score[1], -700, 700)))
-        done = float(np.abs(new - good).max()) < settle
-        good = new
+        done = float(np.abs(new - posterior).max()) < settle
+        posterior = new
         if done:
             break
-    return dict(zip(patterns, good.tolist(), strict=True))
+    return dict(zip(patterns, posterior.tolist(), strict=True))
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,8 +196,10 @@ def model(made: DataFrame) -> dict[int, float]:
 def quality(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: the base counts, base_failed, p_good, and kept (p_good >= ``least`` and not base_failed).
 
-    Null texts have no words and fail the base rules, as texts under ten words do. Null ids
-    and repeated rows are judged row by row. Other columns are ignored.
+    Null and empty texts have no words and fail the base rules, as texts under ten words do.
+    Null ids, shared ids and repeated rows are judged row by row, ties are those of equal votes
+    and have one verdict. Texts may have any length; an empty table gives an empty one. Other
+    columns are ignored.
     """
     made = measured(docs, id_col, text_col)
     good = docs.sparkSession.createDataFrame(list(model(made).items()) or [(-1, 0.0)], "pattern bigint, p_good double")
@@ -192,7 +213,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """The documents that are kept, all columns as they were; rows are judged where they lie, without a join."""
+    """The documents that are kept, all columns as they were; rows are judged where they lie, without a join.
+
+    Each row is judged by its own text, whether its id is null, shared or repeated; null and empty texts go.
+    """
     good = {p for p, x in model(measured(docs)).items() if x >= least}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
