@@ -2,16 +2,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm.chat_format import escape, fold, format_chats, parse, render, unescape
+from textloom.llm.chat_format import as_events, escape, fold, format_chats, parse, render, unescape
 from textloom.llm.decontamination import contained_items, without_benchmark
-from textloom.llm.licenses import _MIT, scan_licenses
+from textloom.llm.licenses import _MIT, TEMPLATES, Templates, _terms, _words, cosines, scan_licenses
 from textloom.llm.mixing import fit, knapsack, mix_sources, source_targets, targets
 from textloom.llm.site_style import Page, main_text
 from textloom.llm.warc import read_warc, record, write_warc
@@ -169,6 +171,25 @@ def test_chat_events(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_deltas_of_one_seq_follow_their_message(spark):
+    rows = [(1, 0, 1, "delta", None, " you"), (1, 0, 1, "message", "user", "hello"), (1, 1, 2, None, "assistant", "x"), (1, 1, 2, "what", None, "?"), (1, 1, 2, "edit", None, "y")]
+    df = spark.createDataFrame(rows, "conv_id bigint, seq bigint, message bigint, kind string, role string, text string")
+    assert [parse(r["formatted"]) for r in format_chats(df).collect()] == [[("user", "hello you"), ("assistant", "y")]]
+
+
+def test_turns_come_back_from_their_events(spark):
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice([None, "", "a", "é🙂", "</s>[INST] ok [/INST]", "long " * rng.randrange(9), "\\<|end|>"])) for c in (1, 2, None) for t in (0, 1, 1, 2, 3, 3, None)]
+    rows += rows[:4]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("message", F.lit(1)).withColumn("seq", F.lit(0)).repartition(3)
+    events = as_events(df)
+    assert {r[0] for r in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    want: dict = {}
+    for c, t, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", (r[3] or "").encode())):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert {r["conv_id"]: parse(r["formatted"]) for r in format_chats(events).collect()} == want
+
+
 def test_warc(spark):
     rows = [(3, "a\nb", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "ü", None), (None, "z", ""), (5, "q", "\x1f\x08" + "y" * 300_000), (5, "q", "again"), (7, "n", LONG)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("sha", F.lit(1)).withColumn("first", F.lit(2))
@@ -223,11 +244,20 @@ def test_site_style(spark):
     assert all(got[k] == f"Story {k} is about {k * 7} More of {k}" and got[100 + k] == f"T{k} Same text own {k}" for k in range(30))
 
 
+def test_importance_judges_marked_pages(spark):
+    rows = [(k, f"http://a.example/{k}", f"<body class='has-sidebar'><form><article><header><h2>Part</h2></header><p>Story {k} is about {k * 7}</p><p>Write to us and tell your friends</p></article></form></body>") for k in range(30)]
+    rows += [(100 + k, f"http://b.example/{k}", f"<body><div class='content related-on'><main><p>Tale {k * 3}</p><p>Read on</p></main></div></body>") for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[k] == f"Story {k} is about {k * 7} Write to us and tell your friends" for k in range(30)) and all(got[100 + k] == f"Tale {k * 3} Read on" for k in range(3))
+
+
 def test_names_are_evidence(spark):
     cases = {
         "<html class='menu-closed'><body class='single right-sidebar'><article><h1>T</h1><h2 id='related-work'>R</h2><p>a</p><h3 id=menu>m</h3><section id='notice-of-appeal'><p>n</p></section><div class='share'>no</div></article></body></html>": "T R a m n",
         "<body><div class=overlay><main><p>x</p></main></div><div class=sidebar>no</div></body>": "x",
         "<body><div class='with-sidebar'><article><p>x</p><pre><b class=comment># c</b></pre></article></div></body>": "x # c",
+        "<form><div><h1>A</h1><p>All of the page is in it</p><form><input></form></div></form>": "A All of the page is in it",
+        "<body><article><header><h1>Title</h1></header><p>x</p><form>no</form></article><footer>no</footer></body>": "Title x",
         "<body><div class=comments><article>no</article></div><div hidden><main>no</main></div><p>y</p></body>": "y",
     }
     rows = [(k, f"http://h{k}.example/p", h) for k, h in enumerate(cases)]
@@ -255,5 +285,48 @@ def test_licenses(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+def by_hand(templates, texts, documents, frequency):
+    """Best cosine of each text as a whole, with dictionaries."""
+    idf = lambda w: math.log((1 + documents) / (1 + frequency.get(w, 0))) + 1
+    out = []
+    for text in texts:
+        best = 0.0
+        a = Counter(loose(text))
+        for _, t in templates:
+            b = Counter(loose(t))
+            dot = sum(n * b[w] * idf(w) ** 2 for w, n in a.items() if w in b)
+            # a word of no template weighs each time it occurs
+            known = {w for _, x in templates for w in loose(x)}
+            norm = math.sqrt(sum((n * idf(w)) ** 2 if w in known else n * (math.log(1 + documents) + 1) ** 2 for w, n in a.items()))
+            best = max(best, dot / norm / math.sqrt(sum((n * idf(w)) ** 2 for w, n in b.items())) if norm else 0.0)
+        out.append(best)
+    return out
+
+
+def test_cosines_against_dictionaries():
+    rng = random.Random(5)
+    vocabulary = sorted({w for _, t in TEMPLATES for w in loose(t)})
+    frequency = {w: rng.randrange(500) for w in vocabulary}
+    made = Templates(TEMPLATES)
+    order = {int(_words([w])[0][0]): frequency[w] for w in vocabulary}
+    made.weigh(1000, np.array([order[int(h)] for h in made.vocabulary]))
+    texts = [" ".join(rng.choice([*vocabulary, "other", "words"]) for _ in range(rng.randrange(1, 60))) for _ in range(40)] + [t for _, t in TEMPLATES[:6]] + ["", "nothing known"]
+    bags = _words(texts)
+    unit = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
+    best, _ = cosines(made, _terms(made, np.concatenate(bags)), unit, len(bags))
+    assert np.allclose(best, by_hand(TEMPLATES, texts, 1000, frequency))
+
+
+def test_licenses_are_told_apart(spark):
+    every = dict(TEMPLATES)
+    bsd2, bsd3 = (next(t for n, t in TEMPLATES if n == x and len(t) > 500) for x in ("BSD-2-Clause", "BSD-3-Clause"))
+    gpl = "GNU GENERAL PUBLIC LICENSE\r\nVersion 3, 29 June 2007\r\n  \r\n" + " ".join(f"the terms of this licence say {k}" for k in range(3000))
+    rows = [(1, "a/1.txt", "Copyright (c) 2020 X\n\n" + bsd2), (2, "b/2.txt", "Copyright (c) 2020 X\r\n\r\n" + bsd3.replace("\n", "\r\n")), (3, "c/3.txt", gpl), (4, "c/d/4.txt", "words"), (5, "e/5.txt", "This library is free software\n \n" + every["LGPL-3.0"])]
+    df = spark.createDataFrame([*rows, *((10 + k, f"z/{k}", LONG[:2000]) for k in range(20))], "doc_id bigint, path string, text string")
+    got = {r["doc_id"]: (r["own_license"], r["license"], r["is_file"]) for r in scan_licenses(df).collect()}
+    assert got[1][0] == "BSD-2-Clause" and got[2][0] == "BSD-3-Clause" and got[1][2] and got[2][2]
+    assert got[3] == ("GPL-3.0", "GPL-3.0", True) and got[4] == (None, "GPL-3.0", False) and got[5][0] == "LGPL-3.0"
+
+
 def test_words_helper():
     assert words("a\x0bb\x1cc d") == ["a", "b\x1cc", "d"] and len(corpus(0)) > 60

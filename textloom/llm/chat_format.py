@@ -1,8 +1,8 @@
 """Chat formatting from event logs (operator 7).
 
 A log has rows (conv_id, seq, message, kind, role, text): ``message`` opens a message, ``delta``
-appends to it, ``edit`` replaces its text, ``regenerate`` empties it and drops every later message of
-the conversation. Logs are partitioned by conversation, sorted by sequence and folded as a
+appends to it, ``edit`` replaces its text, ``regenerate`` replaces it too and drops every later
+message of the conversation. Logs are partitioned by conversation, sorted by sequence and folded as a
 stream; the result is rendered with a template whose marks cannot occur inside texts.
 """
 
@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import read_table
@@ -24,6 +24,8 @@ _CONTROL = re.compile(r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])|\\")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(re.escape(OPEN) + "(.*?)" + re.escape(SEPARATE) + "(.*?)" + re.escape(CLOSE), re.DOTALL)
 EVENTS = "conv_id, seq, message, kind, role, text"
+#: Kinds in the order in which events of one seq are taken; null opens a message too.
+KINDS = ("message", "delta", "edit", "regenerate")
 
 
 def escape(text: str) -> str:
@@ -106,13 +108,17 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def format_chats(events: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_mask) of a log (conv_id, seq, message, kind, role, text).
 
-    Rows of one seq are taken in the order of kind, role, text and message, nulls first; rows
-    with null conv_id form one conversation. A conversation becomes one text, so its rows
-    meet in one task, as a stream of sorted rows of which one conversation is held at a time.
-    Other columns are ignored.
+    Rows of one seq are taken in the order of kind (``KINDS``, unknown ones last), message, role
+    and text, nulls first; rows that repeat count each. Null texts and roles are empty; rows with
+    null conv_id form one conversation; an empty log gives no rows. A conversation becomes one
+    text, of any length, so its rows meet in one task, as a stream of sorted rows of which one
+    conversation is held at a time. Other columns are ignored.
     """
     log = events.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("seq").cast("bigint").alias("seq"), F.col("message").cast("bigint").alias("message"), "kind", "role", "text")
-    log = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "kind", "role", "text", "message")
+    rank = F.when(F.col("kind").isNull(), 0)
+    for k, kind in enumerate(KINDS):
+        rank = rank.when(F.col("kind") == kind, k)
+    log = log.withColumn("rank", rank.otherwise(len(KINDS))).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "rank", "message", "role", "text")
     return log.select("conv_id", "message", "kind", "role", "text").mapInArrow(_conversations, "conv_id bigint, formatted string, loss_mask array<struct<start: bigint, end: bigint>>")
 
 
@@ -130,12 +136,31 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log, where each turn is a message of its own.
+    """A table of finished turns (conv_id, turn, role, text) as the log of events that they came from.
 
-    Rows that repeat in full, as well as turns that share a number, stay apart.
+    What an assistant says is streamed: its message opens with a draft, which is regenerated and
+    goes on in two deltas. Other turns open with their text's first half, take a delta, and where
+    nothing tells whether that was meant, an edit that sets the whole text. Turns that share a
+    number are taken in the order of role and text, null and empty alike; rows that repeat are
+    messages of their own.
     """
-    message = F.monotonically_increasing_id()
-    return conversations.select("conv_id", F.col("turn").alias("seq"), message.alias("message"), F.lit("message").alias("kind"), "role", "text")
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    turns = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint")
+    turns = turns.withColumn("message", place).withColumn("n", F.char_length("text"))
+    third, half = F.ceil(F.col("n") / 3).cast("int"), F.ceil(F.col("n") / 2).cast("int")
+
+    def part(start: Column, length: Column) -> Column:
+        return F.substring("text", start + 1, length)
+
+    def event(k: int, kind: str, text: Column) -> Column:
+        return F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    none = F.lit(0)
+    streamed = F.array(event(0, "message", F.reverse(part(none, half))), event(1, "regenerate", part(none, third)), event(2, "delta", part(third, third)), event(3, "delta", part(third * 2, F.col("n"))))
+    typed = F.array(event(0, "message", part(none, half)), event(1, "delta", part(none, half)), event(2, "edit", F.col("text")))
+    events = turns.withColumn("event", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(typed)))
+    return events.select("conv_id", (F.col("message") * 8 + F.col("event.k")).alias("seq"), "message", "event.kind", "role", "event.text")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

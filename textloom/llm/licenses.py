@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import read_table, staged
-from .vectext import Words, slabs, utf8
+from .vectext import _SPACE, Words, slabs, utf8
 
 LEAST, FILE_LEAST = 0.75, 0.5
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
@@ -28,27 +28,67 @@ The above copyright notice and this permission notice shall be included in all c
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"""
+_BSD_1 = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+_BSD_2 = """2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""
+_APACHE_END = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 _GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
-#: Licence and text (fixed values: public notices in their usual wording). Callers may pass their own.
+_GPL_END = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+_LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_AGPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+#: Licence and text of a whole notice or short licence (fixed values: public texts in their usual wording). Callers may pass their own.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This software is licensed under the terms of the MIT license."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("ISC", _ISC),
+    ("ISC", f"{_ISC}\n\n{_ISC_END}"),
+    ("BSD-2-Clause", f"{_BSD}\n\n{_BSD_1}\n\n{_BSD_2}\n\n{_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD}\n\n{_BSD_1}\n\n{_BSD_2}\n\n{_BSD_3}\n\n{_BSD_END}"),
+    ("BSD-3-Clause", _BSD_3),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("Zlib", _ZLIB),
+    ("BSL-1.0", _BOOST),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Apache-2.0", _APACHE),
+    ("Apache-2.0", f"{_APACHE}\n\n{_APACHE_END}"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", _GPL.format(3)),
+    ("GPL-3.0", f"{_GPL.format(3)}\n\n{_GPL_END}"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("GPL-2.0", _GPL.format(2)),
+    ("GPL-2.0", f"{_GPL.format(2)}\n\n{_GPL_END}"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", _LGPL.format("2.1")),
     ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", _LGPL.format(3)),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", _AGPL),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("MPL-1.1", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -56,7 +96,25 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Unlicense", "Apache-2.0", "MPL-2.0", "EPL-2.0", "CC-BY-4.0", "CC0-1.0")),
+    *((x, f"SPDX-License-Identifier: {x}-{y}") for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for y in ("only", "or-later")),
+)
+#: How the texts of long licences begin: a text whose first block is one of these is that licence's file.
+TITLES: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE\nVersion 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n=================================="),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code\n\nCC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
 )
 
 
@@ -72,21 +130,26 @@ def _words(texts: list[str]) -> list[np.ndarray]:
 
 
 class Templates:
-    """Sparse vectors of templates over their common vocabulary; ``idf`` is set once frequencies are known."""
+    """Sparse vectors of templates, as postings of their words; weights are set once frequencies are known."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...]):
-        self.names = [n for n, _ in templates]
-        bags = _words([t for _, t in templates])
+    def __init__(self, templates: tuple[tuple[str, str], ...], titles: tuple[tuple[str, str], ...] = ()):
+        both = [*templates, *titles]
+        self.names, self.title = [n for n, _ in both], np.arange(len(both)) >= len(templates)
+        bags = _words([t for _, t in both])
         self.vocabulary = np.unique(np.concatenate([*bags, np.zeros(0, np.uint64)]))
-        self.counts = np.zeros((len(bags), len(self.vocabulary)))
-        for k, bag in enumerate(bags):
-            np.add.at(self.counts[k], np.searchsorted(self.vocabulary, bag), 1)
+        term = np.searchsorted(self.vocabulary, np.concatenate([*bags, np.zeros(0, np.uint64)]))
+        of = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
+        pair, self.count = np.unique(term * max(1, len(bags)) + of, return_counts=True)
+        self.term, self.template = pair // max(1, len(bags)), pair % max(1, len(bags))
+        #: postings of a term: first[term] to first[term + 1]
+        self.first = np.searchsorted(self.term, np.arange(len(self.vocabulary) + 1))
 
     def weigh(self, documents: int, having: np.ndarray) -> None:
         self.idf = np.log((1 + documents) / (1 + having)) + 1
         self.other = math.log(1 + documents) + 1
-        vectors = self.counts * self.idf
-        self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)).T  # term x template
+        weight = self.count * self.idf[self.term]
+        norm = np.sqrt(np.bincount(self.template, weight**2, minlength=len(self.names)))
+        self.weight = weight / norm[self.template]
 
 
 def _frequencies(templates: Templates) -> "callable":
@@ -113,74 +176,93 @@ def _terms(templates: Templates, hashes: np.ndarray) -> np.ndarray:
 
 
 def cosines(templates: Templates, term: np.ndarray, unit: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best cosine and template of each unit, for the term (-1: none of a template's) and unit of each word."""
+    """Best cosine and its first template of each unit, for the term (-1: none of a template's) and unit of each word."""
     other = np.bincount(unit[term < 0], minlength=units)[:units] * templates.other**2
     known = term >= 0
-    v = max(1, len(templates.vocabulary))
+    v, n = max(1, len(templates.vocabulary)), max(1, len(templates.names))
     pair, count = np.unique(unit[known] * v + term[known], return_counts=True)
     at, t = pair // v, pair % v
-    weight = count * templates.idf[t]
+    weight = count * templates.idf[t] if len(t) else np.zeros(0)
     norm = np.sqrt(other + np.bincount(at, weight**2, minlength=units)[:units])
     best, which = np.zeros(units), np.full(units, -1)
     starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
-    for i in range(0, len(starts), 4096):  # units at a time, to bound the dense rows
-        a = starts[i]
-        b = starts[i + 4096] if i + 4096 < len(starts) else len(at)
-        dots = np.add.reduceat(weight[a:b, None] * templates.vectors[t[a:b]], starts[i : i + 4096] - a, axis=0) / norm[at[starts[i : i + 4096]]][:, None]
-        which[at[starts[i : i + 4096]]] = dots.argmax(axis=1)
-        best[at[starts[i : i + 4096]]] = dots.max(axis=1)
+    for i in range(0, len(starts), 4096):  # units at a time, to bound their rows of sums
+        a, b = starts[i], starts[i + 4096] if i + 4096 < len(starts) else len(at)
+        own = at[starts[i : i + 4096]]
+        size = templates.first[t[a:b] + 1] - templates.first[t[a:b]]
+        posting = np.repeat(templates.first[t[a:b]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        of = np.repeat(np.cumsum(np.append(0, at[a + 1 : b] != at[a : b - 1])), size)
+        dots = np.bincount(of * n + templates.template[posting], np.repeat(weight[a:b], size) * templates.weight[posting], minlength=len(own) * n).reshape(len(own), n) / norm[own][:, None]
+        which[own], best[own] = dots.argmax(axis=1), dots.max(axis=1)
     return best, which
 
 
-def _scanned(templates: Templates) -> "callable":
+def block_ends(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of the line ends those of lines with nothing but white space (a carriage return is white space)."""
+    seen = np.append(0, np.cumsum(~_SPACE[raw]))
+    return ends[np.diff(seen[ends], prepend=-1) == 0] if len(ends) else ends
+
+
+def scanned(templates: Templates, texts: pa.Array, least: float) -> tuple[list[str | None], list[float], list[float]]:
+    """Best licence and cosine of each text over its lines, blocks and whole, and how much the text as a whole is a licence's file."""
+    data, offs = _lower(texts)
+    name, score, whole = [], [], []
+    for i, j in slabs(offs):
+        raw, own = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        words = Words(raw, own, loose=True)
+        term, n = _terms(templates, words.hashes()), j - i
+        best, which, total = np.zeros(n), np.full(n, -1), np.zeros(n)
+        ends = np.flatnonzero(raw == 10)
+        for kind, breaks in enumerate((ends, block_ends(raw, ends), ends[:0])):
+            line = np.searchsorted(breaks, words.start)
+            new = np.append(True, (line[1:] != line[:-1]) | (words.row[1:] != words.row[:-1]))[: len(line)]
+            first, unit = np.flatnonzero(new), np.cumsum(new) - 1
+            cos, template = cosines(templates, term, unit, len(first))
+            row = words.row[first]
+            order = np.lexsort((-template, cos, row))
+            last = np.flatnonzero(np.append(row[order][1:] != row[order][:-1], True)) if len(row) else np.zeros(0, np.int64)
+            top = order[last]
+            better = cos[top] > best[row[top]]
+            best[row[top][better]], which[row[top][better]] = cos[top][better], template[top][better]
+            if kind == 1:  # a first block that is a long licence's title
+                begins = np.append(True, row[1:] != row[:-1])[: len(row)] & (template >= 0) & (cos >= least)
+                begins[begins] = templates.title[template[begins]]
+                total[row[begins]] = cos[begins]
+                which[row[begins]], best[row[begins]] = template[begins], np.maximum(best[row[begins]], cos[begins])
+            elif kind == 2:
+                total[row] = np.maximum(total[row], cos)
+        name += [templates.names[k] if k >= 0 else None for k in which]
+        score += best.tolist()
+        whole += total.tolist()
+    return name, score, whole
+
+
+def _scanned(templates: Templates, least: float) -> "callable":
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = _lower(batch.column(batch.schema.get_field_index("text")))
-            name, score, whole = [], [], []
-            for i, j in slabs(offs):
-                raw, own = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                words = Words(raw, own, loose=True)
-                term, n = _terms(templates, words.hashes()), j - i
-                best, which, total = np.zeros(n), np.full(n, -1), np.zeros(n)
-                ends = np.flatnonzero(raw == 10)
-                # a block ends at a line without anything in it
-                gaps = ends[1:][ends[1:] == ends[:-1] + 1] if len(ends) > 1 else ends[:0]
-                for breaks in (ends, gaps, ends[:0]):
-                    line = np.searchsorted(breaks, words.start) + words.row
-                    first = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (words.row[1:] != words.row[:-1]))) if len(line) else np.zeros(0, np.int64)
-                    unit = np.cumsum(np.isin(np.arange(len(line)), first)) - 1
-                    cos, template = cosines(templates, term, unit, len(first))
-                    row = words.row[first]
-                    order = np.lexsort((-template, cos, row))
-                    last = np.flatnonzero(np.append(row[order][1:] != row[order][:-1], True)) if len(row) else np.zeros(0, np.int64)
-                    top = order[last]
-                    better = cos[top] > best[row[top]]
-                    best[row[top][better]], which[row[top][better]] = cos[top][better], template[top][better]
-                    if breaks is not ends and breaks is not gaps:
-                        total[row] = cos
-                name += [templates.names[k] if k >= 0 else None for k in which]
-                score += best.tolist()
-                whole += total.tolist()
+            name, score, whole = scanned(templates, batch.column(batch.schema.get_field_index("text")), least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(whole, pa.float64())], names=["doc_id", "path", "name", "score", "whole"])
 
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, file_least: float = FILE_LEAST, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, path, own_license and its score (null below ``least``), is_file, license, from_directory.
+def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, titles: tuple[tuple[str, str], ...] = TITLES, least: float = LEAST, file_least: float = FILE_LEAST, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, path, own_license and its score (null below ``least``), is_file, license, from_directory.
 
-    A document is a licence file if its whole text has cosine ``file_least`` or it is named like
-    one and has a licence. Of several files in a directory the one of the best score counts,
-    then the greater name. Null paths inherit nothing; null and empty texts have no licence; a
-    path without a slash lies in the root, ''. Rows that repeat are scanned each. Other columns are ignored.
+    A document is a licence file if its whole text has cosine ``file_least``, its first block is
+    the title of a long licence, or it is named like a licence and has one. Of several files in a
+    directory the one of the best score counts, then the greater name; of templates that are as
+    near the first. Null paths inherit nothing; null and empty texts have no licence, texts may
+    have any length; a path without a slash lies in the root, ''. Rows that repeat, or share an
+    id, are scanned each; an empty table gives an empty one. Other columns are ignored.
     """
-    made = Templates(templates)
+    made = Templates(templates, titles)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     counts = texts.select("text").mapInArrow(_frequencies(made), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     having = {r["term"]: r["n"] for r in counts.collect()}  # a row for each word of the templates
     made.weigh(having.get(-1, 0), np.array([having.get(k, 0) for k in range(len(made.vocabulary))]))
     kind = dict(docs.dtypes)[id_col]
-    found = texts.mapInArrow(_scanned(made), f"doc_id {kind}, path string, name string, score double, whole double")
+    found = texts.mapInArrow(_scanned(made, least), f"doc_id {kind}, path string, name string, score double, whole double")
     named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME), F.lit(False))
     has = F.col("score") >= least
     found = found.select("doc_id", "path", F.when(has, F.col("name")).alias("own_license"), F.when(has, F.col("score")).alias("own_score"), ((has & named) | (F.col("whole") >= file_least)).alias("is_file"), "name", "score", F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), "").alias("directory"))

@@ -1,22 +1,28 @@
-"""Where intermediate tables go, and how lineage is cut."""
+"""Where intermediate tables go, how lineage is cut, and how what is no longer needed is deleted."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _own: list[str] = []
+_swept: set[str] = set()
+#: Folders written within ``recorded``, innermost last.
+_records: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a temporary one in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="textloom-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -24,8 +30,42 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one, wherever it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; results that still read it are gone then."""
+    deleted(spark, f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}")
+
+
+def _sweep(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone, and then nothing can be done
+        clean(spark)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}/{name}"
+    """A new folder below the application's own, which is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _swept:
+        _swept.add(app)
+        atexit.register(_sweep, spark)
+    folder = f"{shared_dir(spark)}/textloom/{app}/{uuid.uuid4().hex}"
+    for record in _records:
+        record.append(folder)
+    return f"{folder}/{name}"
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that are written meanwhile, so that they can be deleted once nothing reads them."""
+    _records.append([])
+    try:
+        yield _records[-1]
+    finally:
+        _records.pop()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -42,9 +82,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fresh(name: str) -> str:
     """A column name that no table has."""
     return f"_{name}_{uuid.uuid4().hex}"
-
-
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in the one column of ``ids``; rows without an id stay."""
-    name = fresh("id")
-    return docs.join(ids.toDF(name).distinct(), docs[id_col] == F.col(name), "left_anti")

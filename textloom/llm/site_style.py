@@ -15,7 +15,8 @@ comments). A word of a longer name (``right-sidebar``, ``related-work``) only ra
 that a branch needs; names say nothing of pages, headings, code and what holds the main part.
 Where a page marks its article or main part, branches outside need the higher importance too,
 seen on more than one page, and of that part only containers, not its paragraphs and headings,
-can fall to their importance.
+can fall to their importance. Every page is judged so, whatever it marks. Pages are parsed twice:
+to observe all sites, and to judge each page by what was observed.
 """
 
 from __future__ import annotations
@@ -63,13 +64,14 @@ class Page:
     Elements that are noise themselves are ``declared`` (by tag, role, hiding) or ``named``; ``doubted`` are those that a word of their name speaks against.
     """
 
-    __slots__ = ("tag", "parent", "sign", "noise", "part", "declared", "named", "doubted", "runs", "features", "kids")
+    __slots__ = ("tag", "parent", "sign", "noise", "part", "declared", "named", "doubted", "forms", "runs", "features", "kids")
 
     def __init__(self, html: str):
         self.tag, self.parent, self.sign, self.noise, self.part = ["#page"], [-1], ["#page"], [False], [False]
         self.declared: set[int] = set()
         self.named: set[int] = set()
         self.doubted: set[int] = set()
+        self.forms: set[int] = set()
         self.kids: list[list[int]] = [[]]
         self.runs: list[tuple[int, str]] = []
         self.features: list[tuple[int, str]] = []
@@ -104,6 +106,8 @@ class Page:
                     stack.append(i)
                 elif name not in _VOID:
                     stack.append(i)
+        if self.forms:
+            self._free()
         if self.named:
             self._lift()
         if self.doubted:
@@ -122,9 +126,28 @@ class Page:
                     lifted |= self.named.intersection(above)
         self.named -= lifted
         if lifted:
-            for i in range(1, len(self.tag)):
-                self.noise[i] = i in self.declared or i in self.named or self.noise[self.parent[i]]
-                self.part[i] = self.part[self.parent[i]] or (self.tag[i] in _LANDMARK and not self.noise[i])
+            self._spread()
+
+    def _spread(self) -> None:
+        """Noise and landmarks go down to what they hold."""
+        for i in range(1, len(self.tag)):
+            self.noise[i] = i in self.declared or i in self.named or self.noise[self.parent[i]]
+            self.part[i] = self.part[self.parent[i]] or (self.tag[i] in _LANDMARK and not self.noise[i])
+
+    def _free(self) -> None:
+        """A form that holds a landmark, or most of the page's text, is the page itself."""
+        self.declared -= self.forms
+        self._spread()
+        text, holds = [0] * len(self.tag), [tag in _LANDMARK and not noise for tag, noise in zip(self.tag, self.noise, strict=True)]
+        for i, run in self.runs:
+            text[i] += 0 if self.noise[i] else len(run.strip())
+        for i in range(len(text) - 1, 0, -1):
+            text[self.parent[i]] += text[i]
+            holds[self.parent[i]] |= holds[i]
+        closed = {i for i in self.forms if not holds[i] and 2 * text[i] <= text[0]}
+        if closed:
+            self.declared |= closed
+            self._spread()
 
     def above(self) -> set[int]:
         """Elements that hold a landmark and are in none."""
@@ -148,7 +171,8 @@ class Page:
                 return
 
     def _open(self, name: str, attributes: str, parent: int) -> int:
-        i, sign, noise = len(self.tag), name, name in _NO_TEXT
+        i, sign = len(self.tag), name
+        noise = name in _NO_TEXT and not (name == "header" and self.part[parent])  # an article's own header has its title
         if attributes and not attributes.isspace():
             values = {}
             for m in _ATTRIBUTE.finditer(attributes):
@@ -170,6 +194,8 @@ class Page:
         self.sign.append(sign)
         if noise:
             self.declared.add(i)
+            if name == "form":
+                self.forms.add(i)
         self.noise.append(noise or i in self.named or self.noise[parent])
         self.part.append(self.part[parent] or (name in _LANDMARK and not self.noise[-1]))
         self.kids.append([])
@@ -188,7 +214,7 @@ class Page:
         return key, style
 
     def undecided(self) -> list[int]:
-        """Elements that only their importance can judge."""
+        """Elements that their importance judges."""
         marked, above = any(self.part), self.above()
         return [
             i
@@ -201,9 +227,9 @@ class Page:
         whole, marked, out = composite(self, {i: x for i, (x, _) in own.items()}), any(self.part), set()
         above = self.above()
         for i in self.undecided():
-            outside = marked and not self.part[i]
+            seen, outside = own.get(i, (1.0, 1.0))[1], marked and not self.part[i]
             if i in self.doubted or (outside and (self.tag[i] not in _INLINE or self.parent[i] in above)):
-                if whole.get(i, 1.0) < max(least, DOUBTED) or (outside and own.get(i, (1.0, 1.0))[1] <= 1):
+                if whole.get(i, 1.0) < max(least, DOUBTED) or (outside and seen <= 1):
                     out.add(i)
             elif whole.get(i, 1.0) < least and self.tag[i] not in _INLINE:
                 out.add(i)
@@ -241,19 +267,24 @@ def _s(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+_OBSERVED = "kind tinyint, key bigint, item bigint, total double, logs double, keys array<bigint>, nodes array<int>"
+
+
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, kind, item, total, logs): a task's styles (kind 0) and content features (kind 1), its pages summed up."""
+    """A task's styles (kind 0) and content features (kind 1) by (key, item), its pages summed up; for each page (``item``) the elements that are judged (kind 2)."""
     seen: dict[tuple[int, int, int], list[float]] = {}
+    looks: list[tuple[int, list[int], list[int]]] = []
 
     def made() -> pa.RecordBatch:
-        keys, sums = list(zip(*seen, strict=True)) or [(), (), ()], list(zip(*seen.values(), strict=True)) or [(), ()]
-        out = pa.RecordBatch.from_arrays([pa.array(map(_s, keys[0]), pa.int64()), pa.array(keys[1], pa.int8()), pa.array(map(_s, keys[2]), pa.int64()), pa.array(sums[0], pa.float64()), pa.array(sums[1], pa.float64())], names=["key", "kind", "item", "total", "logs"])
-        seen.clear()
-        return out
+        rows = [(k[1], _s(k[0]), _s(k[2]), x[0], x[1], None, None) for k, x in seen.items()] + [(2, None, row, None, None, keys, nodes) for row, keys, nodes in looks]
+        kinds = (pa.int8(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        seen.clear(), looks.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "key", "item", "total", "logs", "keys", "nodes"])
 
     h = xxhash.xxh3_64_intdigest
     for batch in batches:
-        for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for row, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if not html:
                 continue
             page = Page(html)
@@ -270,16 +301,17 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = seen.setdefault(k, [0.0, 0.0])
                 x[0] += n
                 x[1] += n * math.log(n)
+            nodes = page.below(page.undecided())
+            looks.append((row, [_s(key[i]) for i in nodes], nodes))
             if len(seen) > 1 << 18:
                 yield made()
     if seen:
         yield made()
 
 
-def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def importance(observed: DataFrame) -> DataFrame:
     """(key, own, m): own importance of every element of the style trees of all hosts, and how often it was seen."""
-    rows = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(_observed, "key bigint, kind tinyint, item bigint, total double, logs double")
-    items = rows.groupBy("key", "kind", "item").agg(F.sum("total").alias("total"), F.sum("logs").alias("logs"))
+    items = observed.filter("kind < 2").groupBy("key", "kind", "item").agg(F.sum("total").alias("total"), F.sum("logs").alias("logs"))
     style, content = F.col("kind") == 0, F.col("kind") == 1
     t = F.col("total")
     by_key = items.groupBy("key").agg(
@@ -293,31 +325,6 @@ def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return by_key.select("key", F.least(F.lit(1.0), F.greatest(F.lit(0.0), own)).alias("own"), "m")
 
 
-_DECIDED = "text string, page bigint, url string, html string, look array<struct<node: int, key: bigint>>"
-
-
-def _parsed(batches: Iterator[pa.RecordBatch], decided: bool) -> Iterator[pa.RecordBatch]:
-    """Texts of pages that no importance can change (``decided``), or the other pages with what is to be looked up."""
-    for batch in batches:
-        keep, text, look = [], [], []
-        for n, (url, html) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)):
-            page = Page(html or "")
-            open_ = page.undecided()
-            if bool(open_) == decided:
-                continue
-            keep.append(n)
-            if decided:
-                text.append(page.text())
-            else:
-                key, _ = page.keys(host_of(url))
-                look.append([{"node": i, "key": _s(key[i])} for i in page.below(open_)])
-        rows = batch.take(pa.array(keep, pa.int64()))
-        if decided:
-            yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
-        else:
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(look, pa.list_(pa.struct([("node", pa.int32()), ("key", pa.int64())])))], names=[*rows.schema.names, "look"])
-
-
 def composite(page: Page, own: dict[int, float]) -> dict[int, float]:
     out: dict[int, float] = {}
     for i in range(len(page.tag) - 1, 0, -1):
@@ -341,19 +348,18 @@ def _judged(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
 def main_text(pages: DataFrame, least: float = LEAST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every row: its main text, blocks in page order joined by one space.
 
-    Null html is empty; a page without any tags is its text. Pages without a host form a site.
-    If every branch is of low importance, none goes for that reason. Rows that repeat, or
-    share an id, are pages of their own. Other columns are ignored.
+    Null and empty html have an empty text; a page without any tags is its text; pages may have
+    any length. Pages without a host form a site. If every branch is of low importance, none goes
+    for that reason. Rows that repeat, share an id or have none are pages of their own; an empty
+    table gives an empty one. Other columns are ignored.
     """
     kind = dict(pages.dtypes)[id_col]
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    schema = f"page_id {kind}, url string, text string"
-    decided = rows.mapInArrow(lambda b: _parsed(b, True), schema)
-    others = rows.mapInArrow(lambda b: _parsed(b, False), f"page_id {kind}, url string, html string, look array<struct<node: int, key: bigint>>").withColumn("row", F.xxhash64("page_id", "url", "html"))
-    asked = others.select("row", F.explode("look").alias("x")).select("row", "x.node", "x.key").distinct()
-    found = asked.join(staged(importance(rows, "url", "html"), "importance"), "key").groupBy("row").agg(F.collect_list(F.struct("node", "own", "m")).alias("own"))
-    judged = others.join(found, "row", "left").select("page_id", "url", "html", "own").mapInArrow(lambda b: _judged(b, least), schema)
-    return decided.union(judged)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("row", F.xxhash64("page_id", "url", "html"))
+    observed = staged(rows.select("row", "url", "html").mapInArrow(_observed, _OBSERVED), "observed")
+    looks = observed.filter("kind = 2").select(F.col("item").alias("row"), F.explode(F.arrays_zip("nodes", "keys")).alias("x")).select("row", F.col("x.nodes").alias("node"), F.col("x.keys").alias("key"))
+    known = staged(importance(observed), "importance")  # written, so that the join can split a hot element
+    found = looks.join(known, "key").groupBy("row").agg(F.collect_set(F.struct("node", "own", "m")).alias("own"))
+    return rows.join(found, "row", "left").select("page_id", "url", "html", "own").mapInArrow(lambda b: _judged(b, least), f"page_id {kind}, url string, text string")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
