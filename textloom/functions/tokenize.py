@@ -1,24 +1,26 @@
 """Tokens and their offsets in code points.
 
 Three forms: ``token_strings`` (expressions of the JVM; what counting needs), ``token_rows`` (one
-row a token with offsets, JVM only; needs a row id), and ``tokenize`` (a Column of token, start
-and end; Arrow). Offsets refer to the lower-cased text where that is asked for.
+row a token with offsets), and ``tokenize`` (a Column of token, start and end; Arrow). Offsets refer to the lower-cased text where that is asked for.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..models import PREDEFINED_MODELS, require_feature
+from ..sources.store import Store, get_or_insert
 from .scalar import ASCII_PUNCTUATION, SPACE, as_column
 
 NATIVE = "native:plain_words_en"
@@ -35,6 +37,8 @@ _py_piece = regex.compile(rf"{_P}|[^\p{{White_Space}}{ASCII_PUNCTUATION}\p{{P}}]
 _py_alphanumeric = regex.compile(r"[\p{Alphabetic}\p{N}]")
 _py_special = re.compile("(?:" + "|".join(SPECIAL) + ")", re.IGNORECASE | re.ASCII)
 
+TOKEN_CACHE = "model string, params_hash string, content_hash string, tokens array<string>, start_offsets array<bigint>, end_offsets array<bigint>"
+_STORED = pa.schema([("model", pa.string()), ("params_hash", pa.string()), ("content_hash", pa.string()), ("tokens", pa.list_(pa.string())), ("start_offsets", pa.list_(pa.int64())), ("end_offsets", pa.list_(pa.int64()))])
 Span = tuple[str, int, int]
 #: Loaders of dictionary tokenizers by model id, for languages whose dictionaries this library doesn't bring.
 _dictionaries: dict[str, Callable[[], Callable[[str], list[Span]]]] = {}
@@ -132,26 +136,94 @@ def list_loaded_models() -> list[str]:
     return sorted(_loaded)
 
 
-def tokenize(c: Column | str, *, model: str, lowercase: bool = True, remove_punct: bool = True) -> Column:
+def params_hash(lowercase: bool, remove_punct: bool) -> str:
+    flag = {True: "true", False: "false"}
+    return hashlib.sha256(f'{{"lowercase":{flag[bool(lowercase)]},"remove_punct":{flag[bool(remove_punct)]}}}'.encode()).hexdigest()
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Of each code point: 0 white space, 1 punctuation (a piece of its own), 2 anything else; 4 more if alphanumeric."""
+    every = "".join(chr(k) if not 0xD800 <= k < 0xE000 else "x" for k in range(0x110000))
+    out = np.full(0x110000, 2, np.uint8)
+    for pattern, value in ((r"\p{White_Space}", 0), (_P, 1)):
+        out[[m.start() for m in regex.finditer(pattern, every)]] = value
+    for m in regex.finditer(r"[\p{Alphabetic}\p{N}]+", every):
+        out[m.start() : m.end()] |= 4
+    return out
+
+
+def native_tokens(texts: list[str | None], lowercase: bool, remove_punct: bool) -> pa.ListArray:
+    """The native model's tokens of many texts at once: classes of code points, runs of a class, and slices of the UTF-8."""
+    joined = [(t.lower() if lowercase else t) if t else "" for t in texts]
+    whole = "".join(joined)
+    first = np.append(0, np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))))
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    kind = _classes()[points]
+    piece, letter = kind & 3, kind & 4
+    begin = np.ones(len(points), bool)
+    begin[1:] = (piece[1:] != 2) | (piece[:-1] != 2)
+    begin[first[:-1][first[:-1] < len(points)]] = True  # a piece ends with its text
+    begin &= piece > 0
+    start = np.flatnonzero(begin)
+    ends = np.append(begin[1:], True) | np.append(piece[1:] == 0, True)
+    end = np.flatnonzero(ends & (piece > 0)) + 1
+    keep = np.ones(len(start), bool)
+    if remove_punct and len(start):
+        seen = np.append(0, np.cumsum(letter > 0))
+        keep = seen[end] > seen[start]
+    for word in SPECIAL:
+        same = np.flatnonzero(keep & (end - start == len(word)))
+        for k, letter_ in enumerate(word):
+            same = same[(points[start[same] + k] == ord(letter_)) | (points[start[same] + k] == ord(letter_.upper()))]
+        keep[same] = False
+    start, end = start[keep], end[keep]
+    size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    byte = np.append(0, np.cumsum(size))
+    row = np.searchsorted(first, start, side="right") - 1
+    length = byte[end] - byte[start]
+    offsets = np.append(0, np.cumsum(length))
+    raw = np.frombuffer(whole.encode(), np.uint8)[np.repeat(byte[start] - offsets[:-1], length) + np.arange(int(offsets[-1]))]
+    token = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(raw)).cast(pa.string())
+    rows = pa.StructArray.from_arrays([token, pa.array(start - first[row]), pa.array(end - first[row])], ["token", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(texts)))).astype(np.int32)), rows)
+
+
+def _listed(spans: list[list[Span]]) -> pa.ListArray:
+    flat = [x for own in spans for x in own]
+    columns = list(zip(*flat, strict=True)) if flat else [(), (), ()]
+    rows = pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["token", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in spans], dtype=np.int64)).astype(np.int32)), rows)
+
+
+def tokenize(c: Column | str, *, model: str, lowercase: bool = True, remove_punct: bool = True, cache: str | None = None) -> Column:
     """array<struct<token, start, end>>; null and empty texts give an empty array.
 
-    For tokens that outlast a query see ``sources.cache.tokens``.
+    ``cache`` names a folder that tasks share: texts that it has are read, others are tokenized
+    once and added (``sources.cache.tokens`` looks all texts up in one join).
     """
     require_feature("tokenization", "tokenize")
     model = normalize_model(model)
     route(model)
     custom = _dictionaries.get(model)
 
+    def listed(texts: list[str | None]) -> pa.ListArray:
+        if model == NATIVE:
+            return native_tokens(texts, lowercase, remove_punct)
+        spans = _load_here(model, custom)
+        return _listed([spans(t, lowercase, remove_punct) if t else [] for t in texts])
+
+    def compute(texts: list[str]) -> pa.Table:
+        made = listed(texts)
+        return pa.table({name: pa.ListArray.from_arrays(made.offsets, made.values.field(field)) for name, field in (("tokens", "token"), ("start_offsets", "start"), ("end_offsets", "end"))})
+
     @arrow_udf(TOKENS)
     def tokens(texts: pa.Array) -> pa.Array:
-        spans = _load_here(model, custom)
-        offsets, token, start, end = [0], [], [], []
-        for text in texts.to_pylist():
-            for t, a, b in spans(text, lowercase, remove_punct) if text else ():
-                token.append(t), start.append(a), end.append(b)
-            offsets.append(len(token))
-        rows = pa.StructArray.from_arrays([pa.array(token, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["token", "start", "end"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+        if cache is None:
+            return listed(texts.to_pylist())
+        store = Store(cache, _STORED, {"model": model, "params_hash": params_hash(lowercase, remove_punct)})
+        rows = get_or_insert(store, texts.to_pylist(), compute)
+        return _listed([[] if r is None else list(zip(r["tokens"], r["start_offsets"], r["end_offsets"], strict=True)) for r in rows])
 
     return tokens(as_column(c))
 
@@ -169,14 +241,10 @@ def token_strings(c: Column | str, *, lowercase: bool = True, remove_punct: bool
 
 
 def token_rows(df: DataFrame, id_col: str, text_col: str, *, lowercase: bool = True, remove_punct: bool = True) -> DataFrame:
-    """(id, token, start, end), a row for each token of the native model, without leaving the JVM.
+    """(id, token, start, end), a row for each token of the native model.
 
-    All pieces and the gaps between them are laid out by text; a running sum of their lengths
-    gives the offsets. ``id_col`` must tell rows apart.
+    Offsets come from one vectorised pass over each batch of texts, so nothing is shuffled, and a
+    text is never spread over rows to be summed up again.
     """
-    text = F.coalesce(F.lower(text_col) if lowercase else F.col(text_col), F.lit(""))
-    pieces = F.regexp_extract_all(text, F.lit(f"{_PIECE}|{SPACE}+"), F.lit(0))
-    laid = df.select(F.col(id_col).alias("id"), F.posexplode(pieces).alias("pos", "token"))
-    end = F.sum(F.char_length("token")).over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    laid = laid.withColumn("end", end).filter(~F.col("token").rlike(f"^{SPACE}") & _keep(F.col("token"), remove_punct))
-    return laid.select("id", "token", (F.col("end") - F.char_length("token")).cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+    found = tokenize(text_col, model=NATIVE, lowercase=lowercase, remove_punct=remove_punct)
+    return df.select(F.col(id_col).alias("id"), F.inline(found))

@@ -1,37 +1,37 @@
 """Caches of results by content, as Parquet folders.
 
 A text's key is the SHA-256 of its UTF-8. A run hashes, looks the keys up by a join, computes what
-is missing once per distinct text, appends it, and joins everything back. Folders only grow; if two
-writers add a key, reading takes one of its rows.
+is missing once per distinct text into a folder of its own, appends what is still missing then
+while it holds the cache's lock, and joins everything back. Folders only grow; ``cache=`` of
+``tokenize`` and ``embedding`` adds to the same folders batch by batch (``store``), without the
+lock, and if two writers add a key, reading takes one of its rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import time
+import uuid
+from collections.abc import Callable, Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.embedding import embedding, normalize_embedder
-from ..functions.tokenize import normalize_model, tokenize
+from ..functions.embedding import EMBEDDING_CACHE, PROVIDER, REVISION
+from ..functions.tokenize import TOKEN_CACHE, normalize_model, params_hash, tokenize
+from ..names import fresh
 
-TOKEN_CACHE = "model string, params_hash string, content_hash string, tokens array<string>, start_offsets array<bigint>, end_offsets array<bigint>"
-EMBEDDING_CACHE = "model string, revision string, provider string, content_hash string, dim bigint, embedding array<float>, created_at timestamp"
-REVISION, PROVIDER = "main", "cpu"
+#: Seconds that a writer waits for another one's lock.
+LOCK_WAIT = 600.0
 
 
 def content_hash(c: Column | str) -> Column:
     return F.sha2(F.encode(F.col(c) if isinstance(c, str) else c, "UTF-8"), 256)
 
 
-def params_hash(lowercase: bool, remove_punct: bool) -> str:
-    import hashlib
-
-    flag = {True: "true", False: "false"}
-    return hashlib.sha256(f'{{"lowercase":{flag[bool(lowercase)]},"remove_punct":{flag[bool(remove_punct)]}}}'.encode()).hexdigest()
-
-
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The cache at ``path``, empty if there is none yet."""
     try:
@@ -42,6 +42,27 @@ def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
+@contextlib.contextmanager
+def locked(spark: SparkSession, path: str, wait: float = LOCK_WAIT) -> Iterator[None]:
+    """Hold the cache's lock: a file that only one writer can create. It is waited for, and deleted at the end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_lock")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at.getParent())
+    until = time.monotonic() + wait
+    while True:
+        try:
+            fs.create(at, False).close()
+            break
+        except Py4JJavaError as e:
+            if time.monotonic() > until or "exist" not in str(e.java_exception):
+                raise TimeoutError(f"no lock on the cache {path}: delete {at} if no writer is left") from e
+            time.sleep(0.1)
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
 def misses(texts: DataFrame, cached: DataFrame, text_col: str = "text") -> DataFrame:
     """(content_hash, text) of distinct texts that ``cached`` has not; nulls aside."""
     hashed = texts.filter(F.col(text_col).isNotNull()).select(content_hash(text_col).alias("content_hash"), F.col(text_col).alias("text"))
@@ -58,13 +79,20 @@ def _cached(df: DataFrame, text_col: str, out_col: str, path: str, schema: str,
         return rows.filter(valid) if valid is not None else rows
 
     todo = misses(df, own(), text_col)
-    new = compute(todo)
     if not todo.isEmpty():
-        new.select(*[F.lit(v).alias(k) for k, v in keys.items()], *[c for c in new.columns]).write.mode("append").parquet(path)
-    found = own().select("content_hash", value.alias("_value")).dropDuplicates(["content_hash"])
-    joined = df.withColumn("_hash", content_hash(text_col)).join(found, F.col("_hash") == F.col("content_hash"), "left")
+        new = compute(todo)
+        hidden = f"{path.rstrip('/')}/_new-{uuid.uuid4().hex}"
+        new.select(*[F.lit(v).alias(k) for k, v in keys.items()], *new.columns).write.parquet(hidden)
+        with locked(spark, path):
+            made = spark.read.schema(schema).parquet(hidden)
+            made.join(own().select("content_hash"), "content_hash", "left_anti").select(*made.columns).write.mode("append").parquet(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(hidden)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    own_hash, cached_hash, found_value = fresh("own"), fresh("hash"), fresh("value")
+    found = own().select(F.col("content_hash").alias(cached_hash), value.alias(found_value)).dropDuplicates([cached_hash])
+    joined = df.withColumn(own_hash, content_hash(text_col)).join(found, F.col(own_hash) == F.col(cached_hash), "left")
     kept = [c for c in df.columns if c != out_col]
-    return joined.select(*kept, F.coalesce("_value", F.array().cast(kind)).alias(out_col))
+    return joined.select(*kept, F.coalesce(found_value, F.array().cast(kind)).alias(out_col))
 
 
 def tokens(df: DataFrame, text_col: str, path: str, *, model: str, lowercase: bool = True, remove_punct: bool = True, out_col: str | None = None) -> DataFrame:
