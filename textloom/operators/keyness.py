@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frequencies import token_frequencies
+
 COLUMNS = (
     "token freq_corpus_0 freq_corpus_1 corpus_0_total corpus_1_total expected_0 expected_1 log_likelihood_llv bayes_factor_bic effect_size_ell significance "
     "percent_corpus_0 percent_corpus_1 percent_diff relative_risk log_ratio odds_ratio"
@@ -35,7 +37,20 @@ def token_frequency_stats(corpus_0: DataFrame, corpus_1: DataFrame) -> DataFrame
     f1 = corpus_1.select("token", F.col("count").cast("bigint").alias("freq_corpus_1"))
     both = f0.join(f1, "token", "full_outer").select("token", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("freq_corpus_0", "freq_corpus_1")))
     sums = f0.agg(F.coalesce(F.sum("freq_corpus_0"), F.lit(0)).cast("bigint").alias("corpus_0_total")).crossJoin(f1.agg(F.coalesce(F.sum("freq_corpus_1"), F.lit(0)).cast("bigint").alias("corpus_1_total")))  # one row with one row
-    df = both.crossJoin(F.broadcast(sums))
+    return _stats(both, sums).orderBy("token")
+
+
+def compare_corpora(df: DataFrame, text_col: str, model: str, corpus_0: Column, corpus_1: Column) -> DataFrame:
+    """``token_frequency_stats`` of the rows of ``df`` that meet either condition: one scan, one aggregation, and no order."""
+    own = df.filter(corpus_0 | corpus_1).withColumn("_in_0", corpus_0.cast("bigint")).withColumn("_in_1", corpus_1.cast("bigint"))
+    counts = token_frequencies(own, text_col, model, by=("_in_0", "_in_1"))
+    both = counts.groupBy("token").agg(*(F.sum(F.col("count") * F.coalesce(f"_in_{k}", F.lit(0))).cast("bigint").alias(f"freq_corpus_{k}") for k in (0, 1)))
+    sums = both.agg(*(F.coalesce(F.sum(f"freq_corpus_{k}"), F.lit(0)).cast("bigint").alias(f"corpus_{k}_total") for k in (0, 1)))
+    return _stats(both, sums)
+
+
+def _stats(both: DataFrame, sums: DataFrame) -> DataFrame:
+    df = both.crossJoin(F.broadcast(sums))  # one row
     a, b, ta, tb = (F.col(c).cast("double") for c in ("freq_corpus_0", "freq_corpus_1", "corpus_0_total", "corpus_1_total"))
     n, t = ta + tb, a + b
     df = df.withColumns({"expected_0": ieee_div(t * ta, n), "expected_1": ieee_div(t * tb, n)})
@@ -63,4 +78,4 @@ def token_frequency_stats(corpus_0: DataFrame, corpus_1: DataFrame) -> DataFrame
             "odds_ratio": F.when((a > 0) & (b > 0) & (ta > a) & (tb > b), ieee_div(a * (tb - b), b * (ta - a))),
         }
     )
-    return df.select(*COLUMNS).orderBy("token")
+    return df.select(*COLUMNS)
