@@ -15,7 +15,7 @@ from ..functions.tokenize import NATIVE, token_rows, token_strings, tokenize
 from ..functions.vectors import l2_normalize
 from ..models import model_inventory, predefined_model_records
 from ..operators.frequencies import token_frequencies
-from ..operators.keyness import COLUMNS, token_frequency_stats
+from ..operators.keyness import COLUMNS, compare_corpora, token_frequency_stats
 from ..operators.topic_model import topic_modeling
 from ..operators.topic_words import ctfidf, rollup, soft_sizes, topic_centroids, topic_term_counts
 from ..sources.cache import content_hash, misses
@@ -127,13 +127,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 def _keyness(table_name: str, text: str, zero: str, one: str) -> str:
-    def f(where: str) -> str:
-        return f"SELECT token, count(*) AS c FROM ({tokens_sql('1', text, f'(SELECT * FROM {table_name} WHERE {where})')}) GROUP BY token"
-
+    tokens = tokens_sql(cols="g", text=text, table=f"(SELECT *, CASE WHEN {zero} THEN 0 WHEN {one} THEN 1 END AS g FROM {table_name} WHERE {zero} OR {one})")
     return f"""
-WITH f0 AS ({f(zero)}),
-f1 AS ({f(one)}),
-j AS (SELECT coalesce(f0.token, f1.token) AS token, CAST(coalesce(f0.c, 0) AS DOUBLE) AS a, CAST(coalesce(f1.c, 0) AS DOUBLE) AS b FROM f0 FULL OUTER JOIN f1 ON f0.token = f1.token),
+WITH j AS MATERIALIZED (SELECT token, CAST(count(*) FILTER (g = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (g = 1) AS DOUBLE) AS b FROM ({tokens}) GROUP BY token),
 t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM j),
 e AS (SELECT *, (a + b) * ta / (ta + tb) AS e0, (a + b) * tb / (ta + tb) AS e1, ta + tb AS n FROM j, t),
 l AS (SELECT *, 2 * (CASE WHEN a > 0 THEN a * ln(a / greatest(e0, 1e-10)) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b / greatest(e1, 1e-10)) ELSE 0 END) AS ll FROM e)
@@ -155,7 +151,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _compared(df: DataFrame, zero: str, one: str) -> DataFrame:
-    return token_frequency_stats(token_frequencies(df.filter(zero), "text", NATIVE), token_frequencies(df.filter(one), "text", NATIVE))
+    return compare_corpora(df, "text", NATIVE, F.expr(zero), F.expr(one))
 
 
 @query("keyness_en_vs_fr", _keyness("documents", "text", "lang = 'en'", "lang = 'fr'"))
@@ -170,7 +166,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("keyness_significant", "SELECT token, significance FROM (" + _keyness("documents", "text", "lang = 'de'", "lang = 'es'") + ") WHERE significance <> ''")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _compared(docs(s, d), "lang = 'de'", "lang = 'es'").filter("significance <> ''").select("token", "significance")
+    de, es = (token_frequencies(docs(s, d).filter(F.col("lang") == x), "text", NATIVE) for x in ("de", "es"))
+    return token_frequency_stats(de, es).filter("significance <> ''").select("token", "significance")
 
 
 _KWIC = """
@@ -218,6 +215,27 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id", "l1", "matched_text", "r1").agg(F.count(F.lit(1)).alias("n"))
 
 
+_FULL = """
+WITH t AS (SELECT doc_id, unnest(ts) AS t, unnest(generate_series(1, len(ts))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, """ + PLAIN + """) AS ts FROM documents)),
+k AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos FROM t WHERE """ + SPECIAL + """),
+w AS (SELECT doc_id, pos, t, coalesce(string_agg(t, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS left_context,
+  coalesce(string_agg(t, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), '') AS right_context,
+  coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY pos), '') AS l1, coalesce(lead(t) OVER (PARTITION BY doc_id ORDER BY pos), '') AS r1 FROM k)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS hit, left_context, t AS matched_text, right_context, l1, r1 FROM w WHERE lower(t) = 'license'
+"""
+
+
+@query("kwic_full", _FULL)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """All the output of a concordance, for a word that the search delimits as the tokenizer does."""
+    edge = "[\\p{IsWhite_Space}\\p{P}!-/:-@\\[-`{-~]"
+    found = docs(s, d).select("doc_id", F.posexplode(concordance("text", "license", num_left_tokens=3, num_right_tokens=4)).alias("hit", "x"), "text")
+    before, after = F.substring("text", F.col("x.start_idx").cast("int"), F.lit(1)), F.substring("text", F.col("x.end_idx").cast("int") + 1, F.lit(1))
+    whole = found.filter(((F.col("x.start_idx") == 0) | before.rlike(edge)) & ((F.col("x.end_idx") == F.char_length("text")) | after.rlike(edge)))
+    numbered = whole.withColumn("hit", F.row_number().over(Window.partitionBy("doc_id").orderBy("hit")).cast("bigint"))
+    return numbered.select("doc_id", "hit", "x.left_context", "x.matched_text", "x.right_context", "x.l1", "x.r1")
+
+
 def _sources(s: SparkSession, d: str) -> DataFrame:
     """The documents as if each were a chunk whose topic is the number in its source."""
     return docs(s, d).select("doc_id", "lang", "text", F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("topic"))
@@ -228,14 +246,14 @@ WITH t AS ({tokens_sql(cols="topic", text="text", table="(SELECT *, CAST(regexp_
 c AS (SELECT topic, token, count(*) AS n FROM t GROUP BY 1, 2), w AS (SELECT topic, sum(n) AS words FROM c GROUP BY 1), a AS (SELECT token, sum(n) AS f FROM c GROUP BY 1), k AS (SELECT sum(n) / 20.0 AS average FROM c),
 s AS (SELECT topic, token, CAST(n / words * ln(1 + average / f) AS FLOAT) AS score FROM c JOIN w USING (topic) JOIN a USING (token), k),
 r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, token) AS rank FROM s)
-SELECT topic, CAST(rank AS INT) AS rank, round(CAST(score AS DOUBLE), 6) AS score FROM r WHERE rank <= 10
+SELECT topic, token, CAST(rank AS INT) AS rank, round(CAST(score AS DOUBLE), 6) AS score FROM r WHERE rank <= 10
 """
 
 
 @query("ctfidf_by_source", _CTFIDF)
 def _(s: SparkSession, d: str) -> DataFrame:
     ranked = ctfidf(topic_term_counts(_sources(s, d)), 20, 10)
-    return ranked.select("topic", F.col("rank").cast("int").alias("rank"), F.round(F.col("score").cast("double"), 6).alias("score"))
+    return ranked.select("topic", "token", F.col("rank").cast("int").alias("rank"), F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
 _CHUNKS = "(SELECT conv_id AS doc_id, CAST(CASE role WHEN 'system' THEN -1 WHEN 'user' THEN 0 ELSE 1 END AS INT) AS topic FROM conversations)"
@@ -265,16 +283,22 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return soft_sizes(_turns(s, d), 2).withColumn("size", F.round("size", 3))
 
 
-@query("topic_centroids", "SELECT CAST(label AS INT) AS topic_id, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS x, round(avg(CAST(embedding[2] AS DOUBLE)), 6) AS y FROM embeddings GROUP BY label")
+@query("topic_centroids", "SELECT CAST(label AS INT) AS topic_id, CAST((k + 1) // 2 AS INT) AS axes, round(avg(CAST(embedding[k] AS DOUBLE)), 6) AS x, round(avg(CAST(embedding[k + 1] AS DOUBLE)), 6) AS y FROM embeddings, (SELECT unnest(generate_series(1, 63, 2)) AS k) GROUP BY label, k")
 def _(s: SparkSession, d: str) -> DataFrame:
-    points = table(s, d, "embeddings").select("label", F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
-    return topic_centroids(points, 10, topic="label").select("topic_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Centroids in every pair of axes of the vectors."""
+    points = table(s, d, "embeddings")
+    pairs = [points.select("label", F.get("embedding", 2 * k).cast("double").alias("x"), F.get("embedding", 2 * k + 1).cast("double").alias("y")) for k in range(32)]
+    found = [topic_centroids(p, 10, topic="label").withColumn("axes", F.lit(k + 1)) for k, p in enumerate(pairs)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.select("topic_id", "axes", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("l2_normalize", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS first, CAST(1 AS DOUBLE) AS norm FROM embeddings")
+@query("l2_normalize", "SELECT vec_id, unnest(generate_series(0, len(v) - 1))::INT AS axis, unnest(v) AS value FROM (SELECT vec_id, list_transform(embedding, lambda x: round(CAST(CAST(CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))) AS FLOAT) AS DOUBLE), 5)) AS v FROM embeddings)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "embeddings").select("vec_id", l2_normalize("embedding").alias("v"))
-    return v.select("vec_id", F.round(F.get("v", 0).cast("double"), 5).alias("first"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 4).alias("norm"))
+    v = table(s, d, "embeddings").select("vec_id", F.posexplode(l2_normalize("embedding")).alias("axis", "value"))
+    return v.select("vec_id", "axis", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -300,13 +324,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("embedding")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "benchmark").select("item_id", embedding("text", embedder_model="hashing:64").alias("embedding"))
+    """The stand-in without a model, over all documents; tests run an ONNX graph."""
+    return docs(s, d).select("doc_id", embedding("text", embedder_model="hashing:64").alias("embedding"))
 
 
 @query("topic_modeling")
 def _(s: SparkSession, d: str) -> DataFrame:
-    out = topic_modeling(table(s, d, "benchmark"), "item_id", "text", "topic", embedder_model="hashing:64", min_cluster_size=3, max_tokens=24, overlap=4)
-    return out.select("item_id", "topic.dominant_topic", "topic.n_topics", "topic.n_chunks")
+    out = topic_modeling(docs(s, d), "doc_id", "text", "topic", embedder_model="hashing:64")
+    return out.select("doc_id", "topic.dominant_topic", "topic.n_topics", "topic.n_chunks")
 
 
 @query("top_tokens_by_source", f"SELECT source, token, n FROM (SELECT source, token, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, token) AS k FROM ({tokens_sql(cols='source', text='text', table='documents')}) GROUP BY source, token) WHERE k <= 5")
