@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_warc": warc.op9_warc,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
+    # parts of results that SQL can say, of operators whose whole results it can't
+    "quality_base_columns": quality_rules.quality_base_columns,
+    "mixing_targets": mixing.mixing_targets,
 }
 ORACLES: dict[str, str] = {
     "op1_html_extraction": site_style.ORACLE,
@@ -28,4 +31,6 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE,
+    "quality_base_columns": quality_rules.BASE_ORACLE,
+    "mixing_targets": mixing.TARGETS_ORACLE,
 }

@@ -154,16 +154,16 @@ def source_targets(made: DataFrame, weights: tuple[float, ...], budget: float, m
     slots = ordered.withColumn("part", part).join(offsets, "part").withColumn("slot", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1))
     weight = F.get(F.array(*map(F.lit, map(float, weights))), (F.col("slot") % len(weights)).cast("int"))
     slots = staged(slots.select("slot", "source", "source_size", weight.alias("weight")), "slots")
-    left = budget * (slots.agg(F.sum("source_size")).first()[0] or 0)
-    # a source that is full at one level stays full as the others' level rises
-    level, done = None, False
-    while not done:
-        aim = F.lit(True) if level is None else F.lit(level[0]) * F.col("weight") / F.lit(level[1]) < most * F.col("source_size")
-        open_ = slots.filter(aim)
-        total, held = open_.agg(F.sum("weight"), F.sum("source_size")).first()
-        full_size = (slots.agg(F.sum("source_size")).first()[0] or 0) - (held or 0)
-        new = (left - most * full_size, total) if total else None
-        done, level = new is None or new == level, new or level
+    words, weight = slots.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    # a source that is full at one level stays full as the others' level rises; none is at first
+    level, open_weight, open_size = None, weight, words
+    while open_weight:
+        new = (budget * words - most * (words - open_size), open_weight)
+        if new == level:
+            break
+        level = new
+        below = F.lit(level[0]) * F.col("weight") / F.lit(level[1]) < most * F.col("source_size")
+        open_weight, open_size = slots.agg(F.sum(F.when(below, F.col("weight")).otherwise(0.0)), F.sum(F.when(below, F.col("source_size")).otherwise(0))).first()
     share = F.lit(level[0]) * F.col("weight") / F.lit(level[1]) if level else F.lit(0.0)
     target = F.least(share, (most * F.col("source_size")).cast("double"))
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(target / F.col("source_size")))).otherwise(0).cast("int")
@@ -213,3 +213,19 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each row that it takes, with its size, its source's target and its number of copies (see ``mix_sources`` for nulls, ties and repeated rows)."""
     return mix_sources(docs).filter("copies > 0")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op4_mixing_sources``: all but the choice, and that no document is taken more than twice."""
+    rows = op4_mixing_sources(spark, sf_dir)
+    return rows.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("taken") <= 2 * F.col("size")).alias("within"))
+
+
+TARGETS_ORACLE = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, 2.0 * n / w AS full_at, 1.5 * sum(n) OVER () - coalesce(sum(2 * n) OVER (ORDER BY 2.0 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+  sum(w) OVER (ORDER BY 2.0 * n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM s),
+level AS (SELECT min_by(remaining / weights, full_at) FILTER (remaining / weights <= full_at) AS level FROM o)
+SELECT doc_id, size, n AS source_size, round(CAST(least(2 * n, coalesce(level, 1e300) * w) AS DOUBLE), 4) AS target, true AS within FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, level
+"""

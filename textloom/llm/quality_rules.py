@@ -229,3 +229,20 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, least: flo
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
+
+
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op2_quality_rules``: all but the verdict."""
+    return op2_quality_rules(spark, sf_dir).drop("kept")
+
+
+BASE_ORACLE = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+win AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 4)) AS i, unnest(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM w WHERE len(ws) > 4),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM twice) GROUP BY doc_id)
+SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(n, 0) > 20 * len(ws) AS base_failed
+FROM l LEFT JOIN r USING (doc_id)
+"""
