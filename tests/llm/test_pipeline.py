@@ -42,3 +42,32 @@ def test_stages_catch_what_is_planted(spark, tmp_path):
         taken.setdefault((r["source"], r["target"]), []).append(r["taken"])
     assert set(seen[4]) <= set(seen[3]) and all(abs(sum(v) - target) <= 40 for (_, target), v in taken.items())
     assert sorted((r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r["doc_id"], r["taken"]) for r in mix)
+
+
+def test_rows_without_ids_shared_ids_and_repeats(spark, tmp_path):
+    rng = random.Random(4)
+    item, a, b, c = prose(rng, 30), prose(rng, 90), prose(rng, 90), prose(rng, 90)
+    rows = [(1, a), (1, a), (1, b), (None, c), (None, c), (None, a + " end"), (None, prose(rng, 70) + " " + item), (2, None), (None, ""), (3, prose(rng, 40) + " " + item), (4, prose(rng, 80))]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 7) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, row int")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    key = lambda df: sorted(((str(r["doc_id"]), str(r["text"])) for r in df.collect()))
+    good = corpus_pipeline.STAGES[0][1](spark, df, str(tmp_path))
+    assert set(key(good)) <= {(str(d), t) for d, t in rows if t} and good.columns == df.columns
+    held, seen = df, []
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, held, str(tmp_path))
+        held = spark.createDataFrame(out.collect(), out.schema)
+        seen.append(key(held))
+        assert held.columns == df.columns
+    rest = [("1", a), ("1", b), ("None", c), ("2", "None"), ("None", ""), ("4", rows[-1][1])]
+    leaks = [("None", rows[6][1]), ("3", rows[9][1])]
+    assert seen[0] == sorted(rest + leaks)
+    assert len(seen[1]) == 8 and set(rest) <= set(seen[1]) and sum(item in t for _, t in seen[1]) == 1  # a copy of the item is cut out of one
+    assert seen[2] == sorted(x for x in seen[1] if item not in x[1])
+    mix = corpus_pipeline.STAGES[4][1](spark, held, str(tmp_path)).collect()
+    assert mix and all(r["copies"] in (1, 2) for r in mix)
+    empty = str(tmp_path / "empty")
+    df.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0

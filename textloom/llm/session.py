@@ -30,29 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def deleted(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared one, wherever it lies."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
 
 
 def clean(spark: SparkSession) -> None:
     """Delete all that this application has written to the shared folder; results that still read it are gone then."""
-    deleted(spark, f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}")
+    deleted(spark, _own_folder(spark))
 
 
-def _sweep(spark: SparkSession) -> None:
+def _sweep(fs: object, at: object) -> None:
     with contextlib.suppress(Exception):  # the JVM may be gone, and then nothing can be done
-        clean(spark)
+        fs.delete(at, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A new folder below the application's own, which is deleted when the driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _swept:
-        _swept.add(app)
-        atexit.register(_sweep, spark)
-    folder = f"{shared_dir(spark)}/textloom/{app}/{uuid.uuid4().hex}"
+    own = _own_folder(spark)
+    if own not in _swept:
+        _swept.add(own)
+        atexit.register(_sweep, *_at(spark, own))  # works when the session is stopped before, too
+    folder = f"{own}/{uuid.uuid4().hex}"
     for record in _records:
         record.append(folder)
     return f"{folder}/{name}"
