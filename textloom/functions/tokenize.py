@@ -228,8 +228,8 @@ def tokenize(c: Column | str, *, model: str, lowercase: bool = True, remove_punc
     return tokens(as_column(c))
 
 
-def _keep(token: Column, remove_punct: bool) -> Column:
-    kept = ~token.rlike(_SPECIAL_JVM)
+def _keep(token: Column, remove_punct: bool, lowered: bool) -> Column:
+    kept = ~token.isin(*SPECIAL) if lowered else ~token.rlike(_SPECIAL_JVM)
     return kept & token.rlike(_ALPHANUMERIC) if remove_punct else kept
 
 
@@ -237,7 +237,7 @@ def token_strings(c: Column | str, *, lowercase: bool = True, remove_punct: bool
     """Tokens of the native model as array<string>, without leaving the JVM."""
     text = F.lower(as_column(c)) if lowercase else as_column(c)
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECE), F.lit(0))
-    return F.filter(pieces, lambda t: _keep(t, remove_punct))
+    return F.filter(pieces, lambda t: _keep(t, remove_punct, lowercase))
 
 
 def token_rows(df: DataFrame, id_col: str, text_col: str, *, lowercase: bool = True, remove_punct: bool = True) -> DataFrame:

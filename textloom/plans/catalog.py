@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +20,7 @@ from ..operators.frequencies import token_frequencies
 from ..operators.keyness import COLUMNS, compare_corpora, token_frequency_stats
 from ..operators.topic_model import topic_modeling
 from ..operators.topic_words import ctfidf, rollup, soft_sizes, topic_centroids, topic_term_counts
-from ..sources.cache import content_hash, misses
+from ..sources.cache import content_hash, misses, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,6 +324,31 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", F.posexplode(chunks("text", max_tokens=64, overlap=8)).alias("chunk_index", "chunk"))
 
 
+_LINES = f"list_transform(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[{WS}]+', ''), '[{WS}]+$', ''))"
+
+
+@query("chunking_whole", f"SELECT doc_id, CAST(0 AS INT) AS chunk_index, c AS chunk FROM (SELECT doc_id, regexp_replace(trim(array_to_string({_LINES}, chr(10)), chr(10)), chr(10) || chr(10) || '+', ' ', 'g') AS c FROM documents) WHERE c <> ''")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Chunks that are whole texts: paragraphs found, trimmed and joined."""
+    return docs(s, d).select("doc_id", F.posexplode(chunks("text", max_tokens=1 << 30, overlap=0)).alias("chunk_index", "chunk"))
+
+
+def scratch(s: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one in local mode."""
+    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='textloom-')).rstrip('/')}/textloom-cache/{uuid.uuid4().hex}"
+
+
+@query("tokenize_cached", _OFFSETS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A cache that has half of the texts already, filled up and joined back."""
+    path = scratch(s)
+    tokens(docs(s, d).filter("lang <> 'en'"), "text", path, model=NATIVE).limit(0).collect()
+    return tokens(docs(s, d), "text", path, model=NATIVE).select("doc_id", F.inline("text"))
+
+
 @query("embedding")
 def _(s: SparkSession, d: str) -> DataFrame:
     """The stand-in without a model, over all documents; tests run an ONNX graph."""
