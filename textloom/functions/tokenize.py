@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, partial
 from pathlib import Path
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..models import PREDEFINED_MODELS, require_feature
 from ..sources.store import Store, get_or_insert
+from .lattice import Lattice
 from .scalar import ASCII_PUNCTUATION, SPACE, as_column
 
 NATIVE = "native:plain_words_en"
@@ -74,6 +75,11 @@ def register_dictionary(model: str, load: Callable[[], Callable[[str], list[Span
     _dictionaries[model] = load
 
 
+def dictionary_folder(model: str, folder: str) -> None:
+    """Make a dictionary model usable by a folder in MeCab's source format (see ``lattice``), which all tasks must see."""
+    register_dictionary(model, partial(Lattice, str(folder)))
+
+
 def _file(name: str) -> Path:
     for at in (Path(name), Path(name) / "tokenizer.json"):
         if at.is_file():
