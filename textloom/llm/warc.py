@@ -89,8 +89,10 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 0, id_c
 
     Of rows with equal payloads of ``least`` bytes or more, those of the smallest id become
     responses, the others revisits of it; null payloads are empty. Rows with null ids become
-    revisits where the payload has an id elsewhere, else responses. Only files named in the
-    result are part of the archive: a lost attempt leaves files that nothing names.
+    revisits where the payload has an id elsewhere, else responses; rows that repeat in full are
+    all responses, as the smallest id has no smaller one. Payloads may have any length (a record
+    is held whole); an empty table gives no archives; other columns are ignored. Only files named
+    in the result are part of the archive: a lost attempt leaves files that nothing names.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
@@ -201,7 +203,8 @@ def read_warc(archives: DataFrame, payloads: bool = True, range_bytes: int = RAN
     """Records of the archives (path, size): page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload, path, position.
 
     The digest of a response is that of its payload as read; a revisit's digest and size are
-    those that it states. What is no WARC record is skipped.
+    those that it states. What is no WARC record is skipped, a record cut off at a file's end too.
+    Empty files and an empty table give no rows; a null size is a file that is not read.
     """
     total = archives.agg(F.sum("size")).first()[0] or 0
     ranges = archives.filter("size > 0").select("path", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(range_bytes))).alias("start"), "size").select("path", "start", F.least("size", F.col("start") + range_bytes).alias("end"))
