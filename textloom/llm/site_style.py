@@ -358,7 +358,7 @@ def main_text(pages: DataFrame, least: float = LEAST, id_col: str = "page_id", u
     observed = staged(rows.select("row", "url", "html").mapInArrow(_observed, _OBSERVED), "observed")
     looks = observed.filter("kind = 2").select(F.col("item").alias("row"), F.explode(F.arrays_zip("nodes", "keys")).alias("x")).select("row", F.col("x.nodes").alias("node"), F.col("x.keys").alias("key"))
     known = staged(importance(observed), "importance")  # written, so that the join can split a hot element
-    found = looks.join(known, "key").groupBy("row").agg(F.collect_set(F.struct("node", "own", "m")).alias("own"))
+    found = staged(looks.join(known, "key").groupBy("row").agg(F.collect_set(F.struct("node", "own", "m")).alias("own")), "judged")  # written, so that pages only move if there is much to judge
     return rows.join(found, "row", "left").select("page_id", "url", "html", "own").mapInArrow(lambda b: _judged(b, least), f"page_id {kind}, url string, text string")
 
 
