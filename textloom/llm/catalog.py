@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, jaccard_join, licenses, mixing, quality_rules, site_style, substring_dedup, suffix_dedup, warc
+from . import chat_format, decontamination, jaccard_join, licenses, merkle, mixing, quality_rules, site_style, substring_dedup, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": site_style.op1_html_extraction,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_warc": warc.op9_warc,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     # parts of results that SQL can say, of operators whose whole results it can't
     "quality_base_columns": quality_rules.quality_base_columns,
     "mixing_targets": mixing.mixing_targets,
