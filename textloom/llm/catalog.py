@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, jaccard_join, licenses, merkle, mixing, quality_rules, site_style, substring_dedup, suffix_dedup, warc
+from . import chat_format, decontamination, jaccard_join, licenses, merkle, mixing, phrases, quality_rules, simhash, site_style, substring_dedup, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": site_style.op1_html_extraction,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": warc.op9_warc,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_phrase_mining": phrases.op12_phrase_mining,
+    "op13_simhash": simhash.op13_simhash,
     # parts of results that SQL can say, of operators whose whole results it can't
     "quality_base_columns": quality_rules.quality_base_columns,
     "mixing_targets": mixing.mixing_targets,
@@ -32,6 +34,7 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE,
+    "op12_phrase_mining": phrases.ORACLE,
     "quality_base_columns": quality_rules.BASE_ORACLE,
     "mixing_targets": mixing.TARGETS_ORACLE,
 }

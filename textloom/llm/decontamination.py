@@ -71,11 +71,11 @@ def _item_rows(containment: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def bit_map(hashes: DataFrame) -> np.ndarray:
-    """The map of a column ``hash``: at most 2^18 words of 64 bits reach the driver, whatever the number of hashes."""
-    at = F.shiftrightunsigned("hash", 64 - MAP)
+def bit_map(hashes: DataFrame, size: int = MAP) -> np.ndarray:
+    """The map of a column ``hash``: at most 2^(size - 6) words of 64 bits reach the driver, whatever the number of hashes."""
+    at = F.shiftrightunsigned("hash", 64 - size)
     words = hashes.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP - 6), np.uint64)
+    out = np.zeros(1 << (size - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 

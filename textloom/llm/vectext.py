@@ -112,6 +112,20 @@ class Words:
         c, inv = byte_sums(self.data, k)
         return span_hash(c, inv, self.start, self.end)
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words with one space between those of a row, and where each starts and ends in them."""
+        edges = np.zeros(len(self.data) + 1, np.int8)
+        edges[self.start] += 1
+        edges[self.end] -= 1  # a word may start where another row's ends
+        keep = np.cumsum(edges[:-1], dtype=np.int8) > 0
+        after = self.end[self.end < len(self.data)]
+        after = after[~keep[after]]
+        data = self.data.copy()
+        data[after] = 32
+        keep[after] = True
+        place = np.cumsum(keep) - 1
+        return data[keep], place[self.start], place[self.end - 1] + 1
+
     def windows(self, hashes: np.ndarray, width: int, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Start index and hash of every window of ``width`` words that stays in its row."""
         n = len(hashes) - width + 1
@@ -122,6 +136,19 @@ class Words:
         return at, span_hash(c, inv, at, at + width)
 
 
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans of ``data`` as strings."""
+    size = end - start
+    offs = np.append(0, np.cumsum(size))
+    at = np.arange(offs[-1]) + np.repeat(start - offs[:-1], size)
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
+def lowered_ascii(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, all other bytes as they are."""
+    return np.where((data >= 65) & (data <= 90), data | 32, data)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as the int64 that Spark's bigint holds."""
     return x.view(np.int64)
