@@ -22,7 +22,7 @@ from .vectext import Words, byte_sums, lowered_ascii, mix, signed, slabs, span_h
 
 MOST, LEAST, SHARE, TOP, SALTS = 5, 100, 100, 2000, 64
 #: Bytes of a slab, within which equal n-grams are counted; bits of the map, as a power of two: 8 MB.
-SLAB, MAP = 1 << 22, 26
+SLAB, MAP = 1 << 20, 26
 _CUTS = np.zeros(256, bool)
 _CUTS[[*b".,;:!?", 10, 11, 12, 13]] = True
 
