@@ -5,12 +5,14 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.llm import decontamination, session
 from textloom.llm.chat_format import as_events, escape, fold, format_chats, parse, render, unescape
 from textloom.llm.decontamination import contained_items, without_benchmark
 from textloom.llm.licenses import _MIT, TEMPLATES, Templates, _terms, _words, cosines, scan_licenses
@@ -70,6 +72,28 @@ def test_containment_is_exact(spark, seed):
     assert contained(contained_items(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))) == brute_containments(docs, items, 0.8)
 
 
+def test_a_stock_phrase_makes_no_candidates(spark, monkeypatch):
+    """Documents and items that all share a phrase of seven words: a candidate is what holds more than the phrase."""
+    seen = []
+    monkeypatch.setattr(decontamination, "staged", lambda df, name: (seen.append((name, out := session.staged(df, name))), out)[1])
+    rng = random.Random(1)
+    phrase = "all of them share this stock phrase".split()
+    docs = [(k, " ".join(phrase + [f"d{k}x{rng.randrange(10**6)}" for _ in range(30)])) for k in range(300)]
+    items = [(k, " ".join([f"i{k}y{rng.randrange(10**6)}" for _ in range(6)] + phrase)) for k in range(300)]
+    docs += [(1000 + k, f"before {items[k][1]} after") for k in range(5)]
+    rows = contained_items(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(1000 + k, k) for k in range(5)]
+    assert dict(seen)["candidates"].count() <= 10
+
+
+def test_items_of_stock_shingles_only(spark):
+    """Every shingle is everywhere, so sketches hold them as well; sizes of documents still count."""
+    text = "one two three four five six seven eight nine ten"
+    docs = [(k, text) for k in range(9)] + [(20, "one two three four five"), (21, text + " " + text), (22, None), (23, "")]
+    items = [(1, text), (2, text + " eleven"), (3, "three four"), (4, None), (1, text)]
+    assert contained(contained_items(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))) == brute_containments(docs, items, 0.8)
+
+
 def test_decontamination_stage(spark, tmp_path):
     spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     df = frame(spark, [(1, "a short one b"), (2, "clean text"), (None, "clean too"), (3, None), (None, "this short one leaks"), (4, "leaks a short one"), (4, "clean three")])
@@ -115,6 +139,35 @@ def test_fit_beyond_the_programme():
     assert fit(np.array([5, 90_000_000]), np.array([2, 1]), 90_000_004).tolist() == [0, 1]
 
 
+@pytest.mark.parametrize("budget", [20_000, 100_000, 1_000_000, 10_000_000])
+@pytest.mark.parametrize("longest", [2_000, 500])
+def test_what_is_taken_is_like_its_source(budget, longest):
+    """Mean, quartiles of documents and of words, at every budget alike."""
+    lengths = np.arange(10, longest)
+    counts = 1 + (3_000_000 // lengths**2)
+    counts[lengths > 200] = 30
+    take = fit(lengths, counts, budget)
+    assert int((take * lengths).sum()) == min(budget, int((counts * lengths).sum()))
+    mean, own = (counts * lengths).sum() / counts.sum(), (take * lengths).sum() / take.sum()
+    spread = ((lengths - mean) ** 2 * counts).sum() / counts.sum()
+    assert abs(own - mean) < 4 * (spread / take.sum()) ** 0.5  # what a random choice keeps to
+    for weight in (1, lengths):
+        have, want = (np.cumsum(x * weight) / (x * weight).sum() for x in (take, counts))
+        assert np.abs(have - want).max() < 3 / take.sum() ** 0.5
+
+
+def test_work_of_the_programme_is_bounded():
+    began = time.perf_counter()
+    lengths = np.arange(2, 40_000, 2)
+    take = fit(lengths, np.full(len(lengths), 50), 20_000_001)
+    assert int((take * lengths).sum()) == 20_000_000
+    take = fit(np.array([10, 3_000_000]), np.array([10**8, 5]), 100_000_003)
+    assert int((take * [10, 3_000_000]).sum()) == 100_000_000 and take[1] <= 2
+    take = fit(np.array([1000, 1001]), np.array([10**6, 10**6]), 700_500)
+    assert 700_500 - int((take * [1000, 1001]).sum()) <= 1000
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_knapsack(seed):
     rng = random.Random(seed)

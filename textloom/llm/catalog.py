@@ -34,6 +34,7 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op12_phrase_mining": phrases.ORACLE,
     "quality_base_columns": quality_rules.BASE_ORACLE,
     "mixing_targets": mixing.TARGETS_ORACLE,

@@ -2,17 +2,18 @@
 
 Words are lower-cased runs of letters, digits and non-ASCII characters; an item's set holds its
 word 5-grams (all of its words where it has fewer). Items are partitioned by the size of their
-sets, which sets the depth of their sketch: a document that holds a share c of an item's n
-shingles holds one of any n - ceil(c * n) + 1 of them, so with that many least hash values no true
-container is missed, however long it is. (MinHash of whole documents, as in LSH ensembles, would
-need over 10,000 bands for a 10-shingle item in a 20,000-word document.)
-
-Two joins on shingles do the search, and neither side passes through the driver. Documents emit
-the shingles that a bit map of sketched shingles lets pass; joined with the sketches they give
-candidates. Only candidate documents then emit the shingles that a map of
-all the items' shingles lets pass; joined with the items of their candidates, they are counted,
-which is the exact containment. The maps have a fixed size; a larger benchmark fills them more,
-and then more shingles go to the joins, but no other results come of it.
+sets, which sets the depth of their sketch and the least document they are looked for in: a
+document that holds a share c of an item's n shingles has at least ceil(c * n), and holds one of
+any n - ceil(c * n) + 1 of them, so no true container is missed, however long it is. (MinHash of
+whole documents, as in LSH ensembles, would need over 10,000 bands for a 10-shingle item in a
+20,000-word document.) A sketch takes the shingles that fewest documents hold, of equally rare
+ones the least hashes, so what an item shares with many documents makes no candidates.
+
+Documents are read once: they emit the shingles that a bit map of all items' shingles lets pass.
+Joined with the sketches these give candidates, and each candidate is settled by the
+item's own shingles among the document's, which is the exact containment. Neither side
+passes through the driver but for the map of fixed size; a larger benchmark fills it more, and
+then more shingles go to the joins, but no other results come of it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .repeats import document
@@ -44,7 +45,7 @@ def shingles(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def _item_rows(containment: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(item, size, need, hash, sketched) of the distinct shingles of items (item, text)."""
+    """(item, size, need, hash) of the distinct shingles of items (item, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,8 +66,7 @@ def _item_rows(containment: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 row, found = row[new], found[new]
                 size = np.bincount(row, minlength=j - i)
                 need = np.ceil(containment * size - 1e-9).astype(np.int64)
-                rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(size[row]), pa.array(need[row]), pa.array(signed(found)), pa.array(rank <= (size - need)[row])], names=["item", "size", "need", "hash", "sketched"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(size[row]), pa.array(need[row]), pa.array(signed(found))], names=["item", "size", "need", "hash"])
 
     return run
 
@@ -81,16 +81,16 @@ def bit_map(hashes: DataFrame, size: int = MAP) -> np.ndarray:
 
 
 def _passing(bits: np.ndarray, widths: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc, row, hash) of the distinct shingles of documents (doc, row, text) that the map has."""
+    """(doc, row, words, hash) of the distinct shingles of documents (doc, row, text) that the map has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offs = lowered(batch.column(2))
-            rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            rows, hashes, count = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], np.zeros(len(doc), np.int64)
             for i, j in slabs(offs):
                 words = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], loose=True)
-                one = words.hashes()
+                one, count[i:j] = words.hashes(), np.diff(words.first)
                 for width in widths:
                     row, found = shingles(words, one, width)
                     at = found >> np.uint64(64 - MAP)
@@ -101,28 +101,33 @@ def _passing(bits: np.ndarray, widths: list[int]) -> Callable[[Iterator[pa.Recor
                     rows.append(i + row[order][new])
                     hashes.append(found[order][new])
             row, found = np.concatenate(rows), np.concatenate(hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(own[row]), pa.array(signed(found))], names=["doc", "row", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(own[row]), pa.array(count[row]), pa.array(signed(found))], names=["doc", "row", "words", "hash"])
 
     return run
 
 
+def candidates(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc, row, item) of the documents with a sketched shingle, from ``held`` (doc, row, words, hash) and ``sets`` (item, size, need, hash)."""
+    known = sets.join(held.groupBy("hash").agg(F.count(F.lit(1)).alias("docs")), "hash")
+    absent = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n")).join(known.groupBy("item").agg(F.count(F.lit(1)).alias("met")), "item").select("item", (F.col("n") - F.col("met")).alias("absent"))
+    rarest = F.row_number().over(Window.partitionBy("item").orderBy("docs", "hash")) + F.col("absent")  # what no document holds comes first
+    sketches = known.join(absent, "item").withColumn("rank", rarest).filter("rank <= size - need + 1").select("item", "need", "hash")
+    met = held.join(sketches, "hash").filter(F.col("need") <= F.greatest(F.lit(1), F.col("words") - (SHINGLE - 1)))
+    return met.select("doc", "row", "item").distinct()
+
+
 def containments(docs: DataFrame, items: DataFrame, containment: float, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame:
     """(doc, row, item_id, n_shingles, n_shared) for each row of ``items`` and each document (``repeats.document``) that holds enough of it."""
     doc, row = document(id_col, text_col)
     texts = docs.select(doc.alias("doc"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
     rows = staged(items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).withColumn("item", F.monotonically_increasing_id()), "items")
-    # partitioned by size: sets of like size lie together, and each partition's sketches have one depth or nearly so
-    made = rows.select("item", "text").mapInArrow(_item_rows(containment), "item bigint, size bigint, need bigint, hash bigint, sketched boolean")
-    sets = staged(made.withColumn("class", F.ceil(F.log2("size")).cast("int")).repartition("class", "hash"), "sets")
+    sets = staged(rows.select("item", "text").mapInArrow(_item_rows(containment), "item bigint, size bigint, need bigint, hash bigint"), "sets")
     words = F.least(F.lit(SHINGLE), F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9\x{80}-\x{10FFFF}]+"), F.lit(0))))
     widths = sorted(r[0] for r in rows.select(words).distinct().collect() if (r[0] or 0) > 0)  # five at most
-    emitted = "doc bigint, row bigint, hash bigint"
-    sketches = sets.filter("sketched").select("item", "hash")
-    asked = texts.mapInArrow(_passing(bit_map(sketches), widths), emitted)
-    candidates = staged(asked.join(sketches, "hash").select("doc", "row", "item").distinct(), "candidates")
-    held = texts.join(candidates.select("doc", "row").distinct(), ["doc", "row"], "left_semi").mapInArrow(_passing(bit_map(sets), widths), emitted).distinct()
-    pairs = held.join(sets.select("item", "size", "need", "hash"), "hash").join(candidates, ["doc", "row", "item"], "left_semi")
-    counted = pairs.groupBy("doc", "row", "item").agg(F.count(F.lit(1)).alias("n_shared"), F.first("size").alias("n_shingles"), F.first("need").alias("need")).filter("n_shared >= need")
+    held = staged(texts.mapInArrow(_passing(bit_map(sets), widths), "doc bigint, row bigint, words bigint, hash bigint"), "held")
+    asked = staged(candidates(held, sets), "candidates")
+    shared = asked.join(sets, "item").join(held.select("doc", "row", "hash"), ["doc", "row", "hash"], "left_semi")
+    counted = shared.groupBy("doc", "row", "item").agg(F.count(F.lit(1)).alias("n_shared"), F.first("size").alias("n_shingles"), F.first("need").alias("need")).filter("n_shared >= need")
     return counted.join(rows.select("item", "item_id"), "item").select("doc", "row", "item_id", "n_shingles", "n_shared")
 
 
@@ -149,7 +154,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The documents without those that hold a benchmark item, all columns as they were.
 
     Rows are judged one by one by their own texts: those without an id as well, and of those that
-    share an id only the ones that hold an item go. Null and empty texts stay.
+    share an id only the ones that hold an item go. Null and empty texts stay, texts may have any
+    length, and of an empty table nothing is left; without items nothing goes.
     """
     d, r = fresh("doc"), fresh("row")
     doc, row = document("doc_id", "text")

@@ -141,3 +141,28 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     made = dataset_manifest(read_table(spark, sf_dir, "documents"), {"text": text})
     return made.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+#: The unsigned CRC-32 is taken byte by byte and bit by bit; levels of all sources and then of the subroots go up in one recursion each.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('+' || source, '') AS grp, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384 + y))) & 1 = 1 AS hit,
+  concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+  text, replace(text, chr(10), '') AS cut FROM documents),
+l AS MATERIALIZED (SELECT doc_id, grp, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf, CASE WHEN hit THEN sha256(concat(head, coalesce(strlen(cut) || ':' || cut, '-'))) END AS found,
+  row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS size FROM d),
+up AS (SELECT 0 AS lvl, grp, idx, size, leaf AS h FROM l
+  UNION ALL SELECT min(lvl) + 1, grp, idx // 3, CAST(ceil(min(size) / 3.0) AS BIGINT), sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE size > 1 GROUP BY grp, idx // 3),
+s AS MATERIALIZED (SELECT grp, lvl AS height, h AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS idx, count(*) OVER () AS size FROM up WHERE size = 1),
+top AS (SELECT 0 AS lvl, idx, size, subroot AS h FROM s
+  UNION ALL SELECT min(lvl) + 1, idx // 3, CAST(ceil(min(size) / 3.0) AS BIGINT), sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE size > 1 GROUP BY idx // 3),
+steps AS MATERIALIZED (
+  SELECT doc_id, u.lvl AS lvl, coalesce(string_agg(u.h, '' ORDER BY u.idx) FILTER (u.idx < l.idx // p), '') AS before, coalesce(string_agg(u.h, '' ORDER BY u.idx) FILTER (u.idx > l.idx // p), '') AS after
+    FROM l, up u, (SELECT range AS e, CAST(pow(3, range) AS BIGINT) AS p FROM range(30)) WHERE u.grp = l.grp AND u.lvl = e AND u.size > 1 AND u.idx // 3 = l.idx // p // 3 GROUP BY doc_id, l.idx, p, u.lvl
+  UNION ALL SELECT doc_id, s.height + u.lvl, coalesce(string_agg(u.h, '' ORDER BY u.idx) FILTER (u.idx < s.idx // p), ''), coalesce(string_agg(u.h, '' ORDER BY u.idx) FILTER (u.idx > s.idx // p), '')
+    FROM l JOIN s USING (grp), top u, (SELECT range AS e, CAST(pow(3, range) AS BIGINT) AS p FROM range(30)) WHERE u.lvl = e AND u.size > 1 AND u.idx // 3 = s.idx // p // 3 GROUP BY doc_id, s.idx, s.height, p, u.lvl),
+proof AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY lvl)) AS proof FROM steps GROUP BY doc_id),
+fold AS (SELECT doc_id, 0 AS lvl, coalesce(found, leaf) AS h FROM l UNION ALL SELECT doc_id, fold.lvl + 1, sha256(before || h || after) FROM fold JOIN steps USING (doc_id, lvl))
+SELECT l.doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM l JOIN s USING (grp) LEFT JOIN proof USING (doc_id) JOIN (SELECT doc_id, max_by(h, lvl) AS folded FROM fold GROUP BY doc_id) USING (doc_id), (SELECT h AS root FROM top WHERE size = 1)
+"""

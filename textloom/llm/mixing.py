@@ -2,9 +2,8 @@
 
 Documents are counted by source and exact length in words. A source whose target is above its
 size is taken whole, once or twice; the rest of its budget is filled from that table of counts:
-each length first gives its proportional share of documents, then the largest lengths that
-still fit, and what remains goes to a bounded-knapsack dynamic programme over the remaining
-counts, which covers more words if it can't fill the budget to the word. Within a length,
+each length gives its proportional share of documents, and what remains, a few documents' words,
+goes to a bounded-knapsack dynamic programme over the remaining counts. Within a length,
 documents are chosen by a seeded hash.
 """
 
@@ -18,8 +17,10 @@ from pyspark.sql import functions as F
 from .session import read_table, staged
 
 WEIGHTS, BUDGET, MOST, SEED = (5, 2, 1), 1.5, 2, 20240601
-#: Words that the dynamic programme covers, one after another until the budget is met; documents of a hash bucket.
-COVERS, BUCKET, BUCKETS = (1 << 17, 1 << 20, 1 << 24), 256, 1 << 14
+#: Documents that the dynamic programme chooses from, and the bits of sums that it may shift (fewer documents, if very long ones are left to fit).
+POOL, WORK = 1 << 12, 1 << 34
+#: Documents of a hash bucket.
+BUCKET, BUCKETS = 256, 1 << 14
 
 
 def targets(sizes: list[int], weights: list[float], budget: float, most: float = MOST) -> list[float]:
@@ -74,63 +75,59 @@ def knapsack(items: list[int], target: int) -> list[int]:
     # no further than needed: blocks of items until the target itself can be made
     bits, end = 1, 0
     while end < len(items) and not bits >> target & 1:
-        last = min(len(items), end + 256)
-        bits, end = forward(bits, end, last, 256)[-1], last
+        last = min(len(items), end + 32)
+        bits, end = forward(bits, end, last, 32)[-1], last
     chosen: list[int] = []
     back(1, 0, end, bits.bit_length() - 1, chosen)
     return chosen
 
 
-def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, cover: int, shares: bool) -> tuple[np.ndarray, int]:
-    """Documents to take of each length, and the words that are left; ``shares`` begins with proportional shares."""
-    take, left = np.zeros(len(lengths), np.int64), budget
-    if budget > cover and shares:
-        total = int((lengths * counts).sum())
-        take = (counts.astype(object) * budget // total).astype(np.int64)
-        left = budget - int((lengths * take).sum())
-    for k in range(len(lengths) - 1, -1, -1):
-        if left <= cover:
-            break
-        room = left if lengths[k] > cover // 2 else left - cover // 2  # the programme keeps half of its cover to choose from
-        more = min(int(counts[k] - take[k]), max(0, room // int(lengths[k])))
-        take[k] += more
-        left -= more * int(lengths[k])
-    if left > cover:  # everything that fits is taken
-        return take, left
-    items, of = [], []
-    for k in np.flatnonzero((counts > take) & (lengths <= left))[::-1].tolist():
-        spare, part = min(int(counts[k] - take[k]), left // int(lengths[k])), 1
-        while spare > 0:
-            n = min(part, spare)
-            items.append(n * int(lengths[k]))
-            of.append((k, n))
-            spare -= n
-            part *= 2
-    for i in knapsack(items, left):
-        k, n = of[i]
-        take[k] += n
-        left -= items[i]
-    return take, left
-
-
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def shares(counts: np.ndarray, part: int, total: int, start: int) -> np.ndarray:
+    """Whole numbers near counts * part / total (at most 1): their sum up to any place is rounded at one point for all, so it is less than 1 off."""
+    edges = (np.cumsum(counts).astype(object) * part + start) // total
+    return np.diff(edges, prepend=0).astype(np.int64)
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
     """How many documents of each length (ascending, above 0) to take, at most ``counts``, to come as near below ``budget`` as found.
 
-    The result is exact for budgets up to the last of COVERS. Above, the proportional shares and
-    the largest lengths (or the largest lengths alone, if that comes nearer) are fixed first, and
-    only what they leave, half a cover or more where documents are shorter than that, is filled
-    exactly.
+    Every length gives its share of the documents, at any budget: shares are rounded along the
+    lengths, so their words are less than two of the longest documents off, and as much is left
+    open for the programme. It fills what is left from a pool of documents drawn alike from all
+    lengths that fit, in random order, so its choice follows the lengths as well. A pool of short
+    documents may hold too few words for what a very long one left open; then shares of lengths
+    up to a quarter of that come first. The result is exact over the pool, which has all
+    documents that are left where these are fewer than POOL.
     """
     if budget >= int((lengths * counts).sum()):
         return counts.copy()
-    best, least = np.zeros(len(lengths), np.int64), budget + 1
-    for cover, shares in [*((c, True) for c in COVERS), (COVERS[-1], False)]:
-        take, left = _fit(lengths, counts, budget, cover, shares)
-        if left < least:
-            best, least = take, left
-        if not least or budget <= cover:
+    rng = np.random.default_rng(seed)
+    take, left, top, pool = np.zeros(len(lengths), np.int64), int(budget), int(budget), None
+    while True:
+        free = np.flatnonzero((counts > take) & (lengths <= left))
+        n, most = (counts - take)[free], max(64, min(POOL, WORK // max(1, left)))
+        if n.sum() <= most:
+            pool = np.repeat(free, n)
+            break
+        drawn = np.repeat(free, shares(n, most, int(n.sum()), int(rng.integers(0, n.sum()))))
+        if top < lengths[0] or (top < budget and int(lengths[drawn].sum()) >= 2 * left):
+            pool = drawn
             break
-    return best
+        free = np.flatnonzero((counts > take) & (lengths <= top))
+        n = (counts - take)[free]
+        total = int((n * lengths[free]).sum())
+        part = min(total, left - 2 * int(lengths[free].max(initial=0)))
+        if part > 0:
+            more = shares(n, part, total, int(rng.integers(0, total)))
+            take[free] += more
+            left -= int((more * lengths[free]).sum())
+        top //= 4
+    if len(pool):
+        pool = rng.permutation(pool)
+        unit = int(np.gcd.reduce(lengths[pool]))
+        chosen = pool[knapsack((lengths[pool] // unit).tolist(), left // unit)]
+        np.add.at(take, chosen, 1)
+    return take
 
 
 def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
