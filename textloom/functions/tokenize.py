@@ -8,19 +8,21 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..models import PREDEFINED_MODELS, require_feature
-from ..sources.store import Store, get_or_insert
+from ..sources.log import shared_path
+from ..sources.store import Lookup, Store
 from .lattice import Lattice
 from .scalar import ASCII_PUNCTUATION, SPACE, as_column
 
@@ -223,17 +225,31 @@ def tokenize(c: Column | str, *, model: str, lowercase: bool = True, remove_punc
         made = listed(texts)
         return pa.table({name: pa.ListArray.from_arrays(made.offsets, made.values.field(field)) for name, field in (("tokens", "token"), ("start_offsets", "start"), ("end_offsets", "end"))})
 
+    if cache is not None:
+        cache = shared_path(cache)
+
     @arrow_udf(TOKENS)
-    def tokens(texts: pa.Array) -> pa.Array:
+    def tokens(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if cache is None:
-            return listed(texts.to_pylist())
-        store = Store(cache, _STORED, {"model": model, "params_hash": params_hash(lowercase, remove_punct)})
-        rows = get_or_insert(store, texts.to_pylist(), compute)
-        return _listed([[] if r is None else list(zip(r["tokens"], r["start_offsets"], r["end_offsets"], strict=True)) for r in rows])
+            yield from (listed(texts.to_pylist()) for texts in parts)
+            return
+        lookup = Lookup(Store(cache, _STORED, {"model": model, "params_hash": params_hash(lowercase, remove_punct)}), compute)
+        for texts in parts:
+            yield _zipped(lookup.rows(texts.to_pylist()).combine_chunks())
+        lookup.close()
 
     return tokens(as_column(c))
 
 
+def _zipped(rows: pa.Table) -> pa.ListArray:
+    """The cache's three lists as one list of structs; null rows are empty."""
+    lists = {name: rows[name].combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(name).type) for name in ("tokens", "start_offsets", "end_offsets")}
+    size = pc.fill_null(pc.list_value_length(lists["tokens"]), 0)
+    offsets = np.append(0, np.cumsum(size.to_numpy(zero_copy_only=False), dtype=np.int64)).astype(np.int32)
+    spans = pa.StructArray.from_arrays([x.flatten() for x in lists.values()], ["token", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(offsets), spans)
+
+
 def _keep(token: Column, remove_punct: bool, lowered: bool) -> Column:
     kept = ~token.isin(*SPECIAL) if lowered else ~token.rlike(_SPECIAL_JVM)
     return kept & token.rlike(_ALPHANUMERIC) if remove_punct else kept

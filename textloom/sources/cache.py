@@ -1,66 +1,102 @@
-"""Caches of results by content, as Parquet folders.
+"""Caches of results by content: folders of Parquet files with a commit log (``log``).
 
 A text's key is the SHA-256 of its UTF-8. A run hashes, looks the keys up by a join, computes what
-is missing once per distinct text into a folder of its own, appends what is still missing then
-while it holds the cache's lock, and joins everything back. Folders only grow; ``cache=`` of
-``tokenize`` and ``embedding`` adds to the same folders batch by batch (``store``), without the
-lock, and if two writers add a key, reading takes one of its rows.
+is missing once per distinct text into files of its own, commits them, less what other writers have
+committed meanwhile, and joins everything back. ``cache=`` of ``tokenize`` and ``embedding`` adds to
+the same folders from its tasks (``store``). A key is there once, whoever writes. ``compact`` makes
+few files of many, sorted by key.
 """
 
 from __future__ import annotations
 
 import contextlib
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embedding import embedding, normalize_embedder
-from ..functions.embedding import EMBEDDING_CACHE, PROVIDER, REVISION
+from ..functions.embedding import EMBEDDING_CACHE, PROVIDER, REVISION, embedding, normalize_embedder
 from ..functions.tokenize import TOKEN_CACHE, normalize_model, params_hash, tokenize
 from ..names import fresh
+from .log import ArrowFiles, File, HadoopFiles, Log, driver_log, is_local, shared_path
 
-#: Seconds that a writer waits for another one's lock.
-LOCK_WAIT = 600.0
+#: Seconds that a lease lasts, and that one is waited for; files that a cache may have before it is compacted; seconds that unnamed files stay.
+LEASE, LEASE_WAIT, MANY, GRACE = 600.0, 600.0, 64, 3600.0
+#: Of Spark's Parquet writer: small row groups and Bloom filters of the keys, for lookups of single hashes.
+_WRITE = {"parquet.block.size": str(1 << 20), "parquet.bloom.filter.enabled#content_hash": "true"}
 
 
 def content_hash(c: Column | str) -> Column:
     return F.sha2(F.encode(F.col(c) if isinstance(c, str) else c, "UTF-8"), 256)
 
 
+def _rows(spark: SparkSession, path: str, names: list[str], schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{path}/{n}" for n in names]) if names else spark.createDataFrame([], schema)
+
+
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The cache at ``path``, empty if there is none yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
+    """The cache at ``path`` as of now, empty if there is none yet."""
+    path = shared_path(path, spark)
+    return _rows(spark, path, list(driver_log(spark, path).live), schema)
 
 
 @contextlib.contextmanager
-def locked(spark: SparkSession, path: str, wait: float = LOCK_WAIT) -> Iterator[None]:
-    """Hold the cache's lock: a file that only one writer can create. It is waited for, and deleted at the end."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_lock")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at.getParent())
+def locked(spark: SparkSession, path: str, wait: float = LEASE_WAIT, lease: float = LEASE) -> Iterator[None]:
+    """Hold the lease on a cache's upkeep. Writers don't need it; one that was killed loses it when its time is over.
+
+    Leases are numbered files that only one can create; the next number may be taken once the last
+    lease is given back or has run out.
+    """
+    path = shared_path(path, spark)
+    files = ArrowFiles(path) if is_local(path) else HadoopFiles(spark, path)
     until = time.monotonic() + wait
     while True:
-        try:
-            fs.create(at, False).close()
+        names = [n for n, _ in files.names("lease")]
+        last = max((int(n.partition(".")[0]) for n in names), default=0)
+        free = not last or f"{last:020d}.done" in names or json.loads(files.read(f"lease/{last:020d}.held"))["until"] < time.time()
+        mine = f"lease/{last + 1:020d}"
+        if free and files.put(f"{mine}.held", json.dumps({"until": time.time() + lease}).encode()):
             break
-        except Py4JJavaError as e:
-            if time.monotonic() > until or "exist" not in str(e.java_exception):
-                raise TimeoutError(f"no lock on the cache {path}: delete {at} if no writer is left") from e
-            time.sleep(0.1)
+        if time.monotonic() > until:
+            raise TimeoutError(f"no lock on the cache {path}: another process has the lease {last}")
+        time.sleep(0.1)
+    for name in names:
+        if int(name.partition(".")[0]) < last:
+            files.delete(f"lease/{name}")
     try:
         yield
     finally:
-        fs.delete(at, False)
+        files.put(f"{mine}.done", b"")
+
+
+def _written(spark: SparkSession, log: Log, path: str, schema: str, rows: DataFrame) -> list[File]:
+    """Write rows below ``data``; the files and their ranges of keys."""
+    folder = f"data/{uuid.uuid4().hex}"
+    rows.write.options(**_WRITE).parquet(f"{path}/{folder}")
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    found = spark.read.schema(schema).parquet(f"{path}/{folder}").groupBy(name.alias("name")).agg(F.min("content_hash").alias("least"), F.max("content_hash").alias("greatest"), F.count(F.lit(1)).alias("rows"))
+    return [File(f"{folder}/{r['name']}", r["least"], r["greatest"], r["rows"]) for r in found.collect()]  # a row a file
+
+
+def compact(spark: SparkSession, path: str, schema: str, grace: float = GRACE) -> int:
+    """Write all rows anew, dealt out by ranges of hashes and sorted, and commit that as the base; the number of files.
+
+    What writers commit meanwhile stays beside it. Files that nothing names any more go when they
+    are ``grace`` seconds old, so that jobs which still read them can end.
+    """
+    path = shared_path(path, spark)
+    with locked(spark, path):
+        log = driver_log(spark, path)
+        old = set(log.live)
+        rows = _rows(spark, path, list(old), schema)
+        files = _written(spark, log, path, schema, rows.repartitionByRange("content_hash").sortWithinPartitions("content_hash")) if old else []
+        while not log.commit([*files, *(f for name, f in log.live.items() if name not in old)], base=True):
+            log.refresh()
+        log.sweep(grace)
+        return len(log.live)
 
 
 def misses(texts: DataFrame, cached: DataFrame, text_col: str = "text") -> DataFrame:
@@ -70,26 +106,30 @@ def misses(texts: DataFrame, cached: DataFrame, text_col: str = "text") -> DataF
 
 
 def _cached(df: DataFrame, text_col: str, out_col: str, path: str, schema: str, keys: dict[str, str], compute: Callable[[DataFrame], DataFrame], value: Column, kind: str, valid: Column | None = None) -> DataFrame:
-    spark = df.sparkSession
+    spark, path = df.sparkSession, shared_path(path, df.sparkSession)
+    log = driver_log(spark, path)
 
-    def own() -> DataFrame:
-        rows = read_cache(spark, path, schema)
+    def own(names: list[str]) -> DataFrame:
+        rows = _rows(spark, path, names, schema)
         for k, v in keys.items():
             rows = rows.filter(F.col(k) == v)
         return rows.filter(valid) if valid is not None else rows
 
-    todo = misses(df, own(), text_col)
+    todo = misses(df, own(list(log.live)), text_col)
     if not todo.isEmpty():
         new = compute(todo)
-        hidden = f"{path.rstrip('/')}/_new-{uuid.uuid4().hex}"
-        new.select(*[F.lit(v).alias(k) for k, v in keys.items()], *new.columns).write.parquet(hidden)
-        with locked(spark, path):
-            made = spark.read.schema(schema).parquet(hidden)
-            made.join(own().select("content_hash"), "content_hash", "left_anti").select(*made.columns).write.mode("append").parquet(path)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(hidden)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        rows = new.select(*[F.lit(v).alias(k) for k, v in keys.items()], *new.columns)
+        files = _written(spark, log, path, schema, rows.sortWithinPartitions("content_hash"))
+        while files and not log.commit(files):
+            others = own([f.name for f in log.refresh()]).select("content_hash")
+            made = _rows(spark, path, [f.name for f in files], schema)
+            if not made.join(others, "content_hash", "left_semi").isEmpty():
+                files = _written(spark, log, path, schema, made.join(others, "content_hash", "left_anti").sortWithinPartitions("content_hash"))
+        if len(log.live) > MANY:
+            compact(spark, path, schema)
+            log.refresh()
     own_hash, cached_hash, found_value = fresh("own"), fresh("hash"), fresh("value")
-    found = own().select(F.col("content_hash").alias(cached_hash), value.alias(found_value)).dropDuplicates([cached_hash])
+    found = own(list(log.live)).select(F.col("content_hash").alias(cached_hash), value.alias(found_value)).dropDuplicates([cached_hash])
     joined = df.withColumn(own_hash, content_hash(text_col)).join(found, F.col(own_hash) == F.col(cached_hash), "left")
     kept = [c for c in df.columns if c != out_col]
     return joined.select(*kept, F.coalesce(found_value, F.array().cast(kind)).alias(out_col))
