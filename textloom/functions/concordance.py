@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..models import require_feature
+from .dialect import translated
 from .scalar import as_column
 from .tokenize import _py_piece, _py_special
 
@@ -19,15 +20,11 @@ _NAMES = ("left_context", "matched_text", "right_context", "start_idx", "end_idx
 
 
 def compile_search(search_word: str, is_regex: bool, case_sensitive: bool) -> regex.Pattern:
-    """A pattern of the linear-time dialect: no look-around, no back-references, $ only at the end."""
-    source = search_word if is_regex else regex.escape(search_word, special_only=True, literal_spaces=True)
-    if is_regex:
-        if regex.search(r"(?<!\\)(?:\\\\)*\((?:\?<?[=!]|\?P=|\?>|\?\()|(?<!\\)(?:\\\\)*\\[1-9]", source):
-            raise ValueError(f"Concordance failed: look-around and back-references are not supported: {search_word}")
-        source = regex.sub(r"((?<!\\)(?:\\\\)*)\$(?![^\[]*\])", r"\1\\Z", source)
+    """A literal, or a pattern of the linear-time dialect (``dialect``)."""
     try:
-        return regex.compile(source, 0 if case_sensitive else regex.IGNORECASE)
-    except regex.error as e:
+        source = translated(search_word, not case_sensitive) if is_regex else regex.escape(search_word, special_only=True, literal_spaces=True)
+        return regex.compile(source, regex.VERSION0 | (0 if case_sensitive else regex.IGNORECASE))
+    except (ValueError, regex.error) as e:
         raise ValueError(f"Concordance failed: {e}") from e
 
 
