@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import random
+
+import pyarrow as pa
+import pytest
+
+from textloom.functions.chunking import packed
+from textloom.functions.offsets import byte_spans_to_char_spans, char_span_lists
+
+
+def walked(text, spans):
+    """One walk over the characters, as far as each span's ends."""
+    begins = [len(text[:k].encode()) for k in range(len(text))]
+    at, out = 0, []
+    for a, b in spans:
+        while at < len(begins) and begins[at] < a:
+            at += 1
+        start = at
+        while at < len(begins) and begins[at] < b:
+            at += 1
+        out.append((start, at))
+    return out
+
+
+def lists(texts, spans):
+    made = pa.array([None if s is None else [{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    return [[(x["start"], x["end"]) for x in row] for row in char_span_lists(pa.array(texts, pa.string()), made).to_pylist()]
+
+
+@pytest.mark.parametrize(
+    ("text", "spans", "want"),
+    [
+        ("anything", [], []),
+        ("the quick brown fox", [(0, 3), (4, 9), (10, 15), (16, 19)], [(0, 3), (4, 9), (10, 15), (16, 19)]),
+        ("今日は良い天気です", [(3 * k, 3 * k + 3) for k in range(9)], [(k, k + 1) for k in range(9)]),
+        ("a🙂b é", [(0, 1), (1, 5), (5, 6), (7, 9)], [(0, 1), (1, 2), (2, 3), (4, 5)]),
+        ("abcdef", [(0, 4), (2, 6)], [(0, 4), (4, 6)]),  # an overlapping span's start is clipped
+        ("abcdef", [(0, 5), (1, 3)], [(0, 5), (5, 5)]),
+        ("éé", [(1, 3)], [(1, 2)]),  # inside of a character: the next one's start
+        ("ab", [(1, 99), (99, 100)], [(1, 2), (2, 2)]),
+        ("", [(0, 0)], [(0, 0)]),
+    ],
+)
+def test_spans(text, spans, want):
+    assert walked(text, spans) == want and lists([text], [spans]) == [want]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_spans_of_a_batch(seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(["a", "é", "你", "🙂"]) for _ in range(rng.randrange(30))) for _ in range(50)]
+    spans = [sorted((rng.randrange(60), rng.randrange(90)) for _ in range(rng.randrange(12))) for _ in texts]
+    assert lists(texts, spans) == [walked(t, s) for t, s in zip(texts, spans, strict=True)]
+    assert lists([None, *texts], [None, *spans])[0] == [] and lists([], []) == []
+
+
+def test_column(spark):
+    df = spark.createDataFrame([("é🙂", [(0, 2), (2, 6)]), (None, None), ("x", None)], "t string, s array<struct<start: bigint, end: bigint>>")
+    got = [[tuple(x) for x in r["x"]] for r in df.select(byte_spans_to_char_spans("t", "s").alias("x")).collect()]
+    assert got == [[(0, 1), (1, 2)], [], []]
+
+
+def greedy(sizes, most, overlap):
+    """Unit by unit."""
+    out, held = [], []
+    for k, n in enumerate(sizes):
+        if held and sum(sizes[i] for i in held) + n > most:
+            out.append((held[0], held[-1] + 1))
+            kept, carried = [], 0
+            for i in reversed(held) if overlap else ():
+                if carried + sizes[i] >= most:
+                    break
+                kept.insert(0, i)
+                carried += sizes[i]
+                if carried >= overlap:
+                    break
+            held = kept
+            while held and sum(sizes[i] for i in held) + n > most:
+                held.pop(0)
+        held.append(k)
+    return [*out, (held[0], held[-1] + 1)] if held else out
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_packing_is_greedy(seed):
+    rng = random.Random(seed)
+    most = rng.randrange(1, 30)
+    sizes = [rng.randrange(0, most + (3 if seed % 5 == 0 else 1)) for _ in range(rng.randrange(40))]
+    overlap = rng.randrange(most)
+    assert packed(sizes, most, overlap) == greedy(sizes, most, overlap)

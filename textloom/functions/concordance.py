@@ -15,7 +15,8 @@ from .dialect import translated
 from .scalar import as_column
 from .tokenize import _py_piece, _py_special
 
-HITS = "array<struct<left_context: string, matched_text: string, right_context: string, start_idx: bigint, end_idx: bigint, l1: string, r1: string>>"
+HIT = "left_context string, matched_text string, right_context string, start_idx bigint, end_idx bigint, l1 string, r1 string"
+HITS = f"array<struct<{HIT}>>"
 _NAMES = ("left_context", "matched_text", "right_context", "start_idx", "end_idx", "l1", "r1")
 
 
@@ -69,6 +70,18 @@ def hits(text: str, pattern: regex.Pattern, left: int, right: int) -> list[tuple
     return out
 
 
+def hit_lists(texts: list[str | None], pattern: regex.Pattern | None, left: int, right: int) -> pa.ListArray:
+    """The hits of each text as a list of structs."""
+    offsets, rows = [0], []
+    for text in texts:
+        if text and pattern is not None:
+            rows += hits(text, pattern, left, right)
+        offsets.append(len(rows))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(_NAMES)
+    kinds = [pa.int64() if n.endswith("_idx") else pa.string() for n in _NAMES]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], list(_NAMES)))
+
+
 def concordance(c: Column | str, search_word: str, *, num_left_tokens: int = 5, num_right_tokens: int = 5, regex: bool = False, case_sensitive: bool = False) -> Column:
     """Hits with their context, as array<struct>; null texts, no hits and an empty search word give an empty array.
 
@@ -82,15 +95,7 @@ def concordance(c: Column | str, search_word: str, *, num_left_tokens: int = 5,
 
     @arrow_udf(HITS)
     def search(texts: pa.Array) -> pa.Array:
-        own = compile_search(*source) if pattern is not None else None
-        offsets, rows = [0], []
-        for text in texts.to_pylist():
-            if text and own is not None:
-                rows += hits(text, own, left, right)
-            offsets.append(len(rows))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * len(_NAMES)
-        kinds = [pa.int64() if n.endswith("_idx") else pa.string() for n in _NAMES]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], list(_NAMES)))
+        return hit_lists(texts.to_pylist(), compile_search(*source) if pattern is not None else None, left, right)
 
     return search(as_column(c))
 
