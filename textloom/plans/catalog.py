@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,13 +13,17 @@ from pyspark.sql import functions as F
 
 from ..functions.chunking import chunks
 from ..functions.concordance import concordance
-from ..functions.embedding import embedding
-from ..functions.scalar import CJK, char_count, clean_text, sentence_count, word_count
+from ..functions.embedding import embedding, with_embedding
+from ..functions.offsets import byte_spans_to_char_spans
+from ..functions.scalar import CJK, TERMINATORS, char_count, clean_text, sentence_count, word_count
+from ..functions.tables import register_tables
 from ..functions.tokenize import NATIVE, token_rows, token_strings, tokenize
 from ..functions.vectors import l2_normalize
 from ..models import model_inventory, predefined_model_records
 from ..operators.frequencies import token_frequencies
+from ..operators.index import PositionalIndex
 from ..operators.keyness import COLUMNS, compare_corpora, token_frequency_stats
+from ..operators.neighbours import knn_graph
 from ..operators.topic_model import topic_modeling
 from ..operators.topic_words import ctfidf, rollup, soft_sizes, topic_centroids, topic_term_counts
 from ..sources.cache import content_hash, misses, tokens
@@ -238,6 +244,70 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return numbered.select("doc_id", "hit", "x.left_context", "x.matched_text", "x.right_context", "x.l1", "x.r1")
 
 
+_WORD = "[^\\P{L}tT]"
+
+
+@query("kwic_multiline", f"SELECT doc_id, array_to_string(f, '|') AS found, CAST(len(f) AS BIGINT) AS hits FROM (SELECT doc_id, regexp_extract_all(text, '(?im)^{_WORD}+|{_WORD}+\\x{{2E}}$') AS f FROM documents)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """First words of lines and last ones before a full stop, of letters but t: a pattern of several lines, with a class less another."""
+    found = concordance("text", r"(?m)^[\p{L}--[t]]+|[\pL&&[^t]]+\x{2E}$", regex=True)
+    return docs(s, d).select("doc_id", found.alias("h")).select("doc_id", F.array_join("h.matched_text", "|").alias("found"), F.size("h").cast("bigint").alias("hits"))
+
+
+_INDEXED = """
+WITH t AS (SELECT doc_id, unnest(ts) AS t, unnest(generate_series(1, len(ts))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, """ + PLAIN + """) AS ts FROM documents)),
+k AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos FROM t WHERE """ + SPECIAL + """),
+w AS (SELECT doc_id, pos, t, lead(t) OVER o AS n1, coalesce(string_agg(t, ' ') OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS left_context, coalesce(lag(t) OVER o, '') AS l1,
+  coalesce(string_agg(t, ' ') OVER (o ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), '') AS right1, coalesce(lead(t) OVER o, '') AS r1,
+  coalesce(string_agg(t, ' ') OVER (o ROWS BETWEEN 2 FOLLOWING AND 5 FOLLOWING), '') AS right2, coalesce(lead(t, 2) OVER o, '') AS r2 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT lower(t) AS phrase, doc_id, pos, left_context, t AS matched_text, right1 AS right_context, l1, r1 FROM w WHERE lower(t) IN ('license', 'than', 'the')
+  UNION ALL SELECT 'licensed under', doc_id, pos, left_context, t || ' ' || n1, right2, l1, r2 FROM w WHERE lower(t) = 'licensed' AND lower(n1) = 'under')
+SELECT phrase, doc_id, row_number() OVER (PARTITION BY phrase, doc_id ORDER BY pos) AS hit, left_context, matched_text, right_context, l1, r1 FROM f
+"""
+
+
+@query("kwic_index", _INDEXED)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Three words and a phrase, with their contexts, from a positional index of all documents."""
+    index = PositionalIndex.build(docs(s, d), "doc_id", "text", scratch(s))
+    found = index.search(["license", "than", "the", "licensed under"], num_left_tokens=3, num_right_tokens=4)
+    return found.select("phrase", F.col("id").alias("doc_id"), F.col("hit").cast("bigint").alias("hit"), "left_context", "matched_text", "right_context", "l1", "r1")
+
+
+@query("sql_concordance", _KWIC.format(low="text", word="The", n=3))
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The table function over all documents, in SQL."""
+    register_tables(s)
+    rows = docs(s, d).select(F.col("doc_id").alias("id"), "text")
+    return s.sql("SELECT id AS doc_id, start_idx, end_idx, matched_text FROM concordance_hits(TABLE(SELECT * FROM {rows}), 'The', 5, 5, false, true)", rows=rows)
+
+
+@query("sql_chunks", f"SELECT doc_id, CAST(length(regexp_replace(text, '[{WS}]+', '', 'g')) AS BIGINT) AS letters FROM documents")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Chunks without an overlap by LATERAL VIEW; together they have all of a document but its white space."""
+    register_tables(s)
+    cut = s.sql("SELECT doc_id, c.chunk FROM {rows} LATERAL VIEW OUTER posexplode(chunks(text, 64, 0)) c AS place, chunk", rows=docs(s, d))
+    letters = F.char_length(F.regexp_replace(F.coalesce("chunk", F.lit("")), r"[\p{IsWhite_Space}]+", ""))
+    return cut.groupBy("doc_id").agg(F.sum(letters).cast("bigint").alias("letters"))
+
+
+_BYTES = """
+WITH c AS (SELECT doc_id, unnest(cs) AS c, unnest(generate_series(0, len(cs) - 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS cs FROM documents)),
+o AS (SELECT doc_id, k, CAST(sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) - strlen(c) AS o FROM c),
+l AS (SELECT doc_id, unnest(generate_series(o + 1, o + strlen(c))) AS b, k + 1 AS n FROM (SELECT doc_id, c, k, o FROM o JOIN c USING (doc_id, k))),
+s AS (SELECT doc_id, strlen(text) AS z, unnest(generate_series(0, strlen(text) - 1, 7)) AS b FROM documents WHERE text <> '')
+SELECT s.doc_id, CAST(s.b AS BIGINT) AS byte, CAST(coalesce(f.n, 0) AS BIGINT) AS "start", CAST(t.n AS BIGINT) AS "end" FROM s LEFT JOIN l f ON f.doc_id = s.doc_id AND s.b > 0 AND f.b = least(s.b + 3, z) JOIN l t ON t.doc_id = s.doc_id AND t.b = least(s.b + 10, z)
+"""
+
+
+@query("byte_spans", _BYTES)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Spans of ten bytes, every seven bytes, so each overlaps the one before, in code points."""
+    every = F.transform(F.sequence(F.lit(0), F.octet_length("text") - 1, F.lit(7)), lambda b: F.struct(b.cast("bigint").alias("start"), (b + 10).cast("bigint").alias("end")))
+    rows = docs(s, d).filter("text <> ''").select("doc_id", F.posexplode(byte_spans_to_char_spans("text", every)).alias("k", "x"))
+    return rows.select("doc_id", (F.col("k") * 7).cast("bigint").alias("byte"), "x.start", "x.end")
+
+
 def _sources(s: SparkSession, d: str) -> DataFrame:
     """The documents as if each were a chunk whose topic is the number in its source."""
     return docs(s, d).select("doc_id", "lang", "text", F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("topic"))
@@ -287,14 +357,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("topic_centroids", "SELECT CAST(label AS INT) AS topic_id, CAST((k + 1) // 2 AS INT) AS axes, round(avg(CAST(embedding[k] AS DOUBLE)), 6) AS x, round(avg(CAST(embedding[k + 1] AS DOUBLE)), 6) AS y FROM embeddings, (SELECT unnest(generate_series(1, 63, 2)) AS k) GROUP BY label, k")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Centroids in every pair of axes of the vectors."""
+    """Centroids in every pair of axes of the vectors, as topics of their own: one scan and one aggregation."""
     points = table(s, d, "embeddings")
-    pairs = [points.select("label", F.get("embedding", 2 * k).cast("double").alias("x"), F.get("embedding", 2 * k + 1).cast("double").alias("y")) for k in range(32)]
-    found = [topic_centroids(p, 10, topic="label").withColumn("axes", F.lit(k + 1)) for k, p in enumerate(pairs)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.select("topic_id", "axes", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(F.get("embedding", 2 * k).cast("double").alias("x"), F.get("embedding", 2 * k + 1).cast("double").alias("y")))
+    each = points.select("label", F.posexplode(pairs).alias("k", "p")).select((F.col("label") * 32 + F.col("k")).alias("topic"), "p.x", "p.y")
+    found = topic_centroids(each, 320).withColumn("axes", F.col("topic_id") % 32 + 1)
+    return found.select(F.floor(F.col("topic_id") / 32).cast("int").alias("topic_id"), F.col("axes").cast("int").alias("axes"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("l2_normalize", "SELECT vec_id, unnest(generate_series(0, len(v) - 1))::INT AS axis, unnest(v) AS value FROM (SELECT vec_id, list_transform(embedding, lambda x: round(CAST(CAST(CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))) AS FLOAT) AS DOUBLE), 5)) AS v FROM embeddings)")
@@ -333,12 +401,39 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", F.posexplode(chunks("text", max_tokens=1 << 30, overlap=0)).alias("chunk_index", "chunk"))
 
 
+_PACKED = f"""
+WITH RECURSIVE s AS (SELECT doc_id, unnest(generate_series(1, len(ps))) AS i, regexp_extract_all(unnest(ps), '[^{WS}]+') AS ws FROM (SELECT doc_id, regexp_split_to_array(text, '[{TERMINATORS}\\n]') AS ps FROM documents)),
+u AS (SELECT doc_id, i, p, array_to_string(ws[64 * p + 1:64 * p + 64], ' ') AS t, len(ws[64 * p + 1:64 * p + 64]) AS n FROM s, (SELECT unnest(generate_series(0, 2000)) AS p) WHERE 64 * p < len(ws)),
+d AS (SELECT doc_id, list(t ORDER BY i, p) AS ts, list_concat([0], list(b ORDER BY i, p)) AS ps FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i, p) AS BIGINT) AS b FROM u) GROUP BY doc_id),
+c AS (SELECT doc_id, ts, ps, 0 AS k, 0 AS a, len(list_filter(ps, lambda x: x <= 64)) - 1 AS e FROM d
+  UNION ALL SELECT doc_id, ts, ps, k + 1, f, greatest(e + 1, len(list_filter(ps, lambda x: x <= ps[f + 1] + 64)) - 1) FROM (
+    SELECT *, least(e, greatest(a, len(list_filter(ps, lambda x: x <= ps[e + 1] - 8)) - 1, len(list_filter(ps, lambda x: x <= ps[e + 1] - 64)), len(list_filter(ps, lambda x: x < ps[e + 2] - 64)))) AS f FROM c WHERE e < len(ts)))
+SELECT doc_id, CAST(k AS INT) AS chunk_index, array_to_string(ts[a + 1:e], ' ') AS chunk FROM c
+"""
+
+
+@query("chunking_packed", _PACKED)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Documents as paragraphs of one sentence each, packed into chunks of 64 words that share 8 or more."""
+    plain = F.transform(F.split("text", f"[{TERMINATORS}\\n]"), lambda x: F.array_join(F.regexp_extract_all(x, F.lit(r"[^\p{IsWhite_Space}]+"), F.lit(0)), " "))
+    paragraphs = docs(s, d).select("doc_id", F.array_join(F.filter(plain, lambda x: x != ""), "\n\n").alias("t"))
+    return paragraphs.select("doc_id", F.posexplode(chunks("t", max_tokens=64, overlap=8)).alias("chunk_index", "chunk"))
+
+
 def scratch(s: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one in local mode."""
+    """A new folder that driver and executors share, deleted when the driver ends; a temporary one in local mode."""
     root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root and not s.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='textloom-')).rstrip('/')}/textloom-cache/{uuid.uuid4().hex}"
+    path = f"{(root or 'file://' + tempfile.mkdtemp(prefix='textloom-')).rstrip('/')}/textloom-scratch/{uuid.uuid4().hex}"
+    at = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_gone, at.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()), at)  # works when the session is stopped before, too
+    return path
+
+
+def _gone(fs: object, at: object) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone, and then nothing can be done
+        fs.delete(at, True)
 
 
 @query("tokenize_cached", _OFFSETS)
@@ -349,10 +444,61 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return tokens(docs(s, d), "text", path, model=NATIVE).select("doc_id", F.inline("text"))
 
 
-@query("embedding")
+@query("tokenize_cached_column", _OFFSETS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A cache that batches fill and read: half of the texts first, then all, from tasks and by the join."""
+    path = scratch(s)
+    half = docs(s, d).filter("lang <> 'en'").select(tokenize("text", model=NATIVE, cache=path))
+    half.write.format("noop").mode("overwrite").save()
+    own, others = F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1
+    found = docs(s, d).filter(own).select("doc_id", tokenize("text", model=NATIVE, cache=path).alias("t"))
+    found.write.format("noop").mode("overwrite").save()
+    joined = tokens(docs(s, d).filter(others), "text", path, model=NATIVE, out_col="t").select("doc_id", "t")
+    return found.union(joined).select("doc_id", F.inline("t"))
+
+
+def _vectors(texts: str, key: str, more: str = "") -> str:
+    """The hashing stand-in of 64 axes over rows (k, t): what isn't zero of the unit vectors."""
+    return f"""
+WITH h AS (SELECT k, CAST('0x' || substr(md5(w), 1, 16) AS UBIGINT) AS h FROM (SELECT k, unnest(regexp_extract_all(lower(t), '[^{WS}]+')) AS w FROM {texts})),
+v AS (SELECT k, CAST(h % 64 AS INT) AS axis, CAST(sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM h GROUP BY ALL),
+n AS (SELECT k, sqrt(sum(v * v)) AS n FROM v GROUP BY k)
+SELECT {key}, axis, round(CAST(CAST(v / n AS FLOAT) AS DOUBLE), 5) AS value FROM v JOIN n USING (k){more} WHERE v <> 0"""
+
+
+def _axes(df: DataFrame, *keys: str) -> DataFrame:
+    long = df.select(*keys, F.posexplode("embedding").alias("axis", "value")).filter("value <> 0")
+    return long.withColumn("value", F.round(F.col("value").cast("double"), 5))
+
+
+@query("embedding", _vectors("(SELECT doc_id AS k, text AS t FROM documents)", "k AS doc_id"))
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The stand-in without a model, over all documents, what isn't zero of it; tests run an ONNX graph."""
+    return _axes(docs(s, d).select("doc_id", embedding("text", embedder_model="hashing:64").alias("embedding")), "doc_id")
+
+
+_ITEMS = "(SELECT row_number() OVER (ORDER BY doc_id, place) AS k, doc_id, place, t FROM (SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS place, unnest(ls) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
+
+
+@query("embedding_lists", _vectors(_ITEMS, "doc_id, CAST(place AS INT) AS place", f" JOIN {_ITEMS} USING (k)"))
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Lists of the documents' lines, encoded item by item and put together again."""
+    made = with_embedding(docs(s, d).select("doc_id", F.split("text", "\n").alias("lines")), "lines", embedder_model="hashing:64")
+    return _axes(made.select("doc_id", F.posexplode("lines").alias("place", "embedding")), "doc_id", "place")
+
+
+_NEAR = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 12) AS square FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT id, other, square, row_number() OVER (PARTITION BY id ORDER BY square, other) AS rank FROM p)
+SELECT id, CAST(rank AS INT) AS rank, round(sqrt(square), 6) AS distance FROM r WHERE rank <= 10
+"""
+
+
+@query("knn_embeddings", _NEAR)
 def _(s: SparkSession, d: str) -> DataFrame:
-    """The stand-in without a model, over all documents; tests run an ONNX graph."""
-    return docs(s, d).select("doc_id", embedding("text", embedder_model="hashing:64").alias("embedding"))
+    """Each vector's ten nearest of all others, by how far they are."""
+    return knn_graph(table(s, d, "embeddings"), "vec_id", "embedding", 10).select("id", "rank", F.round("distance", 6).alias("distance"))
 
 
 @query("topic_modeling")
