@@ -319,6 +319,23 @@ def test_names_are_evidence(spark):
     assert got == dict(enumerate(cases.values())) | {100 + k: f"Story {k} is about {k * 7}" for k in range(30)}
 
 
+def test_composed_names_declare_noise(spark):
+    """Comments, adverts, menus and footers by names of several words, on hosts seen once and often."""
+    inside = "<article><h1>T</h1><p>Text {k} of {n}</p><div class='comment-list'><p>reader says {k}</p><p>me too {n}</p></div><div class='ad-slot'>Buy {k}</div><div id='adSlot3'>Buy {n} now</div><section id='related-work'><h2>Related work of {k}</h2><p>others {n}</p></section></article>"
+    often = [(k, f"http://a.example/{k}", f"<body><div class='main-nav'><a href=/{k}>Home {k}</a></div><div class='ad-slot'>Buy {k} now</div>{inside.format(k=k, n=7 * k)}<div class='post-comments'>says {k}</div></body>") for k in range(30)]
+    once = {
+        "<body><div class='main-nav'>Home About</div><div><p>Lone story</p><p>told at some length</p></div><div class='site-footer'>all rights</div></body>": "Lone story told at some length",
+        "<body><div class='content-sidebar-wrap'><div id=content><p>A layout of two columns holds it all</p></div></div><div class='footer-widgets-2 footer-area'>x</div></body>": "A layout of two columns holds it all",
+        "<body><div class='has-right-sidebar'><article><p>x</p></article></div><div id='comment-12'><p>a long comment, longer than all else on the page</p></div></body>": "x",
+        "<body><p>y</p><div id='user-comments'><article>a reader's comment, which is longer than the page</article></div></body>": "y",
+        "<body><article><div class='article-header'><h1>Title</h1></div><p>x</p><div class='menu-design'><p>design of menus</p></div><div class='entry-footer'>tags</div></article></body>": "Title x design of menus",
+    }
+    rows = often + [(100 + k, f"http://h{k}.example/p", h) for k, h in enumerate(once)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {k: got[k] for k in range(30)} == {k: f"T Text {k} of {7 * k} Related work of {k} others {7 * k}" for k in range(30)}
+    assert {k: v for k, v in got.items() if k >= 100} == {100 + k: v for k, v in enumerate(once.values())}
+
+
 def test_outside_of_landmarks_is_judged(spark):
     rows = [(k, f"http://a.example/{k}", f"<body><a href=#x>skip</a><article><p>Lead</p></article><div><p>Story {k} is about {k * 7}</p><p>More of {k}</p></div><div>site words</div></body>") for k in range(30)]
     rows.append((99, "http://lone.example/", "<body><article><p>Lead</p></article><div>no other page tells</div></body>"))

@@ -38,7 +38,7 @@ DAMPING, LEAST = 0.9, 0.5
 DOUBTED = 0.8
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[a-z0-9]+")
+_LETTERS = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 # HTML's element classes, and names that declare what is no article.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,24 +53,46 @@ _NO_CLASS = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs notice notices cookie cookies consent gdpr "
     "newsletter subscribe subscription popup modal overlay comment comments disqus reply replies respond share sharing social related recommended footer header masthead pagination pager widget toolbar login signup".split()
 )
+#: Words that add nothing to such a name but a place or a form: with these alone it declares noise (``comment-list``, ``main-nav``, ``ad-slot-2``).
+_FILL = frozenset(
+    "list lists item items body slot slots box block area section sections wrap wrapper container holder inner outer content unit bar row col column columns grid panel form field thread text title author meta date label "
+    "link links button buttons icon icons logo posts articles stories main site page global top bottom left right side center primary secondary sub mobile desktop sticky fixed floating horizontal vertical upper lower "
+    "post article entry blog user reader wp js id search policy settings message messages count toggle template google dfp leaderboard skyscraper rail zone placement".split()
+)
+#: Names of these stay what a page's own title is in, unless the name says that it is the site's.
+_TITLES, _SITE = frozenset("header masthead".split()), frozenset("site global top main".split())
+#: What layouts hardly name: these declare noise whatever they hold.
+_SAID = frozenset("comment comments reply replies respond disqus".split())
+_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 _KEPT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre code figure figcaption b i em strong span a br".split())
 _LANDMARK = frozenset(("article", "main"))
 _UNNAMED = _LANDMARK | frozenset("html head body h1 h2 h3 h4 h5 h6 hgroup pre code".split())
 
 
+def _composed(words: list[str]) -> bool:
+    """Whether a name of several words declares noise: one that does, and else words that only place or shape it."""
+    rest = [w for w in words if w not in _NO_CLASS]
+    if len(rest) == len(words) or not _FILL.issuperset(rest):
+        return False
+    said = [w for w in words if w in _NO_CLASS]
+    return not _TITLES.issuperset(said) or not _SITE.isdisjoint(rest)
+
+
 class Page:
     """Elements in page order (``tag``, ``parent``, ``sign``, ``noise``, ``part``: landmark or inside one) and text runs (element, text).
 
-    Elements that are noise themselves are ``declared`` (by tag, role, hiding) or ``named``; ``doubted`` are those that a word of their name speaks against.
+    Elements that are noise themselves are ``declared`` (by tag, role, hiding, or a name of several words that is ``composed`` of one for noise
+    and of places or forms) or ``named``; ``doubted`` are those that a word of their name speaks against.
     """
 
-    __slots__ = ("tag", "parent", "sign", "noise", "part", "declared", "named", "doubted", "forms", "runs", "features", "kids")
+    __slots__ = ("tag", "parent", "sign", "noise", "part", "declared", "named", "doubted", "composed", "forms", "runs", "features", "kids")
 
     def __init__(self, html: str):
         self.tag, self.parent, self.sign, self.noise, self.part = ["#page"], [-1], ["#page"], [False], [False]
         self.declared: set[int] = set()
         self.named: set[int] = set()
         self.doubted: set[int] = set()
+        self.composed: dict[int, bool] = {}
         self.forms: set[int] = set()
         self.kids: list[list[int]] = [[]]
         self.runs: list[tuple[int, str]] = []
@@ -106,7 +128,7 @@ class Page:
                     stack.append(i)
                 elif name not in _VOID:
                     stack.append(i)
-        if self.forms:
+        if self.forms or self.composed:
             self._free()
         if self.named:
             self._lift()
@@ -135,8 +157,12 @@ class Page:
             self.part[i] = self.part[self.parent[i]] or (self.tag[i] in _LANDMARK and not self.noise[i])
 
     def _free(self) -> None:
-        """A form that holds a landmark, or most of the page's text, is the page itself."""
-        self.declared -= self.forms
+        """A form that holds a landmark, or most of the page's text, is the page itself.
+
+        So is what has a composed name, which then is only doubted; on a page with a landmark elsewhere
+        such names are believed whatever share of the text they hold, and readers' comments everywhere.
+        """
+        self.declared -= self.forms | self.composed.keys()
         self._spread()
         text, holds = [0] * len(self.tag), [tag in _LANDMARK and not noise for tag, noise in zip(self.tag, self.noise, strict=True)]
         for i, run in self.runs:
@@ -145,6 +171,12 @@ class Page:
             text[self.parent[i]] += text[i]
             holds[self.parent[i]] |= holds[i]
         closed = {i for i in self.forms if not holds[i] and 2 * text[i] <= text[0]}
+        for i, said in self.composed.items():
+            own = holds[i] and not said  # comments may be articles themselves
+            if not own and (said or holds[0] or 2 * text[i] <= text[0]):
+                closed.add(i)
+            elif i not in self.forms:
+                self.doubted.add(i)
         if closed:
             self.declared |= closed
             self._spread()
@@ -180,9 +212,16 @@ class Page:
             kind = (values.get("class", "") + " " + values.get("id", "")).lower()
             if kind != " ":
                 sign = f"{name}.{' '.join(kind.split())}"
-                if name not in _UNNAMED and self.tag[parent] not in ("pre", "code") and not _NO_CLASS.isdisjoint(_WORDS.findall(kind)):
-                    whole = any(_NO_CLASS.issuperset(_WORDS.findall(x)) for x in kind.split() if _WORDS.search(x))
-                    (self.named if whole else self.doubted).add(i)
+                if name not in _UNNAMED and self.tag[parent] not in ("pre", "code"):
+                    plain = _CAMEL.sub(r"\1-\2", values.get("class", "") + " " + values.get("id", "")).lower()
+                    names = [found for x in plain.split() if (found := _LETTERS.findall(x))]
+                    if any(map(_NO_CLASS.issuperset, names)):
+                        self.named.add(i)
+                    elif any(map(_composed, names)):
+                        self.composed[i] = any(not _SAID.isdisjoint(x) for x in names)
+                        noise = True
+                    elif any(not _NO_CLASS.isdisjoint(x) for x in names):
+                        self.doubted.add(i)
             noise = noise or values.get("role", "").lower() in _NO_ROLE or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
             link = values.get("href") or values.get("src")
             if link:
@@ -274,6 +313,7 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's styles (kind 0) and content features (kind 1) by (key, item), its pages summed up; for each page (``item``) the elements that are judged (kind 2)."""
     seen: dict[tuple[int, int, int], list[float]] = {}
     looks: list[tuple[int, list[int], list[int]]] = []
+    held = 0
 
     def made() -> pa.RecordBatch:
         rows = [(k[1], _s(k[0]), _s(k[2]), x[0], x[1], None, None) for k, x in seen.items()] + [(2, None, row, None, None, keys, nodes) for row, keys, nodes in looks]
@@ -303,7 +343,9 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x[1] += n * math.log(n)
             nodes = page.below(page.undecided())
             looks.append((row, [_s(key[i]) for i in nodes], nodes))
-            if len(seen) > 1 << 18:
+            held += len(nodes)
+            if len(seen) > 1 << 18 or held > 1 << 20:
+                held = 0
                 yield made()
     if seen:
         yield made()
