@@ -52,6 +52,13 @@ def near_copies(seed):
     return out
 
 
+def test_long_near_copies_make_blocks_of_bounded_weight(spark, monkeypatch):
+    """Blocks are cut by shingles as well as by nodes: near copies of 60,000 words, two or so a block."""
+    monkeypatch.setattr("textloom.llm.jaccard_join.WEIGHT", 100_000)
+    rows = [(k, LONG + f" tail{k} and more{k}") for k in range(6)] + [(9, "short one " * 4), (10, "short one " * 4 + "x")]
+    assert found(jaccard_classes(frame(spark, rows), 0.8)) == brute(rows, 0.8)
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.9])
 def test_classes(spark, threshold, monkeypatch):
     monkeypatch.setattr("textloom.llm.jaccard_join.BLOCK", 16)

@@ -27,8 +27,8 @@ from .vectext import Words, mix, signed, slabs, utf8
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-4
 BANDS, ROWS, STEP, VALUES = 25, 5, 16, 128
-#: Nodes of a block; a task holds the signatures, or the shingles of survivors, of two blocks.
-BLOCK = 512
+#: Nodes, and shingles of all its nodes, of a block on average; a task holds the signatures, or the shingles of survivors, of two blocks.
+BLOCK, WEIGHT = 512, 1 << 23
 _random = np.random.default_rng(11)
 _A = _random.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32)
@@ -94,9 +94,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = salt[None, :].repeat(len(sig), 0)
         for r in range(ROWS):
             key = mix(key ^ sig[:, :, r])
-        node = batch.column(0).to_numpy(zero_copy_only=False)
+        node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
         band = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), pa.array(band), pa.array(np.repeat(node, BANDS))], names=["bucket", "band", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), pa.array(band), pa.array(np.repeat(node, BANDS)), pa.array(np.repeat(n, BANDS))], names=["bucket", "band", "node", "n"])
 
 
 def _pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -241,9 +241,10 @@ def row_classes(docs: DataFrame, threshold: float, tolerance: float, id_col: str
     # a node for each set of shingles, with its first document; numbered once, as it is written
     grouped = real.groupBy("f0", "f1").agg(F.min(F.struct("doc", "row")).alias("first"), F.count(F.lit(1)).alias("mult"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bands = nodes.select("node", "sig").mapInArrow(_bands, "bucket bigint, band int, node bigint")
-    full = staged(bands.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("bucket", "size"), "buckets")
-    members = bands.join(full, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    bands = nodes.select("node", "sig", "n").mapInArrow(_bands, "bucket bigint, band int, node bigint, n bigint")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / WEIGHT)).cast("int")
+    full = staged(bands.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), blocks.alias("blocks")).filter("x <> y").select("bucket", "blocks"), "buckets")
+    members = bands.select("bucket", "band", "node").join(full, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tasks = members.select("bucket", "band", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", "band", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     least = least_agreement(threshold, tolerance)
     held = tasks.join(nodes, "node").select("bucket", "i", "j", "block", "band", "node", "mult", "n", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
