@@ -7,6 +7,7 @@ import random
 import re
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from textloom.llm import decontamination, session
 from textloom.llm.chat_format import as_events, escape, fold, format_chats, parse, render, unescape
 from textloom.llm.decontamination import contained_items, without_benchmark
-from textloom.llm.licenses import _MIT, TEMPLATES, Templates, _terms, _words, cosines, scan_licenses
+from textloom.llm.licenses import _MIT, TEMPLATES, TITLES, Templates, _terms, _words, cosines, license_texts, scan_licenses
 from textloom.llm.mixing import fit, knapsack, mix_sources, source_targets, targets
 from textloom.llm.site_style import Page, main_text
 from textloom.llm.warc import read_warc, record, write_warc
@@ -387,6 +388,97 @@ def test_cosines_against_dictionaries():
     assert np.allclose(best, by_hand(TEMPLATES, texts, 1000, frequency))
 
 
+def scanned_by_hand(rows, templates, titles, least=0.75, file_least=0.5):
+    """Every row's licence, file and inheritance by dictionaries: lines, blocks and wholes one by one, directories by walking up."""
+    every, documents = [*templates, *titles], len(rows)
+    known = {w for _, t in every for w in loose(t)}
+    frequency = Counter(w for _, _, text in rows for w in set(loose(text or "")))
+    idf = lambda w: math.log((1 + documents) / (1 + frequency[w])) + 1 if w in known else math.log(1 + documents) + 1
+    bags = [Counter(loose(t)) for _, t in every]
+    norms = [math.sqrt(sum((n * idf(w)) ** 2 for w, n in b.items())) for b in bags]
+
+    def best(text):
+        a = Counter(loose(text))
+        norm = math.sqrt(sum((n * idf(w)) ** 2 if w in known else n * idf(w) ** 2 for w, n in a.items()))
+        scores = [sum(n * b[w] * idf(w) ** 2 for w, n in a.items() if w in b) / norm / size if norm else 0.0 for b, size in zip(bags, norms, strict=True)]
+        scores = [round(x, 9) for x in scores]
+        top = max(range(len(scores)), key=lambda k: (scores[k], -k))
+        return scores[top], top
+
+    out, files = [], {}
+    for doc, path, text in rows:
+        blocks = [b for b in re.split(r"\n[ \t\r]*(?=\n)", text or "") if loose(b)]
+        units = [[x for x in (text or "").split("\n") if loose(x)], blocks, [text] if loose(text or "") else []]
+        score, name, whole = 0.0, None, 0.0
+        for kind, parts in enumerate(units):
+            found = [best(p) for p in parts]
+            if found:
+                top = max(found, key=lambda x: (x[0], -x[1]))
+                if top[0] > score:
+                    score, name = top[0], every[top[1]][0]
+                if kind == 1 and found[0][0] >= least and found[0][1] >= len(templates):
+                    whole, name, score = found[0][0], every[found[0][1]][0], max(score, found[0][0])
+                if kind == 2:
+                    whole = max(whole, top[0])
+        own = name if score >= least else None
+        is_file = (own is not None and path is not None and bool(re.match(r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$", path.rpartition("/")[2]))) or whole >= file_least
+        out.append([doc, path, own, is_file])
+        if is_file and path is not None:
+            files.setdefault(path.rpartition("/")[0], []).append((score, name))
+    for row in out:
+        _, path, own, _ = row
+        at, found = path.rpartition("/")[0] if path is not None else None, (None, None)
+        while at is not None:
+            if at in files:
+                found = (max(files[at])[1], at)
+                break
+            at = at.rpartition("/")[0] if at else None
+        row += [own or found[0], None if own else found[1]]
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_licenses_against_dictionaries(spark, seed):
+    """The operator as a whole: lines, blocks, titles, whole texts, files by name, and directories."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(30)]
+    some = [t for t in TEMPLATES if len(t[1]) < 400][:14] + [t for t in TEMPLATES if t[0] == "BSD-2-Clause"][:1]
+    titles = TITLES[:4]
+    rows = []
+    for k in range(70):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(6))]
+        if rng.random() < 0.5:
+            own = rng.choice(some)[1].split(" ")
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            lines.insert(rng.randrange(len(lines) + 1), " ".join(own))
+        if rng.random() < 0.15:
+            lines = [rng.choice(titles)[1], "", *lines]
+        path = "/".join([*(rng.choice("ab") for _ in range(rng.randrange(4))), rng.choice([f"{k}.txt", f"{k}.py", "LICENSE", "copying.md", "Notice-2"])])
+        rows.append((k, rng.choice([path, path, path, path, None]), rng.choice(["\n", "\n\n", "\n \t\n", "\r\n"]).join(lines) if k % 11 else rng.choice([None, ""])))
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id bigint, path string, text string").repartition(3), tuple(some), titles)
+    columns = ("doc_id", "path", "own_license", "is_file", "license", "from_directory")
+    assert sorted(str([r[c] for c in columns]) for r in got.collect()) == scanned_by_hand(rows, some, titles)
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses").is_dir(), reason="no licence texts here")
+def test_whole_licence_texts_are_templates(spark):
+    whole = license_texts("/usr/share/common-licenses")
+    texts = dict(whole)
+    assert {"GPL-3.0", "Apache-2.0"} <= set(texts)
+    rng = random.Random(1)
+    rows = []
+    for k, (name, text) in enumerate(whole):
+        body = text.split()
+        for _ in range(len(body) // 50):  # worn copies without their titles
+            body[rng.randrange(len(body))] = "other"
+        rows.append((k, f"{k}/sub/{name}.text", " ".join(body[40:])))
+        rows.append((100 + k, f"{k}/sub/x/code.py", "code only"))
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, path string, text string"), (*TEMPLATES, *whole)).collect()}
+    right = [got[k]["own_license"] == name and got[k]["is_file"] and got[100 + k]["license"] == name for k, (name, _) in enumerate(whole)]
+    assert sum(right) >= len(right) - 1  # two versions of one licence may be nearer than two copies
+
+
 def test_licenses_are_told_apart(spark):
     every = dict(TEMPLATES)
     bsd2, bsd3 = (next(t for n, t in TEMPLATES if n == x and len(t) > 500) for x in ("BSD-2-Clause", "BSD-3-Clause"))

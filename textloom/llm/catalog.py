@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # parts of results that SQL can say, of operators whose whole results it can't
     "quality_base_columns": quality_rules.quality_base_columns,
     "mixing_targets": mixing.mixing_targets,
+    "license_inheritance": licenses.license_inheritance,
 }
 ORACLES: dict[str, str] = {
     "op1_html_extraction": site_style.ORACLE,
@@ -38,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op12_phrase_mining": phrases.ORACLE,
     "quality_base_columns": quality_rules.BASE_ORACLE,
     "mixing_targets": mixing.TARGETS_ORACLE,
+    "license_inheritance": licenses.INHERITANCE_ORACLE,
 }

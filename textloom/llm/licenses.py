@@ -10,7 +10,9 @@ documents without a licence of their own take that of the nearest directory abov
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from .session import read_table, staged
 from .vectext import _SPACE, Words, slabs, utf8
 
 LEAST, FILE_LEAST = 0.75, 0.5
+#: Digits of a cosine; beyond them the first template, or the greater name of files, decides.
+DIGITS = 9
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -118,6 +122,21 @@ TITLES: tuple[tuple[str, str], ...] = (
 )
 
 
+def license_texts(folder: str) -> tuple[tuple[str, str], ...]:
+    """Whole licences as templates, from a folder of the driver that has a text file for each, named by the licence.
+
+    They go to ``templates`` beside the notices, so that a licence file is known by its whole text
+    as well and not by its title alone. Names get the form of SPDX where they lack it (GPL-3: GPL-3.0);
+    links and empty files are no licences of their own.
+    """
+    out = []
+    for path in sorted(Path(folder).iterdir()):
+        if path.is_file() and not path.is_symlink() and (text := path.read_text(encoding="utf-8", errors="replace")).strip():
+            name = path.name.removesuffix(".txt")
+            out.append((f"{name}.0" if re.fullmatch(r".*-\d", name) else name, text))
+    return tuple(out)
+
+
 def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return utf8(pa.array([None if x is None else x.lower() for x in column.to_pylist()], pa.string()))
 
@@ -193,6 +212,7 @@ def cosines(templates: Templates, term: np.ndarray, unit: np.ndarray, units: int
         posting = np.repeat(templates.first[t[a:b]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         of = np.repeat(np.cumsum(np.append(0, at[a + 1 : b] != at[a : b - 1])), size)
         dots = np.bincount(of * n + templates.template[posting], np.repeat(weight[a:b], size) * templates.weight[posting], minlength=len(own) * n).reshape(len(own), n) / norm[own][:, None]
+        dots = np.round(dots, DIGITS)  # what is equal but for the order of sums is equal
         which[own], best[own] = dots.argmax(axis=1), dots.max(axis=1)
     return best, which
 
@@ -284,3 +304,25 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.when(F.col("lang") != "en", F.col("lang")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return scan_licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences along made-up trees: a source's documents lie at four depths, and every third is named as a licence."""
+    docs, number = read_table(spark, sf_dir, "documents"), F.col("doc_id")
+    depth = F.when(number % 9 == 0, 0).when(number % 3 == 0, 1).otherwise(number % 3 + 1)
+    parts = F.array("source", (number % 4).cast("string"), F.lit("src"), F.lit("lib"))
+    name = F.when(number % 3 == 0, "LICENSE").otherwise(F.concat(number.cast("string"), F.lit(".txt")))
+    path = F.concat(F.array_join(F.slice(parts, F.lit(1), depth.cast("int") + 1), "/"), F.lit("/"), name)
+    found = scan_licenses(docs.select("doc_id", path.alias("path"), "text"), file_least=2.0)
+    return found.select("doc_id", "own_license", F.round("own_score", 6).alias("own_score"), "is_file", "license", "from_directory")
+
+
+#: For the test tables, whose licence lines are these four; the order is the templates'.
+INHERITANCE_ORACLE = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, doc_id % 3 = 0 AS named, concat_ws('/', source, CASE WHEN doc_id % 9 <> 0 THEN CAST(doc_id % 4 AS VARCHAR) END, CASE WHEN doc_id % 3 > 0 THEN 'src' END, CASE WHEN doc_id % 3 = 2 THEN 'lib' END) AS dir FROM documents),
+o AS (SELECT doc_id, named, dir, CASE WHEN list_contains(ls, 'Released under the MIT License.') THEN 'MIT' WHEN list_contains(ls, 'Licensed under the Apache License, Version 2.0.') THEN 'Apache-2.0'
+  WHEN list_contains(ls, 'This work is licensed under the GNU General Public License, version 3.') THEN 'GPL-3.0' WHEN list_contains(ls, 'Licensed under CC BY-NC 4.0.') THEN 'CC-BY-NC-4.0' END AS own FROM d),
+h AS (SELECT dir AS place, max(own) AS license FROM o WHERE named AND own IS NOT NULL GROUP BY dir),
+n AS (SELECT doc_id, max_by(place, length(place)) AS place, max_by(license, length(place)) AS near FROM o JOIN h ON starts_with(dir || '/', place || '/') GROUP BY doc_id)
+SELECT doc_id, own AS own_license, CASE WHEN own IS NOT NULL THEN 1.0::DOUBLE END AS own_score, named AND own IS NOT NULL AS is_file, coalesce(own, near) AS license, CASE WHEN own IS NULL THEN place END AS from_directory FROM o LEFT JOIN n USING (doc_id)
+"""
