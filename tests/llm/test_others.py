@@ -225,6 +225,12 @@ def test_chat_events(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_many_regenerations_take_linear_time():
+    began = time.perf_counter()
+    log = [(k, "message", "user", "x") for k in range(20_000)] + [e for k in range(20_000, 60_000) for e in ((k, "message", "assistant", "y"), (k, "regenerate", None, "z"))] + [(5, "regenerate", None, "end")]
+    assert fold(iter(log)) == [("user", "x")] * 5 + [("user", "end")] and time.perf_counter() - began < 2
+
+
 def test_deltas_of_one_seq_follow_their_message(spark):
     rows = [(1, 0, 1, "delta", None, " you"), (1, 0, 1, "message", "user", "hello"), (1, 1, 2, None, "assistant", "x"), (1, 1, 2, "what", None, "?"), (1, 1, 2, "edit", None, "y")]
     df = spark.createDataFrame(rows, "conv_id bigint, seq bigint, message bigint, kind string, role string, text string")
@@ -264,7 +270,7 @@ def test_warc_reader_skips_what_is_no_record(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(body)
     files = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(body))], "path string, size bigint")
     for size in (11, 4096):
-        assert sorted(r["page_id"] for r in read_warc(files, False, size).collect()) in ([1, 2], [1, 2, 9])
+        assert sorted(r["page_id"] for r in read_warc(files, False, size).collect()) == [1, 2]
 
 
 PAGE = "<html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><a href=x>menu</a></nav><div class=ad>buy</div>{}<footer>&copy; f</footer></body></html>"

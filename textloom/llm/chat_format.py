@@ -54,9 +54,8 @@ def fold(events: Iterator[tuple]) -> list[tuple[str, str]]:
         elif kind == "edit":
             messages[message][1] = [text or ""]
         elif kind == "regenerate":
-            order = list(messages)
-            for later in order[order.index(message) + 1 :]:
-                del messages[later]
+            while next(reversed(messages)) != message:  # later messages go, each once
+                messages.popitem()
             messages[message][1] = [text or ""]
     return [(role, "".join(parts)) for role, parts in messages.values()]
 

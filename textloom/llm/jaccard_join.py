@@ -289,7 +289,8 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The first document of each class, all columns as they were.
 
     First is the least id, null last, then the least hash of the text; of rows equal in both,
-    one stays, any of them. Texts without words are of no class and stay, repeated rows too.
+    one stays, any of them. Texts without words are of no class and stay, repeated rows too;
+    texts may have any length; of an empty table nothing is left.
     """
     doc, row = document("doc_id", "text")
     d, r, many = fresh("doc"), fresh("row"), fresh("many")

@@ -215,7 +215,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """The documents that are kept, all columns as they were; rows are judged where they lie, without a join.
 
-    Each row is judged by its own text, whether its id is null, shared or repeated; null and empty texts go.
+    Each row is judged by its own text, of any length, whether its id is null, shared or repeated;
+    null and empty texts go; of an empty table nothing is left.
     """
     good = {p for p, x in model(measured(docs)).items() if x >= least}
 

@@ -517,7 +517,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are cut one by one: those that share an id, or have none, keep their own texts (see
     ``dedup_suffixes`` for their order). Rows without repeats, null and empty texts among them,
-    stay as they are; other columns stay, but for n_chars, which counts the new text.
+    stay as they are; other columns stay, but for n_chars, which counts the new text. Texts may
+    have any length; of an empty table nothing is left.
     """
     names, places = docs.columns, fresh("places")
 
