@@ -324,7 +324,9 @@ SELECT topic, token, CAST(rank AS INT) AS rank, round(CAST(score AS DOUBLE), 6)
 
 @query("ctfidf_by_source", _CTFIDF)
 def _(s: SparkSession, d: str) -> DataFrame:
-    ranked = ctfidf(topic_term_counts(_sources(s, d)), 20, 10)
+    path = scratch(s)
+    topic_term_counts(_sources(s, d)).write.parquet(path)  # texts are tokenized once
+    ranked = ctfidf(s.read.parquet(path), 20, 10)
     return ranked.select("topic", "token", F.col("rank").cast("int").alias("rank"), F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
