@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textloom.functions.embedding import embedding, load, model_folder
+from textloom.functions.embedding import Settings, embedding, load, model_folder, settings
 from textloom.functions.tokenize import NATIVE, native_spans, native_tokens, tokenize
 from textloom.sources import cache
 from textloom.sources.store import Store, get_or_insert
@@ -125,6 +125,24 @@ def test_onnx_graph(spark, tmp_path):
     assert load(str(folder))(["a"]).shape == (1, 4)
 
 
+def test_sessions_take_their_settings(spark, tmp_path, monkeypatch):
+    assert settings() == Settings() and settings().provider == "cpu"
+    monkeypatch.setenv("TEXTLOOM_EMBEDDING_THREADS", "3")
+    monkeypatch.setenv("TEXTLOOM_EMBEDDING_PROVIDERS", " NoneExecutionProvider, CPUExecutionProvider")
+    assert settings() == Settings(3, ("NoneExecutionProvider", "CPUExecutionProvider")) and settings().provider == "NoneExecutionProvider+CPUExecutionProvider"
+    folder = tmp_path / "m"
+    write_model(folder, ["a", "b"])
+    with pytest.raises(ValueError, match="no execution provider NoneExecutionProvider"):
+        load(str(folder), settings())
+    monkeypatch.delenv("TEXTLOOM_EMBEDDING_PROVIDERS")
+    for bad in ("0", "-1", "x", ""):
+        monkeypatch.setenv("TEXTLOOM_EMBEDDING_THREADS", bad)
+        assert settings().threads == 1
+    monkeypatch.setenv("TEXTLOOM_EMBEDDING_THREADS", "2")
+    df = spark.createDataFrame([("a b",)], "t string")
+    assert np.allclose(df.select(embedding("t", embedder_model=str(folder)).alias("x")).first()["x"], np.array([0, 1, 1]) / 2**0.5)
+
+
 def test_models_by_id(tmp_path, monkeypatch):
     monkeypatch.setenv("TEXTLOOM_MODELS", str(tmp_path))
     (tmp_path / "org" / "name").mkdir(parents=True)

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embedding import EMBEDDING_CACHE, PROVIDER, REVISION, embedding, normalize_embedder
+from ..functions.embedding import EMBEDDING_CACHE, REVISION, embedding, normalize_embedder, settings
 from ..functions.tokenize import TOKEN_CACHE, normalize_model, params_hash, tokenize
 from ..names import fresh
 from .log import ArrowFiles, File, HadoopFiles, Log, driver_log, is_local, shared_path
@@ -156,7 +156,7 @@ def embeddings(df: DataFrame, text_col: str, path: str, *, embedder_model: str |
         return made.select("content_hash", F.size("embedding").cast("bigint").alias("dim"), "embedding", F.current_timestamp().alias("created_at"))
 
     valid = (F.size("embedding") == dim) if dim else None
-    return _cached(df, text_col, out_col or text_col, path, EMBEDDING_CACHE, {"model": model, "revision": REVISION, "provider": PROVIDER}, compute, F.col("embedding"), "array<float>", valid)
+    return _cached(df, text_col, out_col or text_col, path, EMBEDDING_CACHE, {"model": model, "revision": REVISION, "provider": settings().provider}, compute, F.col("embedding"), "array<float>", valid)
 
 
 def token_cache_snapshot(spark: SparkSession, path: str) -> tuple[list[str], list[tuple]]:
