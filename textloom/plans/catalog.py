@@ -473,6 +473,30 @@ def _axes(df: DataFrame, *keys: str) -> DataFrame:
     return long.withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
+_VOCABULARY = ("the", "of", "and", "der", "de", "licensed", "under", "license", "2.0.", "mit")
+_HUGGING = f"""
+WITH p AS (SELECT doc_id, regexp_extract_all(lower(text), '[^{WS}]+|[{WS}]+') AS ps FROM documents),
+x AS (SELECT doc_id, unnest(ps) AS t, unnest(generate_series(1, len(ps))) AS pos FROM p),
+o AS (SELECT doc_id, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM x)
+SELECT doc_id, CASE WHEN t IN ({', '.join(f"'{w}'" for w in _VOCABULARY)}) THEN t ELSE '[UNK]' END AS token, CAST(e - length(t) AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end" FROM o WHERE regexp_matches(t, '[^{WS}]')
+"""
+
+
+@query("tokenize_huggingface", _HUGGING)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A tokenizer.json of ten words, which the query writes, over all documents: tokens of it, the unknown token for other words."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({w: k for k, w in enumerate(["[UNK]", *_VOCABULARY])}, unk_token="[UNK]"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    at = s.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(s) + "/tokenizer.json")
+    out = at.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(made.to_str().encode()))
+    out.close()
+    folder = at.getParent().toUri().getPath()  # a shared mount
+    return docs(s, d).select("doc_id", F.inline(tokenize("text", model=f"huggingface:{folder}")))
+
+
 @query("embedding", _vectors("(SELECT doc_id AS k, text AS t FROM documents)", "k AS doc_id"))
 def _(s: SparkSession, d: str) -> DataFrame:
     """The stand-in without a model, over all documents, what isn't zero of it; tests run an ONNX graph."""
