@@ -124,6 +124,15 @@ def test_both_routes_share_a_cache(spark, tmp_path):
     assert sorted(cache.token_cache_snapshot(spark, path)[1]) == sorted(rows)
 
 
+def test_what_a_limit_leaves_is_kept(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    df = spark.range(30_000).selectExpr("id", "concat('text ', id) AS t").coalesce(1)
+    assert len(df.select(tokenize("t", model=NATIVE, cache=path).alias("x")).limit(2).collect()) == 2
+    df.limit(2).select(tokenize("t", model=NATIVE, cache=path)).collect()
+    rows = cache.token_cache_snapshot(spark, path)[1]
+    assert len(rows) == len({r[2] for r in rows}) >= 2
+
+
 def test_many_files_are_compacted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cache, "MANY", 3)
     path = str(tmp_path / "vectors")

@@ -234,9 +234,11 @@ def tokenize(c: Column | str, *, model: str, lowercase: bool = True, remove_punc
             yield from (listed(texts.to_pylist()) for texts in parts)
             return
         lookup = Lookup(Store(cache, _STORED, {"model": model, "params_hash": params_hash(lowercase, remove_punct)}), compute)
-        for texts in parts:
-            yield _zipped(lookup.rows(texts.to_pylist()).combine_chunks())
-        lookup.close()
+        try:
+            for texts in parts:
+                yield _zipped(lookup.rows(texts.to_pylist()).combine_chunks())
+        finally:  # also where a limit stops the task
+            lookup.close()
 
     return tokens(as_column(c))
 
