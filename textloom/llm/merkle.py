@@ -50,13 +50,13 @@ class Forest:
     def __init__(self, rows: DataFrame, load: list[str], fanout: int = FANOUT):
         self.load, self.levels = load, []
         parent, run = F.floor(F.col("idx") / fanout).cast("bigint"), Window.partitionBy("grp", "parent").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        roots, nodes = [], rows
+        roots, nodes, most = [], rows, 0
         for level in range(1, 64):
             cells = F.collect_list(F.struct("digest", *(load if level == 1 else []))).over(run)
             kids = nodes.withColumn("parent", parent).withColumn("kids", cells)
             runs = staged(kids.filter(F.col("idx") % fanout == 0).select("grp", "parent", "size", "kids"), "runs")
             self.levels.append(runs)
-            most = runs.agg(F.max("size")).first()[0] or 0
+            most = -(-most // fanout) if level > 1 else runs.agg(F.max("size")).first()[0] or 0  # nodes of the largest tree
             lone = F.lit(level == 1) & (F.col("size") == 1)  # a tree of one leaf is that leaf
             made = F.when(lone, F.col("kids")[0]["digest"]).otherwise(F.sha2(F.array_join("kids.digest", ""), 256))
             up = runs.select("grp", F.col("parent").alias("idx"), F.ceil(F.col("size") / fanout).cast("bigint").alias("size"), made.alias("digest"))
