@@ -1,9 +1,10 @@
 """Phrase collocation mining (operator 12).
 
 Texts become rows of n-grams, hash-aggregated per language: each task sends an n-gram and how often
-it has it. No phrase is more frequent than what it is made of, so n-grams go out length by length,
-and only those whose first and last n - 1 words are frequent; a bit map of a fixed size tells,
-which lets some others through but none out, and what it lets through is counted like the rest.
+it has it. No phrase is more frequent than what it is made of, so hashes of n-grams are counted length by
+length, of those only whose first and last n - 1 words are frequent; bit maps of a fixed size tell,
+which let some others through but keep none back. The phrases themselves then go out once, those
+whose hashes are frequent, and are counted as what they are.
 Counts of a phrase's parts, cuts, extensions and ranks are joins and windows over the frequent phrases.
 """
 
@@ -21,8 +22,8 @@ from .session import read_table, staged
 from .vectext import Words, byte_sums, lowered_ascii, mix, signed, slabs, span_hash, strings, utf8
 
 MOST, LEAST, SHARE, TOP, SALTS = 5, 100, 100, 2000, 64
-#: Bytes of a slab, within which equal n-grams are counted; bits of the map, as a power of two: 8 MB.
-SLAB, MAP = 1 << 20, 26
+#: Bytes of a slab, within which equal n-grams are counted; bits of a map, as a power of two: 4 MB.
+SLAB, MAP = 1 << 20, 25
 _CUTS = np.zeros(256, bool)
 _CUTS[[*b".,;:!?", 10, 11, 12, 13]] = True
 
@@ -44,35 +45,61 @@ def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _counted(width: int, frequent: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, phrase, n) of the n-grams of texts (lang, text), once a slab; ``frequent`` is the map of those one word shorter."""
+def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Words, np.ndarray, np.ndarray]]:
+    """The texts (lang, text) some at a time: languages, words of pieces, their languages' hashes, and the piece of each word."""
+    for batch in batches:
+        langs = _row_hashes(batch.column(0))
+        data, offs = utf8(batch.column(1))
+        for i, j in slabs(offs, SLAB):
+            low = lowered_ascii(data[offs[i] : offs[j]])
+            cut = _CUTS[low]
+            words = Words(np.where(cut, 32, low), offs[i : j + 1] - offs[i])
+            yield batch.column(0).slice(i, j - i), words, langs[i:j], np.cumsum(cut)[words.start]
+
+
+def _inside(words: Words, langs: np.ndarray, piece: np.ndarray, width: int, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the n-grams of ``width`` words that lie in a piece, and whose both parts one word shorter ``frequent`` has."""
+    at, found = _grams(words, langs, width)
+    own = piece[at] == piece[at + width - 1]
+    if frequent is not None:
+        begins, less = _grams(words, langs, width - 1)
+        passes = np.zeros(len(words), bool)
+        passes[begins] = _has(frequent, less)
+        own &= passes[at] & passes[at + 1]
+    return at[own], found[own]
+
+
+def _hash_counts(width: int, frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(hash, n) of the n-grams of texts (lang, text), once a slab; ``frequent`` is the map of those one word shorter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words, langs, piece in _slabs(batches):
+            found, n = np.unique(_inside(words, langs, piece, width, frequent)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n)], names=["hash", "n"])
+
+    return run
+
+
+def _counted(widths: list[int], frequent: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(lang, phrase, width, n) of the n-grams of texts (lang, text) that the maps of their widths have, once a slab; all of a width without a map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = _row_hashes(batch.column(0))
-            data, offs = utf8(batch.column(1))
-            for i, j in slabs(offs, SLAB):
-                low = lowered_ascii(data[offs[i] : offs[j]])
-                cut = _CUTS[low]
-                words = Words(np.where(cut, 32, low), offs[i : j + 1] - offs[i])
-                piece = np.cumsum(cut)[words.start]
-                at, first = _grams(words, langs[i:j], width)
-                own = piece[at] == piece[at + width - 1]
-                if frequent is not None:
-                    begins, less = _grams(words, langs[i:j], width - 1)
-                    passes = np.zeros(len(words), bool)
-                    passes[begins] = _has(frequent, less)
-                    own &= passes[at] & passes[at + 1]
-                at, first = at[own], first[own]
+        for own_langs, words, langs, piece in _slabs(batches):
+            text, start, end = words.joined()
+            for width in widths:
+                at, first = _inside(words, langs, piece, width, None)
+                if width in frequent:
+                    has = _has(frequent[width], first)
+                    at, first = at[has], first[has]
                 second = np.zeros(len(words), np.uint64)
-                starts, found = _grams(words, langs[i:j], width, 1)
+                starts, found = _grams(words, langs, width, 1)
                 second[starts] = found
                 order = np.argsort(first, kind="stable")
                 at, first, second = at[order], first[order], second[at[order]]
                 new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[: len(at)])
-                text, start, end = words.joined()
                 one = at[new]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(words.row[one])), strings(text, start[one], end[one + width - 1]).cast(pa.string()), pa.array(np.diff(np.append(new, len(at))))], names=["lang", "phrase", "n"])
+                phrase = strings(text, start[one], end[one + width - 1]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([own_langs.take(pa.array(words.row[one])), phrase, pa.array(np.full(len(one), width, np.int32)), pa.array(np.diff(np.append(new, len(at))))], names=["lang", "phrase", "width", "n"])
 
     return run
 
@@ -95,23 +122,20 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def phrase_counts(docs: DataFrame, most: int = MOST, least: int = LEAST, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, width, f) of the phrases of up to ``most`` words that occur ``least`` times or more, and (lang, n), all words of a language."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    found, bits, totals = [], None, None
-    for width in range(1, most + 1):
-        rows = texts.mapInArrow(_counted(width, bits), "lang string, phrase string, n bigint")
-        counts = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        if width == 1:
-            words = staged(counts, "words")
-            totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-            level = words.filter(F.col("f") >= least)
-        else:
-            level = staged(counts.filter(F.col("f") >= least), "phrases")
-        found.append(level.select("lang", "phrase", F.lit(width).alias("width"), "f"))
-        if width < most:
-            bits = bit_map(level.select("lang", "phrase").mapInArrow(_hashed, "hash bigint"), MAP)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out, totals
+    counted = "lang string, phrase string, width int, n bigint"
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("lang", "phrase", "width").agg(F.sum("n").alias("f"))
+
+    words = staged(summed(texts.mapInArrow(_counted([1], {}), counted)), "words")
+    totals, single = words.groupBy("lang").agg(F.sum("f").alias("n")), words.filter(F.col("f") >= least)
+    maps = {1: bit_map(single.select("lang", "phrase").mapInArrow(_hashed, "hash bigint"), MAP)}
+    for width in range(2, most + 1):
+        hashes = texts.mapInArrow(_hash_counts(width, maps[width - 1]), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+        maps[width] = bit_map(hashes.filter(F.col("n") >= least), MAP)
+    longer = {w: bits for w, bits in maps.items() if w > 1}
+    phrases = summed(texts.mapInArrow(_counted(sorted(longer), longer), counted)).filter(F.col("f") >= least)
+    return single.unionByName(staged(phrases, "phrases")), totals
 
 
 def _exact(c: str) -> Column:
