@@ -19,7 +19,7 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["clean_text", "word_count", "sentence_count", "tokenize_keep_punct", "token_frequencies_by_lang", "keyness_significant", "kwic_literal", "kwic_context", "dominant_topic", "cache_misses", "kwic_multiline", "kwic_index", "chunking_packed", "byte_spans", "embedding_lists", "knn_embeddings", "sql_concordance", "sql_chunks", "tokenize_cached_column", "tokenize_huggingface", "ctfidf_by_source"])
+@pytest.mark.parametrize("name", ["clean_text", "word_count", "sentence_count", "tokenize_keep_punct", "token_frequencies_by_lang", "keyness_significant", "kwic_literal", "kwic_context", "dominant_topic", "cache_misses", "kwic_multiline", "kwic_index", "chunking_packed", "byte_spans", "embedding_lists", "knn_embeddings", "sql_concordance", "sql_chunks", "tokenize_cached_column", "tokenize_huggingface", "ctfidf_by_source", "model_inventory"])
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations", "embeddings"):

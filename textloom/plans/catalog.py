@@ -384,9 +384,15 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return misses(docs(s, d).filter("lang = 'fr'"), have).select("content_hash")
 
 
-@query("model_inventory", "SELECT * FROM (VALUES " + ", ".join(f"('{r['model']}', '{r['label']}', '{','.join(r['languages'])}')" for r in predefined_model_records()) + ") AS t(model, label, languages)")
+_MODELS = ", ".join(f"('{r['model']}', '{r['label']}', '{','.join(r['languages'])}')" for r in predefined_model_records())
+
+
+@query("model_inventory", f"SELECT model, label, languages, CAST(count(d.lang) AS BIGINT) AS n_documents FROM (VALUES {_MODELS}) AS t(model, label, languages) LEFT JOIN documents d ON list_contains(string_split(languages, ','), d.lang) GROUP BY ALL")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return model_inventory(s).withColumn("languages", F.array_join("languages", ","))
+    """The models, and how many documents are in a language of theirs."""
+    counts = docs(s, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    models = model_inventory(s).select("model", "label", F.array_join("languages", ",").alias("languages"), F.explode("languages").alias("lang"))
+    return models.join(counts, "lang", "left").groupBy("model", "label", "languages").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_documents"))
 
 
 @query("chunking")
