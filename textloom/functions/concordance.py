@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -13,7 +13,8 @@ from pyspark.sql.functions import arrow_udf
 from ..models import require_feature
 from .dialect import translated
 from .scalar import as_column
-from .tokenize import _py_piece, _py_special
+from .slices import sliced
+from .tokenize import _py_piece, _py_piece_back, _py_special
 
 HIT = "left_context string, matched_text string, right_context string, start_idx bigint, end_idx bigint, l1 string, r1 string"
 HITS = f"array<struct<{HIT}>>"
@@ -40,33 +41,25 @@ def _matches(pattern: regex.Pattern, text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _words(pieces: Iterable[regex.Match], most: int) -> list[str]:
+    """The first ``most`` pieces that count."""
+    out: list[str] = []
+    if most:
+        for m in pieces:
+            if not _py_special.fullmatch(m[0]):
+                out.append(m[0])
+                if len(out) == most:
+                    break
+    return out
+
+
 def hits(text: str, pattern: regex.Pattern, left: int, right: int) -> list[tuple]:
-    """One pass over the pieces of a text for all its hits; a piece that a hit cuts counts with what is left of it."""
-    found = _matches(pattern, text)
-    if not found:
-        return []
-    pieces = [m.span() for m in _py_piece.finditer(text)]
-    starts, ends = [a for a, _ in pieces], [b for _, b in pieces]
+    """All hits of a text; only pieces that a context needs are looked for, and one that a hit cuts counts with what is left of it."""
     out = []
-    def word(a: int, b: int) -> str | None:
-        token = text[a:b]
-        return None if not token or _py_special.fullmatch(token) else token
-
-    for a, b in found:
-        before, k = [], bisect_left(starts, a) - 1
-        while k >= 0 and len(before) < max(left, 1):
-            token = word(starts[k], min(ends[k], a))
-            if token:
-                before.append(token)
-            k -= 1
-        after, k = [], bisect_right(ends, b)
-        while k < len(pieces) and len(after) < max(right, 1):
-            token = word(max(starts[k], b), ends[k])
-            if token:
-                after.append(token)
-            k += 1
-        l1, r1 = (before[0] if before and left > 0 else ""), (after[0] if after and right > 0 else "")
-        out.append((" ".join(reversed(before[:left])), text[a:b], " ".join(after[:right]), a, b, l1, r1))
+    for a, b in _matches(pattern, text):
+        before, after = _words(_py_piece_back.finditer(text, 0, a), left), _words(_py_piece.finditer(text, b), right)
+        l1, r1 = (before[0] if before else ""), (after[0] if after else "")
+        out.append((" ".join(reversed(before)), text[a:b], " ".join(after), a, b, l1, r1))
     return out
 
 
@@ -94,8 +87,10 @@ def concordance(c: Column | str, search_word: str, *, num_left_tokens: int = 5,
     source = (search_word, regex, case_sensitive)
 
     @arrow_udf(HITS)
-    def search(texts: pa.Array) -> pa.Array:
-        return hit_lists(texts.to_pylist(), compile_search(*source) if pattern is not None else None, left, right)
+    def search(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = compile_search(*source) if pattern is not None else None
+        for texts in parts:
+            yield from (hit_lists(part.to_pylist(), own, left, right) for part in sliced(texts))
 
     return search(as_column(c))
 
