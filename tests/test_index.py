@@ -77,3 +77,16 @@ def test_recall_of_approximate_neighbours(spark, hot):
     assert len(rows) == 20_000
     far = np.array([d[i, w[-1]] for i, w in enumerate(want)])
     assert np.mean([r["distance"] ** 2 <= far[r["id"]] + 1e-9 for r in rows]) >= 0.9  # as near as the tenth nearest
+
+
+def test_tasks_grow_no_larger_with_the_texts(spark, tmp_path, monkeypatch):
+    """Twice the tokens are sorted in twice as many parts, and no search deals tokens out one by one."""
+    monkeypatch.setattr("textloom.operators.index.PART", 100)
+    for n in (10, 20):
+        df = spark.createDataFrame([(k, f"one two three {k} " * 10) for k in range(n)], "doc int, t string")
+        found = PositionalIndex.build(df, "doc", "t", f"file://{tmp_path}/{n}")
+        parts = 40 * n // 100 + 1
+        assert found.parts == parts and found.postings.select(F.input_file_name()).distinct().count() > parts * 0.7
+        assert found.texts.count() == n
+        rows = found.search(["two three"], num_left_tokens=1, num_right_tokens=1).filter("id = 3 AND hit = 2").collect()
+        assert [(r["left_context"], r["matched_text"], r["right_context"]) for r in rows] == [("one", "two three", "3")]

@@ -1,9 +1,10 @@
 """A positional index: words and phrases with their contexts by joins on places, so that searches don't read texts again.
 
-Two Parquet tables. ``places`` has a row for each token of the native model in the order of texts (row, id,
-place, token, start, end); ``postings`` has the same, by token and in ranges, so that a search
-reads the row groups of its words. A phrase is a join of postings on neighbouring places, and a
-context a join of hits with the places around them.
+Two Parquet tables. ``texts`` has a row for each text (row, id, and its tokens of the native model in order);
+``postings`` has a row for each token (row, place, token, start, end), by token and in ranges, so that a search
+reads the row groups of its words. A phrase is a join of postings on neighbouring places, and
+contexts are pieces of a text's tokens, which meet all the text's hits once. What a task sorts is about ``PART`` tokens,
+however many there are.
 """
 
 from __future__ import annotations
@@ -15,27 +16,31 @@ from pyspark.sql import functions as F
 
 from ..functions.tokenize import NATIVE, native_spans, tokenize
 
+#: Tokens of a task, about.
+PART = 1 << 20
 
 
 class PositionalIndex:
     def __init__(self, spark: SparkSession, path: str):
-        self.places, self.postings, self.rows = (spark.read.parquet(f"{path}/{t}") for t in ("places", "postings", "rows"))
+        self.texts, self.postings = (spark.read.parquet(f"{path}/{t}") for t in ("texts", "postings"))
+        self.parts = self.postings.count() // PART + 1  # from the files' footers
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str, text_col: str, path: str) -> PositionalIndex:
         """Write the index of ``df`` below ``path``, which must not be there. Ids may repeat: each row is a text of its own.
 
-        Texts are tokenized once; null and empty ones have no places. A frequent token's postings lie in as
+        Texts are tokenized once; null and empty ones have no tokens. A frequent token's postings lie in as
         many ranges as they need.
         """
         spark, path = df.sparkSession, path.rstrip("/")
         texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        found = texts.withColumn("t", tokenize("text", model=NATIVE, lowercase=False, remove_punct=False)).select("row", "id", F.posexplode("t").alias("place", "t"))
-        found.select("row", "id", "place", "t.token", F.lower("t.token").alias("low"), "t.start", "t.end").write.parquet(f"{path}/places")
-        written = spark.read.parquet(f"{path}/places")
-        # as tokens come by text, rows need no shuffle to be told apart, and ids are kept once a text
-        written.filter("place = 0").select("row", "id").write.parquet(f"{path}/rows")
-        written.drop("id").repartitionByRange("low", "row", "place").sortWithinPartitions("low", "row", "place").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        found = texts.withColumn("t", tokenize("text", model=NATIVE, lowercase=False, remove_punct=False))
+        found.select("row", "id", F.col("t.token").alias("tokens"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).write.option("parquet.block.size", 8 << 20).parquet(f"{path}/texts")
+        written = spark.read.parquet(f"{path}/texts")
+        parts = (written.agg(F.sum(F.size("start"))).first()[0] or 0) // PART + 1
+        each = written.select("row", F.posexplode(F.arrays_zip("tokens", "start", "end")).alias("place", "t"))
+        each = each.select("row", "place", F.col("t.tokens").alias("token"), F.lower("t.tokens").alias("low"), "t.start", "t.end")
+        each.repartitionByRange(parts, "low", "row", "place").sortWithinPartitions("low", "row", "place").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
         return cls(spark, path)
 
     def hits(self, phrase: str, case_sensitive: bool = False) -> DataFrame:
@@ -65,15 +70,15 @@ class PositionalIndex:
             found = own if found is None else found.unionByName(own)
         if found is None:
             raise ValueError("no phrase to search for")
-        key = ["phrase", "row", "place"]
-        before = F.sequence(F.lit(-left), F.lit(-1)) if left else F.array().cast("array<int>")
-        after = F.sequence(F.col("width"), F.col("width") + (right - 1)) if right else F.array().cast("array<int>")
-        asked = found.select(*key, F.explode(F.concat(before, after)).alias("step")).withColumn("at", F.col("place") + F.col("step"))
-        around = self.places.select("row", F.col("place").alias("at"), F.col("token").alias("near"))
-        cells = asked.join(around, ["row", "at"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("step", "near"))).alias("cells"))
-        whole = found.join(cells, key, "left").join(self.rows, "row")
-        side = lambda keep: F.transform(F.filter(F.coalesce("cells", F.array().cast("array<struct<step:int,near:string>>")), keep), lambda x: x["near"])
-        left_side, right_side = side(lambda x: x["step"] < 0), side(lambda x: x["step"] > 0)
+        by_text = found.repartition(self.parts, "row").groupBy("row").agg(F.collect_list(F.struct("phrase", "place", "width", "start", "end", "tokens")).alias("hits"))
+        words = self.texts.select("row", "id", F.col("tokens").alias("words")).repartition(self.parts, "row")
+
+        def with_sides(h: Column) -> Column:
+            before = F.slice("words", F.greatest(h["place"] - left, F.lit(0)) + 1, F.least(h["place"], F.lit(left)))
+            return F.struct(h["phrase"].alias("phrase"), h["place"].alias("place"), h["start"].alias("start"), h["end"].alias("end"), h["tokens"].alias("tokens"), before.alias("left"), F.slice("words", h["place"] + h["width"] + 1, F.lit(right)).alias("right"))
+
+        whole = words.join(by_text, "row").select("row", "id", F.inline(F.transform("hits", with_sides)))
+        left_side, right_side = F.col("left"), F.col("right")
         end: Column = F.coalesce(F.try_element_at(left_side, F.lit(-1)), F.lit(""))
         hit = F.row_number().over(Window.partitionBy("phrase", "row").orderBy("place"))
         return whole.select(
