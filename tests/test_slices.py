@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from textloom.functions import embedding as e
 from textloom.functions.slices import ITEM, PART, sliced
 from textloom.functions.tokenize import NATIVE, token_rows, token_strings, tokenize
+from textloom.sources import store
+from textloom.sources.store import Lookup, Store, hash_text
 
 
 @pytest.mark.parametrize("rows, most, want", [
@@ -45,3 +47,20 @@ def test_each_word_is_hashed_once(monkeypatch):
     made = e._hashing(8)(["a b a", "", "B a  c" * 3])
     assert len(calls) == len(set(calls)) and made.shape == (3, 8) and made.dtype == np.float32
     assert not made[1].any() and np.allclose(np.linalg.norm(made[[0, 2]], axis=1), 1)
+
+
+def test_a_lookup_holds_what_it_was_asked_for(tmp_path, monkeypatch):
+    """And not all row groups that random hashes can be in; what was computed is added once it is large."""
+    schema = pa.schema([("k", pa.string()), ("content_hash", pa.string()), ("v", pa.list_(pa.int64()))])
+    made = lambda todo: pa.table({"v": pa.array([range(20_000)] * len(todo), pa.list_(pa.int64()))})
+    lookup = Lookup(Store(str(tmp_path), schema, {"k": "x"}), made)
+    texts = [f"t{k}" for k in range(600)]
+    for at in range(0, 600, 50):
+        lookup.rows(texts[at : at + 50])
+    assert len(lookup.store.log.live) > 1
+    lookup.close()
+    del lookup
+    seen, before, is_in = [], pa.total_allocated_bytes(), store.pc.is_in
+    monkeypatch.setattr(store.pc, "is_in", lambda *x, **y: seen.append(pa.total_allocated_bytes() - before) or is_in(*x, **y))
+    found = Store(str(tmp_path), schema, {"k": "x"}).fetch([hash_text(t) for t in texts[::60]])
+    assert found.num_rows == 10 and max(seen) < 600 * 160_000 / 3
