@@ -5,9 +5,11 @@ import glob
 import numpy as np
 from pyspark.sql import functions as F
 
+from textloom.functions.tokenize import NATIVE
 from textloom.operators import neighbours
 from textloom.operators.neighbours import knn_lists
 from textloom.operators.reduce import neighbourhood, reduce_table
+from textloom.sources import cache
 
 
 def _vectors(spark, n):
@@ -33,3 +35,14 @@ def test_rounds_leave_only_the_last_result(spark):
     assert len(set(glob.glob(f"{at}/*")) - before) == 2  # the neighbourhood and the places
     near.release()
     assert len(set(glob.glob(f"{at}/*")) - before) == 1
+
+
+def test_a_cache_is_no_larger_than_its_texts(spark, tmp_path):
+    """Its filters and offsets are small, and a run that finds all texts there writes nothing."""
+    text = "some words that come again and again, " * 400
+    df = spark.createDataFrame([(k, f"{k} {text}") for k in range(40)], "id int, t string")
+    for _ in range(2):
+        found = cache.tokens(df, "t", str(tmp_path), model=NATIVE)
+        assert found.select("id", F.inline("t")).filter("id = 7 AND start = 0").collect() == [(7, "7", 0, 1)]
+        files = [x for x in tmp_path.rglob("*.parquet")]
+        assert sum(x.stat().st_size for x in files) < 40 * len(text) and len(list((tmp_path / "data").iterdir())) == 1

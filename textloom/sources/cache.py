@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from ..functions.embedding import EMBEDDING_CACHE, REVISION, embedding, normalize_embedder, settings
 from ..functions.tokenize import TOKEN_CACHE, normalize_model, params_hash, tokenize
 from ..names import fresh
+from ..operators.stages import swept
 from .log import ArrowFiles, File, HadoopFiles, Log, driver_log, is_local, shared_path
 
 #: Seconds that a lease lasts, and that one is waited for; files that a cache may have before it is compacted; seconds that unnamed files stay.
 LEASE, LEASE_WAIT, MANY, GRACE = 600.0, 600.0, 64, 3600.0
-#: Of Spark's Parquet writer: small row groups and Bloom filters of the keys, for lookups of single hashes.
-_WRITE = {"parquet.block.size": str(1 << 20), "parquet.bloom.filter.enabled#content_hash": "true"}
+#: Of Spark's Parquet writer: small row groups and Bloom filters of the keys (of a megabyte each, if nothing says how many there are), for lookups of single hashes; offsets as differences, which need few bits.
+_WRITE = {"parquet.block.size": str(1 << 20), "parquet.bloom.filter.enabled#content_hash": "true", "parquet.bloom.filter.expected.ndv#content_hash": "4096", "compression": "zstd", "parquet.writer.version": "v2"}
+_WRITE |= {f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("start_offsets", "end_offsets")}
 
 
 def content_hash(c: Column | str) -> Column:
@@ -73,12 +75,16 @@ def locked(spark: SparkSession, path: str, wait: float = LEASE_WAIT, lease: floa
 
 
 def _written(spark: SparkSession, log: Log, path: str, schema: str, rows: DataFrame) -> list[File]:
-    """Write rows below ``data``; the files and their ranges of keys."""
+    """Write rows below ``data``; the files and their ranges of keys, none if there are no rows."""
     folder = f"data/{uuid.uuid4().hex}"
     rows.write.options(**_WRITE).parquet(f"{path}/{folder}")
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     found = spark.read.schema(schema).parquet(f"{path}/{folder}").groupBy(name.alias("name")).agg(F.min("content_hash").alias("least"), F.max("content_hash").alias("greatest"), F.count(F.lit(1)).alias("rows"))
-    return [File(f"{folder}/{r['name']}", r["least"], r["greatest"], r["rows"]) for r in found.collect()]  # a row a file
+    files = [File(f"{folder}/{r['name']}", r["least"], r["greatest"], r["rows"]) for r in found.collect()]  # a row a file
+    if not files:
+        log.files.delete(folder)
+    swept(spark)  # texts were shuffled
+    return files
 
 
 def compact(spark: SparkSession, path: str, schema: str, grace: float = GRACE) -> int:
@@ -105,7 +111,7 @@ def misses(texts: DataFrame, cached: DataFrame, text_col: str = "text") -> DataF
     return hashed.dropDuplicates(["content_hash"]).join(cached.select("content_hash"), "content_hash", "left_anti")
 
 
-def _cached(df: DataFrame, text_col: str, out_col: str, path: str, schema: str, keys: dict[str, str], compute: Callable[[DataFrame], DataFrame], value: Column, kind: str, valid: Column | None = None) -> DataFrame:
+def _cached(df: DataFrame, text_col: str, out_col: str, path: str, schema: str, keys: dict[str, str], compute: Callable[[DataFrame], DataFrame], stored: tuple[str, ...], value: Callable[[Column], Column], kind: str, valid: Column | None = None) -> DataFrame:
     spark, path = df.sparkSession, shared_path(path, df.sparkSession)
     log = driver_log(spark, path)
 
@@ -115,24 +121,22 @@ def _cached(df: DataFrame, text_col: str, out_col: str, path: str, schema: str,
             rows = rows.filter(F.col(k) == v)
         return rows.filter(valid) if valid is not None else rows
 
-    todo = misses(df, own(list(log.live)), text_col)
-    if not todo.isEmpty():
-        new = compute(todo)
-        rows = new.select(*[F.lit(v).alias(k) for k, v in keys.items()], *new.columns)
-        files = _written(spark, log, path, schema, rows.sortWithinPartitions("content_hash"))
-        while files and not log.commit(files):
-            others = own([f.name for f in log.refresh()]).select("content_hash")
-            made = _rows(spark, path, [f.name for f in files], schema)
-            if not made.join(others, "content_hash", "left_semi").isEmpty():
-                files = _written(spark, log, path, schema, made.join(others, "content_hash", "left_anti").sortWithinPartitions("content_hash"))
-        if len(log.live) > MANY:
-            compact(spark, path, schema)
-            log.refresh()
+    new = compute(misses(df, own(list(log.live)), text_col))
+    rows = new.select(*[F.lit(v).alias(k) for k, v in keys.items()], *new.columns)
+    files = _written(spark, log, path, schema, rows.sortWithinPartitions("content_hash"))
+    while files and not log.commit(files):
+        others = own([f.name for f in log.refresh()]).select("content_hash")
+        made = _rows(spark, path, [f.name for f in files], schema)
+        if not made.join(others, "content_hash", "left_semi").isEmpty():
+            files = _written(spark, log, path, schema, made.join(others, "content_hash", "left_anti").sortWithinPartitions("content_hash"))
+    if files and len(log.live) > MANY:
+        compact(spark, path, schema)
+        log.refresh()
     own_hash, cached_hash, found_value = fresh("own"), fresh("hash"), fresh("value")
-    found = own(list(log.live)).select(F.col("content_hash").alias(cached_hash), value.alias(found_value)).dropDuplicates([cached_hash])
+    found = own(list(log.live)).select(F.col("content_hash").alias(cached_hash), F.struct(*stored).alias(found_value)).dropDuplicates([cached_hash])  # made into a value once it is where it belongs
     joined = df.withColumn(own_hash, content_hash(text_col)).join(found, F.col(own_hash) == F.col(cached_hash), "left")
     kept = [c for c in df.columns if c != out_col]
-    return joined.select(*kept, F.coalesce(found_value, F.array().cast(kind)).alias(out_col))
+    return joined.select(*kept, F.coalesce(value(F.col(found_value)), F.array().cast(kind)).alias(out_col))
 
 
 def tokens(df: DataFrame, text_col: str, path: str, *, model: str, lowercase: bool = True, remove_punct: bool = True, out_col: str | None = None) -> DataFrame:
@@ -143,8 +147,10 @@ def tokens(df: DataFrame, text_col: str, path: str, *, model: str, lowercase: bo
         t = todo.withColumn("t", tokenize("text", model=model, lowercase=lowercase, remove_punct=remove_punct))
         return t.select("content_hash", F.col("t.token").alias("tokens"), F.col("t.start").alias("start_offsets"), F.col("t.end").alias("end_offsets"))
 
-    zipped = F.transform(F.arrays_zip("tokens", "start_offsets", "end_offsets"), lambda x: F.struct(x["tokens"].alias("token"), x["start_offsets"].alias("start"), x["end_offsets"].alias("end")))
-    return _cached(df, text_col, out_col or text_col, path, TOKEN_CACHE, {"model": model, "params_hash": params_hash(lowercase, remove_punct)}, compute, zipped, "array<struct<token: string, start: bigint, end: bigint>>")
+    def zipped(x: Column) -> Column:
+        return F.transform(x["tokens"], lambda t, k: F.struct(t.alias("token"), F.get(x["start_offsets"], k).alias("start"), F.get(x["end_offsets"], k).alias("end")))
+
+    return _cached(df, text_col, out_col or text_col, path, TOKEN_CACHE, {"model": model, "params_hash": params_hash(lowercase, remove_punct)}, compute, ("tokens", "start_offsets", "end_offsets"), zipped, "array<struct<token: string, start: bigint, end: bigint>>")
 
 
 def embeddings(df: DataFrame, text_col: str, path: str, *, embedder_model: str | None = None, dim: int | None = None, batch_size: int | None = None, out_col: str | None = None) -> DataFrame:
@@ -156,7 +162,7 @@ def embeddings(df: DataFrame, text_col: str, path: str, *, embedder_model: str |
         return made.select("content_hash", F.size("embedding").cast("bigint").alias("dim"), "embedding", F.current_timestamp().alias("created_at"))
 
     valid = (F.size("embedding") == dim) if dim else None
-    return _cached(df, text_col, out_col or text_col, path, EMBEDDING_CACHE, {"model": model, "revision": REVISION, "provider": settings().provider}, compute, F.col("embedding"), "array<float>", valid)
+    return _cached(df, text_col, out_col or text_col, path, EMBEDDING_CACHE, {"model": model, "revision": REVISION, "provider": settings().provider}, compute, ("embedding",), lambda x: x["embedding"], "array<float>", valid)
 
 
 def token_cache_snapshot(spark: SparkSession, path: str) -> tuple[list[str], list[tuple]]:
