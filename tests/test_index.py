@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,15 @@ def test_tasks_grow_no_larger_with_the_texts(spark, tmp_path, monkeypatch):
         assert found.texts.count() == n
         rows = found.search(["two three"], num_left_tokens=1, num_right_tokens=1).filter("id = 3 AND hit = 2").collect()
         assert [(r["left_context"], r["matched_text"], r["right_context"]) for r in rows] == [("one", "two three", "3")]
+
+
+def test_an_index_keeps_numbers_as_differences(spark, tmp_path):
+    """And ends follow of the tokens."""
+    words = np.array([f"Wört{k:x}" for k in range(500)])
+    texts = [" ".join(words[np.random.default_rng(n).integers(0, 500, 300)]) for n in range(10)]
+    found = PositionalIndex.build(spark.createDataFrame(list(enumerate(texts)), "doc int, t string"), "doc", "t", f"file://{tmp_path}/i")
+    group = pq.ParquetFile(next((tmp_path / "i" / "postings").glob("*.parquet"))).metadata.row_group(0)
+    kinds = {group.column(k).path_in_schema: group.column(k).encodings for k in range(group.num_columns)}
+    assert all("DELTA_BINARY_PACKED" in kinds[c] for c in ("row", "place", "start", "end"))
+    row = found.search([str(words[7])]).orderBy("id", "hit").first()
+    assert texts[row["id"]][row["start_idx"] : row["end_idx"]] == row["matched_text"] == words[7]

@@ -1,10 +1,11 @@
 """A positional index: words and phrases with their contexts by joins on places, so that searches don't read texts again.
 
-Two Parquet tables. ``texts`` has a row for each text (row, id, and its tokens of the native model in order);
+Two Parquet tables. ``texts`` has a row for each text (row, id, and its tokens of the native model in order with their starts);
 ``postings`` has a row for each token (row, place, token, start, end), by token and in ranges, so that a search
 reads the row groups of its words. A phrase is a join of postings on neighbouring places, and
 contexts are pieces of a text's tokens, which meet all the text's hits once. What a task sorts is about ``PART`` tokens,
-however many there are.
+however many there are. What is shuffled is as short as it can be: a posting's place and start go as one number and its end,
+which follows of the token, is not sent; a text's tokens, which have no white space, go as one string.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import NATIVE, native_spans, tokenize
+from .stages import swept
 
 #: Tokens of a task, about.
 PART = 1 << 20
+#: Of the Parquet writer: small row groups, numbers as differences.
+_WRITE = {"parquet.block.size": str(8 << 20), "compression": "zstd", "parquet.writer.version": "v2"}
+_WRITE |= {f"parquet.enable.dictionary#{c}": "false" for c in ("row", "place", "start", "end", "start.list.element")}
 
 
 class PositionalIndex:
@@ -35,12 +40,16 @@ class PositionalIndex:
         spark, path = df.sparkSession, path.rstrip("/")
         texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         found = texts.withColumn("t", tokenize("text", model=NATIVE, lowercase=False, remove_punct=False))
-        found.select("row", "id", F.col("t.token").alias("tokens"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).write.option("parquet.block.size", 8 << 20).parquet(f"{path}/texts")
+        found.select("row", "id", F.col("t.token").alias("tokens"), F.col("t.start").alias("start")).write.options(**_WRITE).parquet(f"{path}/texts")
         written = spark.read.parquet(f"{path}/texts")
         parts = (written.agg(F.sum(F.size("start"))).first()[0] or 0) // PART + 1
-        each = written.select("row", F.posexplode(F.arrays_zip("tokens", "start", "end")).alias("place", "t"))
-        each = each.select("row", "place", F.col("t.tokens").alias("token"), F.lower("t.tokens").alias("low"), "t.start", "t.end")
-        each.repartitionByRange(parts, "low", "row", "place").sortWithinPartitions("low", "row", "place").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        each = written.select("row", F.posexplode(F.arrays_zip("tokens", "start")).alias("place", "t"))
+        each = each.select("row", (F.shiftleft(F.col("place").cast("bigint"), 32) + F.col("t.start")).alias("at"), F.col("t.tokens").alias("token"))
+        low, start = F.lower("token"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+        ordered = each.repartitionByRange(parts, low, "row", "at").sortWithinPartitions(low, "row", "at")
+        postings = ordered.select("row", F.shiftright("at", 32).cast("int").alias("place"), "token", low.alias("low"), start.alias("start"), (start + F.char_length("token")).alias("end"))
+        postings.write.options(**_WRITE).parquet(f"{path}/postings")
+        swept(spark)
         return cls(spark, path)
 
     def hits(self, phrase: str, case_sensitive: bool = False) -> DataFrame:
@@ -71,7 +80,7 @@ class PositionalIndex:
         if found is None:
             raise ValueError("no phrase to search for")
         by_text = found.repartition(self.parts, "row").groupBy("row").agg(F.collect_list(F.struct("phrase", "place", "width", "start", "end", "tokens")).alias("hits"))
-        words = self.texts.select("row", "id", F.col("tokens").alias("words")).repartition(self.parts, "row")
+        words = self.texts.select("row", "id", F.array_join("tokens", " ").alias("words")).repartition(self.parts, "row").withColumn("words", F.split("words", " "))
 
         def with_sides(h: Column) -> Column:
             before = F.slice("words", F.greatest(h["place"] - left, F.lit(0)) + 1, F.least(h["place"], F.lit(left)))
